@@ -13,8 +13,9 @@ from stintworks.functions.cleaning import first_token, rest_after_first_token, s
 from stintworks.operators.identity import build_overrides, resolve_identity
 from stintworks.operators.canonical import canonical
 from stintworks.operators.similarity import Space, build_space
-from stintworks.schemas import STAGING
-from stintworks.workspace import materialize
+from stintworks.plans.season_landing import Landing, land_season_csv
+from stintworks.schemas import CSV_COLUMNS, STAGING
+from stintworks.workspace import materialize, new_path
 
 # Raw position text of each entity by its number modulo 20.
 POSITIONS = ["GK", "FW", "FW", "FW", "FW", "FW,MF", "MF,FW", "MF", "MF", "MF", "DF,MF", "MF,DF",
@@ -280,3 +281,102 @@ def named_candidates(targets: DataFrame, space: Space) -> DataFrame:
     first = space.rows.groupBy("cohort").agg(F.min("player_name").alias("first_name"))
     asked = F.when(F.col("season") % 2 == 0, F.concat(F.upper("first_name"), F.lit(" "))).otherwise("nobody")
     return targets.join(first, "cohort").withColumn("candidate_name", asked).drop("first_name")
+
+
+def write_season_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The stints written as season CSV text, with the untidy number formats of the source."""
+    staging = stints(spark, sf_dir)
+    text = {name: F.col(target).cast("string") for name, (target, _) in CSV_COLUMNS.items() if target in staging.columns}
+    text |= {
+        "Comp": F.concat(F.lit("c "), F.col("competition_name")),
+        "Min": F.format_number("minutes", 0),
+        "Age": F.concat(F.col("age"), F.lit(" ")),
+        "Gls": F.concat(F.col("goals"), F.lit(".0")),
+        "SoT%": F.concat((F.col("shots_on_target") * 100 / F.col("shots")).cast("decimal(8,1)"), F.lit("%")),
+        "+/-": F.concat(F.lit("+"), F.col("goals")),
+        "onG": F.lit("n/a"),
+    }
+    path = new_path(spark, "season-csv-source")
+    staging.select(*[text[c].alias(c) for c in CSV_COLUMNS]).write.option("header", True).csv(path)
+    return path
+
+
+def landed(spark: SparkSession, sf_dir: str) -> Landing:
+    """The CSV text landed as one batch per file, under folders of its own."""
+    source = layer_path(spark, sf_dir, "season-csv", lambda: write_season_csv(spark, sf_dir))
+    return land_season_csv(
+        spark, source, 2025, "2025/26", new_path(spark, "landed-staging"), new_path(spark, "landed-batches"), source_id=2
+    )
+
+
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def layer_path(spark: SparkSession, sf_dir: str, name: str, write: Callable[[], str]) -> str:
+    slot = (spark.sparkContext.applicationId, sf_dir, name)
+    if slot not in _PATHS:
+        _PATHS[slot] = write()
+    return _PATHS[slot]
+
+
+def api_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(documents, requests)``: one JSON document per order, some without entries or with errors."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    lines = lines.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    per_team = lines.groupBy("l_orderkey", "n_nationkey", "n_name", "r_regionkey", "r_name").agg(
+        F.count(F.lit(1)).alias("games"), F.sum("l_quantity").cast("long").alias("minutes"), _hits(F.col("l_returnflag") == "R").alias("goals"),
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", F.year("o_orderdate").alias("season"), (F.col("o_orderkey") % 10).alias("kind")
+    )
+    orders = orders.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    statistic = F.struct(
+        F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("World").alias("country"), "season").alias("league"),
+        F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("logo")).alias("team"),
+        F.struct(F.lit("Attacker").alias("position"), F.lit(" 7 ").alias("number"), F.col("games").alias("appearences"),
+                 "minutes", F.lit("6.755").alias("rating")).alias("games"),
+        F.struct(F.col("goals").alias("total")).alias("goals"),
+        F.struct(F.col("games").alias("commited")).alias("penalty"),
+    )
+    # An order has a handful of lines, so its list of statistics is short.
+    whole = per_team.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        "o_orderkey", "o_custkey", "o_orderdate", "season", "kind", "c_name"
+    ).agg(F.collect_list(statistic).alias("statistics"))
+    player = F.struct(
+        F.col("o_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("  ").alias("firstname"),
+        F.concat((F.col("o_custkey") % 50 + 150).cast("string"), F.lit(" cm")).alias("height"),
+        F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).alias("birth"),
+    )
+    entry = F.struct(player.alias("player"), F.col("statistics"))
+    decoy = F.struct(
+        F.struct(
+            (F.col("o_custkey") + 1000000).alias("id"), F.lit("Somebody Else").alias("name"), F.lit("").alias("firstname"),
+            F.lit("").alias("height"), F.struct(F.lit("").alias("date")).alias("birth"),
+        ).alias("player"),
+        F.col("statistics"),
+    )
+    entries = F.when(F.col("kind") == 1, F.slice(F.array(entry), 1, 0)).when(F.col("kind") == 2, F.array(decoy, entry)).otherwise(F.array(entry))
+    errors = F.when(F.col("kind") == 0, '{"errors":{"token":"expired"},').otherwise('{"errors":[],')
+    payload = F.concat(errors, F.substring(F.to_json(F.struct(entries.alias("response"))), F.lit(2), F.lit(1 << 30)))
+    documents = whole.select(
+        F.col("o_orderkey").cast("string").alias("document_id"), payload.alias("payload"), F.col("o_orderdate").cast("timestamp").alias("fetched_at")
+    )
+    requests = orders.select(
+        F.col("o_orderkey").cast("string").alias("document_id"), F.lower(F.substring("c_name", 1, 8)).alias("search"),
+        (F.col("o_orderkey") % 5).alias("league"), "season",
+    )
+    return documents, requests
+
+
+def untidy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys with one number text each, in ten spellings."""
+    k = F.col("o_custkey")
+    text = k.cast("string")
+    spellings = [
+        text, F.concat(F.lit(" "), text, F.lit(".7")), F.concat(F.lit("-"), text, F.lit(".7 ")), F.format_number(k, 0),
+        F.concat(F.lit("+"), text), F.lit("  "), F.lit("abc"), F.concat(text, F.lit("%")),
+        F.concat(F.lit("("), text, F.lit(")")), F.concat(text, F.lit("e2")),
+    ]
+    chosen = F.get(F.array(*spellings), (F.col("o_orderkey") % 10).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", chosen.alias("text"))

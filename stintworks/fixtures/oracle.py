@@ -393,3 +393,67 @@ SELECT vec_id, neighbour, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FR
       CASE WHEN list_dot_product(t.v, t.v) = 0 OR list_dot_product(c.v, c.v) = 0 THEN 0
            ELSE list_dot_product(t.v, c.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(c.v, c.v))) END AS s
     FROM e t JOIN e c ON c.label = t.label AND c.vec_id <> t.vec_id)) WHERE rank <= 5"""
+
+LANDED = f"""
+SELECT player_name, nation_raw, nation_country_code, nation_fifa_code, coalesce(position_raw, '') AS position_raw, squad_name,
+  'c' AS competition_source_code, competition_name, source_player_key, 2025 AS season, '2025/26' AS season_label,
+  CAST(age AS DOUBLE) AS age, born_year, CAST(appearances AS INTEGER) AS appearances, CAST(minutes AS INTEGER) AS minutes,
+  CAST(goals AS INTEGER) AS goals, CAST(shots AS INTEGER) AS shots, CAST(goals AS DOUBLE) AS plus_minus,
+  ((2 * shots_on_target * 1000 + shots) // (2 * shots)) / 10.0::DOUBLE AS shots_on_target_pct,
+  CAST(NULL AS INTEGER) AS on_goals, TRUE AS payload_kept FROM stg"""
+API = """
+team AS (
+  SELECT l_orderkey, n_nationkey, n_name, r_regionkey, r_name, count(*) AS games, CAST(sum(l_quantity) AS BIGINT) AS minutes,
+         count(*) FILTER (l_returnflag = 'R') AS goals
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+  GROUP BY ALL
+),
+asked AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS season, o_orderkey % 10 AS kind, o_orderkey % 5 AS league, c_name,
+         lower(substr(c_name, 1, 8)) AS search
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+),
+good AS (SELECT * FROM asked JOIN team ON l_orderkey = o_orderkey AND r_regionkey = league WHERE kind > 1)"""
+API_STATS = query([API], """
+SELECT CAST(o_custkey AS INTEGER) AS player_id, r_regionkey AS competition_id, n_nationkey AS team_id, 1::BIGINT AS source_id, season,
+  'Attacker' AS position, 7 AS shirt_number, CAST(games AS INTEGER) AS appearances, CAST(minutes AS INTEGER) AS minutes, 6.76::DOUBLE AS rating,
+  CAST(goals AS INTEGER) AS goals, CAST(games AS INTEGER) AS penalties_committed, CAST(NULL AS INTEGER) AS assists
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, r_regionkey, n_nationkey, season ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS place FROM good)
+WHERE place = 1""")
+API_PLAYERS = query([API], """
+SELECT CAST(o_custkey AS INTEGER) AS api_football_id, c_name AS name, CAST(NULL AS VARCHAR) AS firstname,
+  CAST(o_custkey % 50 + 150 AS INTEGER) AS height_cm, strftime(o_orderdate, '%Y-%m-%d') AS birth_date
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS place FROM good)
+WHERE place = 1""")
+API_REJECTS = query([API], """
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, search, league, season,
+  CASE kind WHEN 0 THEN 'API_ERRORS' WHEN 1 THEN 'NO_ENTRIES' ELSE 'NO_STATISTICS' END AS reject_reason,
+  CASE kind WHEN 0 THEN '{"token":"expired"}' ELSE '[]' END AS errors
+FROM asked WHERE o_orderkey NOT IN (SELECT o_orderkey FROM good)""")
+API_SUMMARY = query([API], """
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, n_name AS team_name, r_name AS competition_name, season, CAST(games AS INTEGER) AS appearances,
+  CAST(minutes AS INTEGER) AS minutes, CAST(goals AS INTEGER) AS goals, CAST(NULL AS INTEGER) AS assists FROM good""")
+API_LATEST = query([API], """
+SELECT CAST(o_custkey AS INTEGER) AS entity_api_id, season, max(o_orderdate) AS fetched_at
+FROM good GROUP BY ALL""")
+CLEAN_INT = """SELECT o_orderkey, CAST(CASE o_orderkey % 10 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey WHEN 2 THEN -o_custkey WHEN 3 THEN o_custkey
+  WHEN 4 THEN o_custkey WHEN 8 THEN -o_custkey WHEN 9 THEN o_custkey * 100 END AS INTEGER) AS value FROM orders"""
+CLEAN_DECIMAL = """SELECT o_orderkey, CAST(TRY_CAST(CASE o_orderkey % 10 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey + 0.7 WHEN 2 THEN -o_custkey - 0.7 WHEN 3 THEN o_custkey
+  WHEN 4 THEN o_custkey WHEN 7 THEN o_custkey WHEN 8 THEN -o_custkey WHEN 9 THEN o_custkey * 100 END AS DECIMAL(8,2)) AS DOUBLE) AS value FROM orders"""
+FIRST_TOKEN = """SELECT o_orderkey, regexp_extract(o_orderpriority, '^(\\S+)', 1) AS code,
+  CASE WHEN o_orderpriority LIKE '% %' THEN regexp_extract(o_orderpriority, '^\\S+\\s+(.*)$', 1) ELSE '' END AS rest FROM orders"""
+FIRST_INTEGER = "SELECT p_partkey, TRY_CAST(nullif(regexp_extract(p_brand, '\\d+'), '') AS INTEGER) AS brand_number, TRY_CAST(nullif(regexp_extract(p_name, '\\d+'), '') AS INTEGER) AS name_number, p_size AS size FROM part"
+BATCH_COUNTS = query([STG], "SELECT season, competition_name, count(*) AS rows FROM stg GROUP BY ALL")
+MERGE_UPDATE = """
+WITH last AS (SELECT * FROM (SELECT o_custkey * 2 AS key, o_orderpriority AS label, o_totalprice AS amount,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1)
+SELECT coalesce(c_custkey, key) AS key, c_name AS name, CASE WHEN key IS NULL THEN c_mktsegment ELSE label END AS label,
+  CASE WHEN key IS NULL THEN c_acctbal ELSE amount END AS amount
+FROM customer FULL JOIN last ON key = c_custkey"""
+MERGE_IGNORE = """
+WITH last AS (SELECT * FROM (SELECT o_custkey * 2 AS key, o_orderpriority AS label, o_totalprice AS amount,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1)
+SELECT c_custkey AS key, c_name AS name, c_mktsegment AS label, c_acctbal AS amount FROM customer
+UNION ALL SELECT key, NULL, label, amount FROM last WHERE key NOT IN (SELECT c_custkey FROM customer)"""
+LATEST = """SELECT user_id, event_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"""

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stintworks.fixtures import adapter, oracle
 from stintworks.fixtures.oracle import CANONICAL, RANKED, SPACE, STG, query
-from stintworks.operators import cohorts, neighbours as search, similarity
+from stintworks.functions.cleaning import clean_decimal, clean_int, first_integer, first_token, rest_after_first_token
+from stintworks.operators import cohorts, constraints, neighbours as search, similarity
 from stintworks.operators.canonical import canonical, canonical_by_source_key
 from stintworks.operators.explore import explore
 from stintworks.operators.identity import collision_report
+from stintworks.operators.merge import last_per_key, merge_by_key
 from stintworks.operators.records import PROFILE, profiles, rounded, similar_records
 from stintworks.operators.resolve import ambiguous_candidates, flag_not_eligible, resolve, suggestions
-from stintworks.operators.views import STINT_RATES, intelligence_base, season_analysis
-from stintworks.schemas import FEATURES, FEATURE_LABELS, ROLE_FEATURES
+from stintworks.operators.views import intelligence_base, season_analysis
+from stintworks.plans.api_landing import land_api_documents, latest_documents
+from stintworks.schemas import FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,7 +106,7 @@ def _explore(name: str, where: str, limit: int, offset: int, **filters):
 
 _explore("default", "TRUE", 25, 0)
 _explore("search", "player_name ILIKE '%r#0000_0%'", 100, 20, search=" r#0000_0 ")
-_explore("club", "lower(primary_squad_name) = 'france' AND lower(primary_competition_name) = 'europe'", 50, 0, club="France ", competition="EUROPE")
+_explore("club", "lower(primary_squad_name) = 'nation_3' AND lower(primary_competition_name) = 'europe'", 50, 0, club="Nation_3 ", competition="EUROPE")
 _explore("eligible", "position_group = 'FW' AND minutes >= 900 AND is_similarity_eligible", 20, 40, position_group="fw", min_minutes=900, similarity_eligible=True)
 _explore("ineligible", "NOT is_similarity_eligible AND minutes >= 0", 25, 5, similarity_eligible=False, min_minutes=0)
 
@@ -245,3 +248,129 @@ def embedding_knn(spark, sf_dir):
     index = search.build_index(rows, 64, "cosine", 6)
     targets = rows.select(F.col("key").alias("target_id"), "cohort", "key", "vec")
     return rounded(search.nearest(targets, index, 5), "score").select(F.col("target_id").alias("vec_id"), F.col("key").alias("neighbour"), "rank", "score")
+
+
+@register("season_csv_landing", query([STG], oracle.LANDED))
+def season_csv_landing(spark, sf_dir):
+    rows = adapter.landed(spark, sf_dir).staging
+    return rows.select(
+        "player_name", "nation_raw", "nation_country_code", "nation_fifa_code", "position_raw", "squad_name",
+        "competition_source_code", "competition_name", "source_player_key", "season", "season_label", "age", "born_year",
+        "appearances", "minutes", "goals", "shots", "plus_minus", "shots_on_target_pct", "on_goals",
+        (F.get_json_object("payload", "$.Player") == F.col("player_name")).alias("payload_kept"))
+
+
+@register("season_csv_reconciliation", query([STG], "SELECT competition_name, count(*) AS rows FROM stg GROUP BY competition_name"))
+def season_csv_reconciliation(spark, sf_dir):
+    counts = adapter.landed(spark, sf_dir).reconciliation
+    return counts.groupBy("competition_name").agg(F.sum("rows").alias("rows"))
+
+
+@register("batch_counts", oracle.BATCH_COUNTS)
+def batch_counts(spark, sf_dir):
+    return adapter.stints(spark, sf_dir).groupBy("season", "competition_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("api_stats", oracle.API_STATS)
+def api_stats(spark, sf_dir):
+    stats = land_api_documents(*adapter.api_documents(spark, sf_dir)).stats
+    return stats.select("player_id", "competition_id", "team_id", "source_id", "season", "position", "shirt_number", "appearances",
+                        "minutes", "rating", "goals", "penalties_committed", "assists")
+
+
+@register("api_players", oracle.API_PLAYERS)
+def api_players(spark, sf_dir):
+    players = land_api_documents(*adapter.api_documents(spark, sf_dir)).player
+    return players.select("api_football_id", "name", "firstname", F.col("height_cm").cast("int").alias("height_cm"), F.col("birth_date").cast("string").alias("birth_date"))
+
+
+@register("api_rejects", oracle.API_REJECTS)
+def api_rejects(spark, sf_dir):
+    return land_api_documents(*adapter.api_documents(spark, sf_dir)).rejects
+
+
+@register("api_summary", oracle.API_SUMMARY)
+def api_summary(spark, sf_dir):
+    return land_api_documents(*adapter.api_documents(spark, sf_dir)).summary
+
+
+@register("api_latest_documents", oracle.API_LATEST)
+def api_latest_documents(spark, sf_dir):
+    raw = land_api_documents(*adapter.api_documents(spark, sf_dir)).raw
+    return latest_documents(raw).select("entity_api_id", "season", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+
+
+@register("clean_int", oracle.CLEAN_INT)
+def clean_ints(spark, sf_dir):
+    return adapter.untidy_numbers(spark, sf_dir).select("o_orderkey", clean_int(F.col("text")).alias("value"))
+
+
+@register("clean_decimal", oracle.CLEAN_DECIMAL)
+def clean_decimals(spark, sf_dir):
+    return adapter.untidy_numbers(spark, sf_dir).select("o_orderkey", clean_decimal(F.col("text"), 8, 2).alias("value"))
+
+
+@register("first_token", oracle.FIRST_TOKEN)
+def first_tokens(spark, sf_dir):
+    padded = F.concat(F.lit(" "), F.replace("o_orderpriority", F.lit(" "), F.lit("  ")))
+    return adapter.table(spark, sf_dir, "orders").select("o_orderkey", first_token(padded).alias("code"), rest_after_first_token(padded).alias("rest"))
+
+
+@register("first_integer", oracle.FIRST_INTEGER)
+def first_integers(spark, sf_dir):
+    sized = F.concat(F.lit("about "), F.col("p_size"), F.lit(" cm"))
+    return adapter.table(spark, sf_dir, "part").select(
+        "p_partkey", first_integer(F.col("p_brand")).alias("brand_number"), first_integer(F.col("p_name")).alias("name_number"), first_integer(sized).alias("size"))
+
+
+def _merge(spark, sf_dir, mode):
+    target = adapter.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("label"), F.col("c_acctbal").alias("amount"))
+    updates = adapter.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") * 2).alias("key"), F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("amount"), "o_orderdate", "o_orderkey")
+    return merge_by_key(target, updates, ["key"], ["label", "amount"], ["o_orderdate", "o_orderkey"], mode)
+
+
+@register("merge_update", oracle.MERGE_UPDATE)
+def merge_update(spark, sf_dir):
+    return _merge(spark, sf_dir, "update")
+
+
+@register("merge_ignore", oracle.MERGE_IGNORE)
+def merge_ignore(spark, sf_dir):
+    return _merge(spark, sf_dir, "ignore")
+
+
+@register("latest_document", oracle.LATEST)
+def latest_document(spark, sf_dir):
+    rows = adapter.table(spark, sf_dir, "events")
+    return last_per_key(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value", "props")
+
+
+@register("constraint_unique", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def constraint_unique(spark, sf_dir):
+    return constraints.unique_violations(adapter.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("constraint_fk", "SELECT event_id, user_id FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def constraint_fk(spark, sf_dir):
+    kept = adapter.table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'")
+    child = adapter.table(spark, sf_dir, "events").select("event_id", "user_id")
+    return constraints.foreign_key_violations(child, kept, {"user_id": "c_custkey"})
+
+
+@register("constraint_not_null", query([STG], "SELECT id, position_raw, CAST(minutes AS INTEGER) AS minutes FROM stg WHERE position_raw IS NULL OR minutes IS NULL"))
+def constraint_not_null(spark, sf_dir):
+    rows = adapter.stints(spark, sf_dir).select("id", "position_raw", "minutes")
+    return constraints.null_violations(rows, ["position_raw", "minutes"])
+
+
+@register("constraint_length", "SELECT doc_id, n_chars FROM documents WHERE length(text) > 500 OR length(source) > 8")
+def constraint_length(spark, sf_dir):
+    return constraints.length_violations(adapter.table(spark, sf_dir, "documents"), {"text": 500, "source": 8}).select("doc_id", "n_chars")
+
+
+@register("cascade_delete", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+def cascade_delete(spark, sf_dir):
+    kept = adapter.table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
+    return constraints.cascade(adapter.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), kept, {"o_custkey": "c_custkey"})
