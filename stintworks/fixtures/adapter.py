@@ -320,7 +320,13 @@ def layer_path(spark: SparkSession, sf_dir: str, name: str, write: Callable[[],
 
 
 def api_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """``(documents, requests)``: one JSON document per order, some without entries or with errors."""
+    """``(documents, requests)``, stored like downloaded documents are."""
+    documents, requests = derive_api_documents(spark, sf_dir)
+    return layer(spark, sf_dir, "documents", lambda: documents), requests
+
+
+def derive_api_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One JSON document per order, some without entries or with errors."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     lines = lines.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))

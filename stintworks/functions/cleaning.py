@@ -28,17 +28,20 @@ def _blank_free(c: Column) -> Column:
 
 
 def clean_int(c: Column, to: str = "int") -> Column:
-    """Whole number; a fraction is cut toward zero; anything else is NULL."""
-    text = _number_text(_blank_free(c))
-    whole = text.rlike(r"^[+-]?\d+$")
-    return F.when(whole, text.try_cast(to)).otherwise(text.try_cast("double").try_cast(to))
+    """Whole number; a fraction is cut toward zero; anything else is NULL.
+
+    Plain numbers take the cheap cast; only other spellings are matched against a pattern.
+    """
+    text = _blank_free(c)
+    return F.coalesce(text.try_cast(to), _number_text(text).try_cast("double").try_cast(to))
 
 
 def clean_decimal(c: Column, precision: int, scale: int) -> Column:
     """Number without percent signs and one leading plus, rounded half up to ``scale``."""
-    text = F.replace(_blank_free(c), F.lit("%"), F.lit(""))
-    text = _number_text(F.regexp_replace(text, r"^\+", ""))
-    return text.try_cast(f"decimal({precision},{scale})")
+    kind = f"decimal({precision},{scale})"
+    text = _blank_free(c)
+    bare = F.regexp_replace(F.replace(text, F.lit("%"), F.lit("")), r"^\+", "")
+    return F.coalesce(text.try_cast(kind), _number_text(bare).try_cast(kind))
 
 
 def first_token(c: Column) -> Column:

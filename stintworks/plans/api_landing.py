@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stintworks.operators.merge import last_per_key, merge_by_key
 from stintworks.sources.api_documents import FACT_PATHS, picked, player_rows, statistic_rows
+from stintworks.workspace import materialize
 
 # Source code and endpoint of these documents.
 SOURCE_CODE = "API_FOOTBALL"
@@ -75,7 +76,8 @@ def land_api_documents(
     def table(name: str, schema: str) -> DataFrame:
         return existing[name] if name in existing else spark.createDataFrame([], schema)
 
-    parsed = picked(documents, requests)
+    # Parsing is the costly part and every table below starts from it: store it once.
+    parsed = materialize(picked(documents, requests), "documents")
     accepted = parsed.filter(F.col("reject_reason").isNull())
     rejects = parsed.filter(F.col("reject_reason").isNotNull()).select(
         "document_id", "search", "league", "season", "reject_reason", "errors"

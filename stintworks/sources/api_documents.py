@@ -81,7 +81,7 @@ DOCUMENT_TYPE = T.StructType(
 
 def read_api_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: document_id (file name), payload text and file time as fetched_at."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("document_id"),
         F.col("value").alias("payload"),
