@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stintworks.functions.cleaning import first_token, rest_after_first_token, source_key
 from stintworks.operators.identity import build_overrides, resolve_identity
@@ -73,13 +73,8 @@ def squads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier -> squad (nation) and competition (region), with the squad's place by name."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    # Nations are a fixed list, so ranking them by name with a self join stays tiny.
-    earlier = nation.select(F.col("n_name").alias("other"))
-    placed = (
-        nation.join(earlier, F.col("other") <= F.col("n_name"))
-        .groupBy("n_nationkey", "n_name", "n_regionkey")
-        .agg(F.count(F.lit(1)).alias("place"))
-    )
+    # The nations are a fixed list of 25 rows; ranking them by name needs no partitioning.
+    placed = nation.withColumn("place", F.row_number().over(Window.orderBy("n_name")))
     return (
         table(spark, sf_dir, "supplier")
         .join(placed, F.col("s_nationkey") == F.col("n_nationkey"))

@@ -1,32 +1,41 @@
-"""Distances between one bounded block of queries and one bounded block of candidates."""
+"""Distances between one bounded block of queries and one bounded block of candidates.
+
+A quick estimate for the whole block (one matrix product where the metric allows it) leaves a few
+rows per query that can matter; only those get the exact score, summed feature by feature in order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 
 METRICS = ("euclidean", "manhattan", "cosine")
 DECIMALS = 6
-_ROWS = 512
-
-
-def scores(queries: np.ndarray, candidates: np.ndarray, metric: str) -> np.ndarray:
-    """Matrix of distances (similarities for cosine), summed feature by feature in order."""
-    total = np.zeros((len(queries), len(candidates)))
-    for i in range(queries.shape[1]):
-        a, b = queries[:, i, None], candidates[None, :, i]
+# Wider than one unit of the compared precision, and than any error of the estimate.
+_SLACK = 2e-6
+# Elements of one estimate matrix: small enough for a processor cache.
+_ELEMENTS = 1 << 18
+
+
+def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Exact score of each row pair: a distance, or the similarity for cosine."""
+    total = np.zeros(len(a))
+    squares = np.zeros(len(a)), np.zeros(len(a))
+    for i in range(a.shape[1]):
+        x, y = a[:, i], b[:, i]
         if metric == "cosine":
-            total += a * b
-        elif metric == "manhattan":
-            total += np.abs(a - b)
+            total += x * y
+            squares = squares[0] + x * x, squares[1] + y * y
         else:
-            total += (a - b) * (a - b)
+            gap = x - y
+            total += np.abs(gap) if metric == "manhattan" else gap * gap
     if metric == "euclidean":
         return np.sqrt(total)
     if metric == "manhattan":
         return total
-    norms = [np.sqrt(sum(m[:, i] * m[:, i] for i in range(m.shape[1]))) for m in (queries, candidates)]
-    product = norms[0][:, None] * norms[1][None, :]
+    product = np.sqrt(squares[0]) * np.sqrt(squares[1])
     return np.divide(total, product, out=np.zeros_like(total), where=product > 0)
 
 
@@ -36,6 +45,61 @@ def whole_order(values: np.ndarray, metric: str) -> np.ndarray:
     return np.floor(signed * 10**DECIMALS + 0.5).astype(np.int64)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _estimates(queries: np.ndarray, candidates: np.ndarray, metric: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, estimate matrix) per slice of the queries, on the scale of ``whole_order``."""
+    step = max(1, _ELEMENTS // len(candidates))
+    if metric == "cosine":
+        units = _unit(candidates).T
+    elif metric == "euclidean":
+        doubled, squares = -2 * candidates.T, (candidates * candidates).sum(axis=1)
+    else:
+        columns = np.ascontiguousarray(candidates.T)
+    for start in range(0, len(queries), step):
+        part = queries[start : start + step]
+        if metric == "cosine":
+            yield start, -(_unit(part) @ units)
+        elif metric == "euclidean":
+            product = part @ doubled
+            product += squares
+            product += (part * part).sum(axis=1, keepdims=True)
+            yield start, np.sqrt(np.maximum(product, 0, out=product), out=product)
+        else:
+            total = np.zeros((len(part), len(candidates)))
+            gap = np.empty_like(total)
+            for i, column in enumerate(columns):
+                np.subtract(part[:, i, None], column, out=gap)
+                total += np.abs(gap, out=gap)
+            yield start, total
+
+
+def _slack(queries: np.ndarray, candidates: np.ndarray) -> float:
+    """Rounding plus the error of a Euclidean estimate, which grows with the vectors' lengths."""
+    longest = max((queries * queries).sum(axis=1).max(), (candidates * candidates).sum(axis=1).max())
+    return _SLACK + float(np.sqrt(longest * 1e-14))
+
+
+def _within_reach(estimate: np.ndarray, k: int) -> np.ndarray:
+    """Per row a value that at least ``k`` entries do not exceed: from the minima of column groups."""
+    size = estimate.shape[1]
+    if size <= k:
+        return np.full(len(estimate), np.inf)
+    groups = min(size, max(4 * k, 64))
+    width = size // groups
+    minima = estimate[:, : groups * width].reshape(len(estimate), groups, width).min(axis=2)
+    return np.partition(minima, k - 1, axis=1)[:, k - 1]
+
+
+def _blocks(queries: pd.DataFrame, candidates: pd.DataFrame):
+    candidates = candidates.sort_values(["key", "season"]).reset_index(drop=True)
+    own = candidates.groupby("key").indices
+    return candidates, np.stack(queries["vec"].to_numpy()), np.stack(candidates["vec"].to_numpy()), own
+
+
 def nearest_in_block(k: int, metric: str):
     """Function for a co-grouped (queries, candidates) pair: the k nearest of each query.
 
@@ -46,38 +110,32 @@ def nearest_in_block(k: int, metric: str):
         columns = ["target_id", "key", "season", "rank", "score"]
         if queries.empty or candidates.empty:
             return pd.DataFrame({c: [] for c in columns})
-        candidates = candidates.sort_values(["key", "season"]).reset_index(drop=True)
-        points = np.stack(candidates["vec"].to_numpy())
-        own = candidates.groupby("key").indices
-        size = len(candidates)
-        place = np.arange(size)
-        beyond = np.iinfo(np.int64).max
-        take = min(k, size)
+        candidates, asked, points, own = _blocks(queries, candidates)
+        keys, slack = queries["key"].to_numpy(), _slack(asked, points)
         found = []
-        for start in range(0, len(queries), _ROWS):
-            part = queries.iloc[start : start + _ROWS]
-            score = scores(np.stack(part["vec"].to_numpy()), points, metric)
-            order = whole_order(score, metric) * size + place
-            for row, key in enumerate(part["key"]):
-                if key in own:
-                    order[row, own[key]] = beyond
-            best = np.argpartition(order, take - 1, axis=1)[:, :take]
-            best = np.take_along_axis(best, np.argsort(np.take_along_axis(order, best, 1), axis=1), 1)
-            real = np.take_along_axis(order, best, 1) != beyond
-            rows, ranks = np.nonzero(real)
-            chosen = best[rows, ranks]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "target_id": part["target_id"].to_numpy()[rows],
-                        "key": candidates["key"].to_numpy()[chosen],
-                        "season": candidates["season"].to_numpy()[chosen],
-                        "rank": ranks + 1,
-                        "score": score[rows, chosen],
-                    }
-                )
-            )
-        return pd.concat(found, ignore_index=True)[columns]
+        for start, estimate in _estimates(asked, points, metric):
+            for row in range(len(estimate)):
+                mine = own.get(keys[start + row])
+                if mine is not None:
+                    estimate[row, mine] = np.inf
+            reach = _within_reach(estimate, k) + slack
+            rows, places = np.nonzero((estimate <= reach[:, None]) & (estimate < np.inf))
+            score = scores(asked[start + rows], points[places], metric)
+            best = np.lexsort((places, whole_order(score, metric), rows))
+            rows, places, score = rows[best], places[best], score[best]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            kept = rank <= k
+            found.append((start + rows[kept], places[kept], rank[kept], score[kept]))
+        rows, places, rank, score = (np.concatenate(parts) for parts in zip(*found))
+        return pd.DataFrame(
+            {
+                "target_id": queries["target_id"].to_numpy()[rows],
+                "key": candidates["key"].to_numpy()[places],
+                "season": candidates["season"].to_numpy()[places],
+                "rank": rank,
+                "score": score,
+            }
+        )[columns]
 
     return search
 
@@ -88,23 +146,28 @@ def nearer_in_block(metric: str):
     def count(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame({"target_id": [], "nearer": []})
-        candidates = candidates.sort_values(["key", "season"]).reset_index(drop=True)
-        points = np.stack(candidates["vec"].to_numpy())
-        own = candidates.groupby("key").indices
+        candidates, asked, points, own = _blocks(queries, candidates)
+        keys, slack = queries["key"].to_numpy(), _slack(asked, points)
+        score = queries["score"].to_numpy(dtype=float)
+        limit = whole_order(score, metric)
+        edge = -score if metric == "cosine" else score
         names = pd.MultiIndex.from_frame(candidates[["key", "season"]])
-        counted = []
-        for start in range(0, len(queries), _ROWS):
-            part = queries.iloc[start : start + _ROWS]
-            order = whole_order(scores(np.stack(part["vec"].to_numpy()), points, metric), metric)
-            limit = whole_order(part["score"].to_numpy(dtype=float), metric)[:, None]
-            named = pd.MultiIndex.from_frame(part[["other_key", "other_season"]])
-            before = names.searchsorted(named) if len(names) else 0
-            tie = np.arange(len(candidates))[None, :] < np.asarray(before)[:, None]
-            nearer = (order < limit) | ((order == limit) & tie)
-            for row, key in enumerate(part["key"]):
-                if key in own:
-                    nearer[row, own[key]] = False
-            counted.append(pd.DataFrame({"target_id": part["target_id"].to_numpy(), "nearer": nearer.sum(axis=1)}))
-        return pd.concat(counted, ignore_index=True)
+        named = pd.MultiIndex.from_frame(queries[["other_key", "other_season"]])
+        before = np.asarray(names.searchsorted(named))
+        nearer = np.zeros(len(queries), dtype=np.int64)
+        for start, estimate in _estimates(asked, points, metric):
+            stop = start + len(estimate)
+            for row in range(len(estimate)):
+                mine = own.get(keys[start + row])
+                if mine is not None:
+                    estimate[row, mine] = np.inf
+            bound = edge[start:stop, None]
+            nearer[start:stop] = (estimate < bound - slack).sum(axis=1)
+            rows, places = np.nonzero(np.abs(estimate - bound) <= slack)
+            order = whole_order(scores(asked[start + rows], points[places], metric), metric)
+            at = start + rows
+            first = (order < limit[at]) | ((order == limit[at]) & (places < before[at]))
+            nearer += np.bincount(at[first], minlength=len(queries))
+        return pd.DataFrame({"target_id": queries["target_id"].to_numpy(), "nearer": nearer})
 
     return count

@@ -7,6 +7,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stintworks.workspace import materialize
+
 # Explorer record, output name -> canonical column.
 LISTED = {
     "canonical_player_key": "canonical_player_key",
@@ -24,6 +26,7 @@ LISTED = {
     "sample_quality": "sample_quality",
 }
 MAX_LIMIT = 100
+DEEP_OFFSET = 100_000
 
 
 def predicates(
@@ -69,8 +72,35 @@ def explore(
         raise ValueError("offset must be 0 or greater")
     matching = canonical.filter(predicates(**filters))
     total = matching.agg(F.count(F.lit(1)).alias("total"))
-    page = matching.orderBy(F.desc("minutes"), F.asc("player_name"), F.asc("canonical_player_key"), F.asc("season"))
-    return total, records(page.offset(offset).limit(limit))
+    order = [F.desc("minutes"), F.asc("player_name"), F.asc("canonical_player_key"), F.asc("season")]
+    if offset > DEEP_OFFSET:
+        matching, offset = _skip_ranges(matching, order, offset, limit)
+    return total, records(matching.orderBy(*order).offset(offset).limit(limit))
+
+
+def _skip_ranges(
+    rows: DataFrame, order: list[Column], offset: int, limit: int, range_rows: int = DEEP_OFFSET
+) -> tuple[DataFrame, int]:
+    """Only the rows around a deep page, and the offset left within them.
+
+    An ordinary offset gathers every skipped row in one task. Here the rows are range-partitioned in
+    page order and stored; ranges that lie wholly before or after the page are not read again.
+    """
+    wanted = rows.select("season", *dict.fromkeys(LISTED.values()))
+    ranges = max(1, -(-wanted.count() // range_rows))
+    ranged = wanted.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    first, last, before, skipped = None, -1, 0, 0
+    # One row per range: a count, not data.
+    for part, size in sorted(map(tuple, ranged.groupBy("_range").count().collect())):
+        if before + size > offset and before < offset + limit:
+            if first is None:
+                first, skipped = part, before
+            last = part
+        before += size
+    if first is None:
+        return ranged.filter(F.lit(False)), 0
+    return ranged.filter(F.col("_range").between(first, last)), offset - skipped
 
 
 def records(rows: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def collision_report(stints: DataFrame) -> DataFrame:
     """Source keys seen with several squads and several position groups in one season."""
     group = position_group(F.col("position_raw"))
     known = [*POSITION_GROUPS, "UNKNOWN"]
-    # One bit per group keeps the group count a plain bitwise aggregate beside the distinct one.
+    # One bit per group makes the group count a plain bitwise aggregate.
     bit = F.lit(0)
     for place, name in enumerate(known):
         bit = F.when(group == name, F.lit(1 << place)).otherwise(bit)
@@ -72,7 +72,7 @@ def collision_report(stints: DataFrame) -> DataFrame:
         stints.groupBy("source_player_key", "season")
         .agg(
             F.count(F.lit(1)).alias("stint_count"),
-            F.count_distinct("squad_name").alias("squad_count"),
+            F.size(F.collect_set("squad_name")).cast("long").alias("squad_count"),
             F.bit_count(F.bit_or(bit)).cast("long").alias("group_count"),
             joined_names("squad_name").alias("squad_names"),
         )

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from stintworks.functions.blocks import DECIMALS, METRICS, nearer_in_block, nearest_in_block
 from stintworks.workspace import materialize
 
-CHUNK_ROWS = 4096
+# Rows of one candidate chunk and queries of one slice: the size of the block a task holds.
+CHUNK_ROWS = 16384
+QUERY_ROWS = 4096
 _SPLIT_DIMS = 10
 _LEVELS = 3  # at most 2**3 bins per dimension
 _CHUNK = ["cohort", "cell", "chunk"]
@@ -100,6 +102,7 @@ def build_index(
     cells = cells.join(plan.drop("rows"), "cohort")
     spread = F.pmod(F.xxhash64("key", "season"), F.col("chunks")).cast("int")
     placed = placed.join(cells.select("cohort", "cell", "chunks"), ["cohort", "cell"]).withColumn("chunk", spread).drop("chunks")
+    placed = materialize(placed, "placed")
     return Index(placed, cells, metric, dims, split_dims, False)
 
 
@@ -138,7 +141,7 @@ def _in_blocks(queries: DataFrame, index: Index, work, schema: T.StructType, chu
     """
     spark = queries.sparkSession
     queries = materialize(queries, "queries")
-    slices = queries.groupBy(*_CHUNK).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("slices"))
+    slices = queries.groupBy(*_CHUNK).agg(F.ceil(F.count(F.lit(1)) / min(chunk_rows, QUERY_ROWS)).cast("int").alias("slices"))
     slices = materialize(slices, "slices")
     blocks = slices.agg(F.sum("slices")).first()[0] or 1
     parallel = spark.sparkContext.defaultParallelism

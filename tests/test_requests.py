@@ -121,3 +121,13 @@ def test_crowded_name_does_not_multiply(spark, make_stints):
     resolved = resolve(requests, rows)
     assert resolved.filter((F.col("status") == "AMBIGUOUS") & (F.col("matches") == 300)).count() == 200
     assert ambiguous_candidates(resolved, rows).count() == 300
+
+
+def test_deep_pages_equal_plain_ones(make_stints, monkeypatch):
+    from stintworks.operators import explore as module
+
+    rows = canonical(make_stints(*[{"source_player_key": f"k{i}", "player_name": f"N{i % 9}", "minutes": i % 4 * 100} for i in range(230)], identity=True)).cache()
+    plain = {o: explore(rows, limit=20, offset=o)[1].collect() for o in (0, 95, 99, 150, 225, 230, 500)}
+    monkeypatch.setattr(module, "DEEP_OFFSET", -1)
+    monkeypatch.setattr(module._skip_ranges, "__defaults__", (40,))
+    assert {o: explore(rows, limit=20, offset=o)[1].collect() for o in plain} == plain
