@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from stintworks.functions.cleaning import first_token, rest_after_first_token, source_key
 from stintworks.operators.identity import build_overrides, resolve_identity
 from stintworks.operators.canonical import canonical
+from stintworks.operators.cohorts import COHORT
 from stintworks.operators.similarity import Space, build_space
 from stintworks.plans.season_landing import Landing, land_season_csv
 from stintworks.schemas import CSV_COLUMNS, STAGING
@@ -23,7 +24,7 @@ POSITIONS = ["GK", "FW", "FW", "FW", "FW", "FW,MF", "MF,FW", "MF", "MF", "MF", "
 
 
 _LAYERS: dict[tuple[str, str, str], DataFrame] = {}
-_SPACES: dict[tuple[str, str], Space] = {}
+_SPACES: dict[tuple[str, str, tuple[str, ...]], Space] = {}
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -224,11 +225,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def similarity_space(spark: SparkSession, sf_dir: str) -> Space:
-    """Standardised population, stored once per application."""
-    slot = (spark.sparkContext.applicationId, sf_dir)
+def similarity_space(spark: SparkSession, sf_dir: str, cohort_cols: tuple[str, ...] = COHORT) -> Space:
+    """Standardised population, stored once per application and cohort definition."""
+    slot = (spark.sparkContext.applicationId, sf_dir, cohort_cols)
     if slot not in _SPACES:
-        _SPACES[slot] = build_space(canonical_layer(spark, sf_dir))
+        _SPACES[slot] = build_space(canonical_layer(spark, sf_dir), cohort_cols)
     return _SPACES[slot]
 
 

@@ -457,3 +457,8 @@ SELECT c_custkey AS key, c_name AS name, c_mktsegment AS label, c_acctbal AS amo
 UNION ALL SELECT key, NULL, label, amount FROM last WHERE key NOT IN (SELECT c_custkey FROM customer)"""
 LATEST = """SELECT user_id, event_id, event_type, value, props FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"""
+POOL_SPACE = POP.replace("season || '|' || position_group AS cohort", "position_group AS cohort").replace(
+    "SELECT season, position_group, count(*) AS n", "SELECT position_group, count(*) AS n"
+).replace("GROUP BY season, position_group", "GROUP BY position_group").replace("m.season = p.season AND ", "")
+POOLED = query([*CANONICAL, POOL_SPACE, PAIRS], """SELECT target_id, key, season, CAST(euclidean_rank AS INTEGER) AS rank, round(euclidean, 6) AS score
+FROM ranked WHERE euclidean_rank <= 5 AND n >= 3""")

@@ -169,6 +169,12 @@ for _metric in ("euclidean", "cosine", "manhattan"):
     _knn(_metric, 10)
 
 
+@register("knn_pooled_cohort", oracle.POOLED)
+def knn_pooled_cohort(spark, sf_dir):
+    space = adapter.similarity_space(spark, sf_dir, ("position_group",))
+    return rounded(similarity.neighbours(space, k=5), "score")
+
+
 @register("similar_outcomes", query([*SPACE, oracle.REQ_WITH_K, oracle.SIMILAR], f"SELECT request_id, status, CAST({oracle.CODE} AS INTEGER) AS status_code, {oracle.DETAIL} AS detail FROM sized"))
 def similar_outcomes(spark, sf_dir):
     space = adapter.similarity_space(spark, sf_dir)

@@ -100,10 +100,17 @@ def _blocks(queries: pd.DataFrame, candidates: pd.DataFrame):
     return candidates, np.stack(queries["vec"].to_numpy()), np.stack(candidates["vec"].to_numpy()), own
 
 
+def _edge(score: pd.Series, metric: str) -> np.ndarray:
+    """Given scores on the scale of the estimates; infinite where none is given."""
+    values = score.to_numpy(dtype=float)
+    return np.where(np.isnan(values), np.inf, -values if metric == "cosine" else values)
+
+
 def nearest_in_block(k: int, metric: str):
     """Function for a co-grouped (queries, candidates) pair: the k nearest of each query.
 
-    A candidate with the query's own key is skipped; equal distances go by key, then season.
+    A candidate with the query's own key is skipped; equal distances go by key, then season. Where a
+    query brings a ``score``, no candidate beyond it is returned.
     """
 
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -112,13 +119,15 @@ def nearest_in_block(k: int, metric: str):
             return pd.DataFrame({c: [] for c in columns})
         candidates, asked, points, own = _blocks(queries, candidates)
         keys, slack = queries["key"].to_numpy(), _slack(asked, points)
+        edge = _edge(queries["score"], metric)
         found = []
         for start, estimate in _estimates(asked, points, metric):
             for row in range(len(estimate)):
                 mine = own.get(keys[start + row])
                 if mine is not None:
                     estimate[row, mine] = np.inf
-            reach = _within_reach(estimate, k) + slack
+            known = edge[start : start + len(estimate)]
+            reach = np.minimum(_within_reach(estimate, k), known) + slack
             rows, places = np.nonzero((estimate <= reach[:, None]) & (estimate < np.inf))
             score = scores(asked[start + rows], points[places], metric)
             best = np.lexsort((places, whole_order(score, metric), rows))
@@ -146,21 +155,16 @@ def nearer_in_block(metric: str):
     def count(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame({"target_id": [], "nearer": []})
-        candidates, asked, points, own = _blocks(queries, candidates)
-        keys, slack = queries["key"].to_numpy(), _slack(asked, points)
-        score = queries["score"].to_numpy(dtype=float)
-        limit = whole_order(score, metric)
-        edge = -score if metric == "cosine" else score
+        candidates, asked, points, _ = _blocks(queries, candidates)
+        slack = _slack(asked, points)
+        edge = _edge(queries["score"], metric)
+        limit = whole_order(queries["score"].to_numpy(dtype=float), metric)
         names = pd.MultiIndex.from_frame(candidates[["key", "season"]])
         named = pd.MultiIndex.from_frame(queries[["other_key", "other_season"]])
         before = np.asarray(names.searchsorted(named))
         nearer = np.zeros(len(queries), dtype=np.int64)
         for start, estimate in _estimates(asked, points, metric):
             stop = start + len(estimate)
-            for row in range(len(estimate)):
-                mine = own.get(keys[start + row])
-                if mine is not None:
-                    estimate[row, mine] = np.inf
             bound = edge[start:stop, None]
             nearer[start:stop] = (estimate < bound - slack).sum(axis=1)
             rows, places = np.nonzero(np.abs(estimate - bound) <= slack)

@@ -20,11 +20,31 @@ CHUNK_ROWS = 16384
 QUERY_ROWS = 4096
 _SPLIT_DIMS = 10
 _LEVELS = 3  # at most 2**3 bins per dimension
+# About 300 bytes each: at most some 60 MB are broadcast.
+_BROADCAST_CELLS = 200_000
+_BOX_CHECKS_PER_TASK = 20_000_000
+_SALTS = 64
 _CHUNK = ["cohort", "cell", "chunk"]
 # Wider than one unit of the compared precision, so that rounding never hides a neighbour.
 _SLACK = 2e-6
 
 
+def pair_scores(a: Column, b: Column, dims: int) -> dict[str, Column]:
+    """The three scores of two vectors, summed in feature order."""
+    gaps = [a[i] - b[i] for i in range(dims)]
+
+    def total(terms: list[Column]) -> Column:
+        return sum(terms[1:], terms[0])
+
+    norms = F.sqrt(total([a[i] * a[i] for i in range(dims)])) * F.sqrt(total([b[i] * b[i] for i in range(dims)]))
+    dot = total([a[i] * b[i] for i in range(dims)])
+    return {
+        "euclidean": F.sqrt(total([g * g for g in gaps])),
+        "manhattan": total([F.abs(g) for g in gaps]),
+        "cosine": F.when(norms == 0, F.lit(0.0)).otherwise(dot / norms),
+    }
+
+
 @dataclass
 class Index:
     """Candidate rows with their chunk, and one row per cell with its box."""
@@ -54,13 +74,16 @@ def coordinates(vec: Column, dims: int, metric: str) -> list[Column]:
     return [*unit, F.when(norm > 0, F.lit(0.0)).otherwise(F.lit(1.0))]
 
 
+def _bin(cuts: Column, x: Column) -> Column:
+    return F.size(F.filter(cuts, lambda cut: cut < x)).cast("long")
+
+
 def _cell(point: list[Column], split_dims: int) -> Column:
     """Cell number from the cohort's cut points; each dimension uses as many as its share of bits."""
     code = F.lit(0).cast("long")
     for i in range(split_dims):
         bits = F.least(F.lit(_LEVELS), F.expr(f"bits div {split_dims}") + F.when(F.expr(f"bits % {split_dims}") > i, 1).otherwise(0))
-        bin8 = F.size(F.filter(F.col("cuts")[i], lambda cut, x=point[i]: cut < x)).cast("long")
-        kept = F.call_function("shiftright", bin8, (F.lit(_LEVELS) - bits).cast("int"))
+        kept = F.call_function("shiftright", _bin(F.col("cuts")[i], point[i]), (F.lit(_LEVELS) - bits).cast("int"))
         code = code * (1 << _LEVELS) + kept
     return code
 
@@ -134,6 +157,24 @@ def _limit(metric: str, slack: float) -> Column:
     return edge if metric == "manhattan" else edge * edge
 
 
+def _with_cells(targets: DataFrame, index: Index) -> DataFrame:
+    """Targets next to the cells of their cohort, to be filtered by the cells' boxes.
+
+    The comparisons, not the bytes, decide how many tasks this needs. The cells are broadcast up to
+    a checked number; beyond it both sides are salted, so that a crowded cohort still spreads out.
+    """
+    cells = index.cells.drop("cuts", "bits")
+    count = cells.count()
+    targets = materialize(targets, "bounded")
+    tasks = targets.count() * count // _BOX_CHECKS_PER_TASK
+    tasks = int(min(max(tasks, targets.sparkSession.sparkContext.defaultParallelism), 100_000))
+    if count <= _BROADCAST_CELLS:
+        return targets.repartition(tasks, "target_id").join(F.broadcast(cells), "cohort")
+    salted = targets.withColumn("salt", F.pmod(F.xxhash64("target_id"), F.lit(_SALTS)).cast("int"))
+    copies = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.repartition(tasks, "cohort", "salt").join(copies, ["cohort", "salt"]).drop("salt")
+
+
 def _in_blocks(queries: DataFrame, index: Index, work, schema: T.StructType, chunk_rows: int) -> DataFrame:
     """Run ``work`` on every (queries of a chunk, chunk) block, both sides bounded in size.
 
@@ -200,20 +241,21 @@ def nearest(
     schema = _found_schema(targets, index)
     work = nearest_in_block(k, index.metric)
     queries = _placed_targets(targets, index)
+    unbounded = F.lit(None).cast("double").alias("score")
     if index.single:
-        return _in_blocks(queries, index, work, schema, chunk_rows)
+        return _in_blocks(queries.select("*", unbounded), index, work, schema, chunk_rows)
     queries = materialize(queries, "targets")
-    first = _in_blocks(queries.filter("chunk IS NOT NULL"), index, work, schema, chunk_rows)
+    first = _in_blocks(queries.filter("chunk IS NOT NULL").select("*", unbounded), index, work, schema, chunk_rows)
     first = materialize(first, "first")
     limit = first.filter(F.col("rank") == k).select("target_id", "score")
     bounded = queries.join(limit, "target_id", "left").withColumnsRenamed({"cell": "own_cell", "chunk": "own_chunk"})
     near_enough = F.col("score").isNull() | (_box_distance(index) <= _limit(index.metric, _SLACK))
     others = (
-        bounded.join(index.cells.drop("rows", "cuts", "bits"), "cohort")
+        _with_cells(bounded, index)
         .filter(near_enough)
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .filter((F.col("cell") != F.col("own_cell")) | (F.col("chunk") != F.coalesce("own_chunk", F.lit(-1))))
-        .select("target_id", "key", "vec", *_CHUNK)
+        .select("target_id", "key", "vec", "score", *_CHUNK)
     )
     found = first.unionByName(_in_blocks(others, index, work, schema, chunk_rows))
     return found.withColumn("rank", F.row_number().over(_by_score("target_id", index.metric))).filter(F.col("rank") <= k)
@@ -227,14 +269,43 @@ def _by_score(target: str, metric: str):
 def rank_of(pairs: DataFrame, index: Index, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rank of one named candidate per target: one more than the rows that come before it.
 
-    ``pairs`` has target_id, cohort, key, vec, other_key, other_season and score. A cell whose box
-    lies beyond the named candidate counts nothing, a cell wholly nearer counts its size; only the
-    cells between are searched, and each chunk returns one count per target.
+    ``pairs`` has target_id, cohort, key, vec, other_key, other_season and score; the target's own
+    rows do not count. Targets with the same vector and the same named candidate share one search.
+    """
+    question = ["cohort", "vec", "other_key", "other_season"]
+    pairs = materialize(pairs.select("target_id", "key", "score", *question), "pairs")
+    asked = pairs.groupBy(*question).agg(F.min("target_id").alias("question_id"), F.min("score").alias("score"))
+    asked = materialize(asked, "questions")
+    total = _rows_before(asked.withColumnRenamed("question_id", "target_id"), index, chunk_rows)
+    answered = asked.drop("score").join(total.withColumnRenamed("target_id", "question_id"), "question_id", "left")
+    own = _own_rows_before(pairs, index)
+    return (
+        pairs.join(answered, question)
+        .join(own, "target_id", "left")
+        .select("target_id", (F.coalesce("nearer", F.lit(0)) - F.coalesce("own", F.lit(0)) + 1).alias("rank"))
+    )
+
+
+def _own_rows_before(pairs: DataFrame, index: Index) -> DataFrame:
+    """How many rows with the target's own key come before the named candidate."""
+    mine = index.rows.select("cohort", "key", F.col("season").alias("own_season"), F.col("vec").alias("own_vec"))
+    own = pair_scores(F.col("vec"), F.col("own_vec"), index.dims)[index.metric]
+    own, limit = F.round(own, DECIMALS), F.round("score", DECIMALS)
+    nearer = own > limit if index.metric == "cosine" else own < limit
+    earlier = F.struct("key", "own_season") < F.struct(F.col("other_key"), F.col("other_season"))
+    before = nearer | ((own == limit) & earlier)
+    return pairs.join(mine, ["cohort", "key"]).filter(before).groupBy("target_id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _rows_before(asked: DataFrame, index: Index, chunk_rows: int) -> DataFrame:
+    """Rows before the named candidate, own rows included.
+
+    A cell whose box lies beyond the named candidate counts nothing, a cell wholly nearer counts its
+    size; only the cells between are searched, and each chunk returns one count per question.
     """
-    asked = pairs.select("target_id", "cohort", "key", "vec", "other_key", "other_season", "score")
     schema = T.StructType(
         [
-            T.StructField("target_id", pairs.schema["target_id"].dataType),
+            T.StructField("target_id", asked.schema["target_id"].dataType),
             T.StructField("nearer", T.LongType()),
         ]
     )
@@ -243,21 +314,19 @@ def rank_of(pairs: DataFrame, index: Index, chunk_rows: int = CHUNK_ROWS) -> Dat
         here = index.cells.select("cohort")
         queries = asked.join(here, "cohort").withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0)})
         counts = _in_blocks(queries, index, work, schema, chunk_rows)
-        return counts.groupBy("target_id").agg((F.sum("nearer") + 1).alias("rank"))
-    own = index.rows.select("cohort", "key", "cell", F.lit(True).alias("own_cell")).distinct()
-    inside = _box_reach(index) < _limit(index.metric, -_SLACK)
-    reached = (
-        asked.join(index.cells.drop("cuts", "bits"), "cohort")
-        .filter(_box_distance(index) <= _limit(index.metric, _SLACK))
-        .withColumn("inside", inside)
-        .drop("low", "high")
-    )
-    reached = materialize(reached.join(own, ["cohort", "key", "cell"], "left"), "reached")
-    whole = F.col("inside") & F.col("own_cell").isNull()
-    counted = reached.filter(whole).select("target_id", F.col("rows").alias("nearer"))
-    open_cells = reached.filter(~whole).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    )
-    searched = _in_blocks(open_cells.select(*asked.columns, "cell", "chunk"), index, work, schema, chunk_rows)
-    counts = counted.unionByName(searched)
-    return counts.groupBy("target_id").agg((F.sum("nearer") + 1).alias("rank"))
+    else:
+        inside = _box_reach(index) < _limit(index.metric, -_SLACK)
+        reached = (
+            _with_cells(asked, index)
+            .filter(_box_distance(index) <= _limit(index.metric, _SLACK))
+            .withColumn("inside", inside)
+            .drop("low", "high")
+        )
+        reached = materialize(reached, "reached")
+        counted = reached.filter("inside").groupBy("target_id").agg(F.sum("rows").alias("nearer"))
+        open_cells = reached.filter("NOT inside").withColumn(
+            "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        )
+        queries = open_cells.select(*asked.columns, "cell", "chunk")
+        counts = counted.unionByName(_in_blocks(queries, index, work, schema, chunk_rows))
+    return counts.groupBy("target_id").agg(F.sum("nearer").alias("nearer"))

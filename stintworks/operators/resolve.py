@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stintworks.functions.cleaning import folded, trimmed
+from stintworks.workspace import materialize
 
 MAX_SIMILAR = 50
 SUGGESTIONS = 10
@@ -40,17 +41,27 @@ def _candidates(canonical: DataFrame) -> DataFrame:
     )
 
 
-def _match_counts(people: DataFrame) -> DataFrame:
-    """Matches per (name), (name, season), (name, club) and (name, club, season).
+def _scopes(asked: DataFrame) -> list[list[str]]:
+    """Grouping columns for the kinds of requests there are: with or without season and club."""
+    club, season = F.col("lookup_club").isNotNull(), F.col("season").isNotNull()
+    kinds = asked.agg(
+        F.bool_or(~season).alias("any"), F.bool_or(season).alias("season"),
+        F.bool_or(club & ~season).alias("club"), F.bool_or(club & season).alias("both"),
+    ).first()
+    scopes = {"any": [], "season": ["lookup_season"], "club": ["lookup_club"], "both": ["lookup_club", "lookup_season"]}
+    return [["lookup_name", *columns] for kind, columns in scopes.items() if kinds[kind]] or [["lookup_name"]]
+
+
+def _match_counts(people: DataFrame, scopes: list[list[str]]) -> DataFrame:
+    """Matches per name within each scope.
 
     Counting first means a request meets one row per scope, however many rows share its name.
     """
     one = F.struct(*[F.col(c).alias(f"matched_{c}") for c in _MATCHED])
-    name, club = F.col("lookup_name"), F.col("lookup_club")
     people = people.withColumn("lookup_season", F.col("season"))
-    season = F.col("lookup_season")
-    sets = [[name], [name, season], [name, club], [name, club, season]]
-    return people.groupingSets(sets, name, club, season).agg(
+    columns = ["lookup_name", "lookup_club", "lookup_season"]
+    sets = [[F.col(c) for c in scope] for scope in scopes]
+    return people.groupingSets(sets, *columns).agg(
         (F.grouping("lookup_club") == 0).alias("by_club"),
         F.when(F.grouping("lookup_season") == 1, _ANY_SEASON)
         .otherwise(F.max("season"))
@@ -69,7 +80,7 @@ def resolve(requests: DataFrame, canonical: DataFrame) -> DataFrame:
     asked = with_lookup(requests)
     people = _candidates(canonical)
     wanted = asked.select("lookup_name").distinct()
-    counts = _match_counts(people.join(wanted, "lookup_name", "left_semi"))
+    counts = _match_counts(people.join(wanted, "lookup_name", "left_semi"), _scopes(asked))
     by_name = counts.filter(~F.col("by_club")).select(
         F.col("lookup_name"), F.col("scope_season").alias("lookup_season"),
         F.col("matches").alias("name_matches"), F.col("match").alias("name_match"),
@@ -182,10 +193,11 @@ def substring_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
     asked = texts.withColumn(
         "gram", F.explode(F.when(long_text, _grams(F.col("text"), GRAM)).otherwise(F.array("text")))
     )
+    asked = materialize(asked, "grams")
     sizes = [_grams(F.col("name"), n) for n in range(1, GRAM + 1)]
     blank = F.array(F.lit(""))
     offered = names.withColumn("gram", F.explode(F.array_distinct(F.concat(blank, *sizes))))
-    offered = offered.join(asked.select("gram").distinct(), "gram", "left_semi")
+    offered = materialize(offered.join(asked.select("gram").distinct(), "gram", "left_semi"), "offered")
     frequency = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     rarest = (
         asked.join(frequency, "gram", "left")
@@ -198,13 +210,15 @@ def substring_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
 def suggestions(resolved: DataFrame, canonical: DataFrame) -> DataFrame:
     """Up to ten (name, club, competition) per request that was not found, by name and key."""
     asked = with_lookup(resolved.filter(F.col("status") == NOT_FOUND))
-    lookups = asked.select(F.col("lookup_name").alias("text"), "lookup_season").distinct()
+    asked = materialize(asked.select("request_id", F.col("lookup_name").alias("text"), "lookup_season"), "unmatched")
+    lookups = asked.select("text", "lookup_season").distinct()
     shown = ["player_name", "primary_squad_name", "primary_competition_name"]
     people = (
         _candidates(canonical)
         .groupBy("lookup_name", "season", *shown)
         .agg(F.min("canonical_player_key").alias("first_key"))
     )
+    people = materialize(people, "people")
     names = people.select(F.col("lookup_name").alias("name")).distinct()
     pairs = substring_matches(lookups.select("text").distinct(), names)
     in_season = (F.col("lookup_season") == _ANY_SEASON) | (F.col("lookup_season") == F.col("season"))
@@ -217,8 +231,4 @@ def suggestions(resolved: DataFrame, canonical: DataFrame) -> DataFrame:
     )
     by_name = Window.partitionBy("text", "lookup_season").orderBy("player_name", "first_key", "primary_squad_name", "primary_competition_name")
     top = hits.withColumn("position", F.row_number().over(by_name)).filter(F.col("position") <= SUGGESTIONS)
-    return (
-        asked.withColumnRenamed("lookup_name", "text")
-        .join(top, ["text", "lookup_season"])
-        .select("request_id", "position", *shown)
-    )
+    return asked.join(top, ["text", "lookup_season"]).select("request_id", "position", *shown)

@@ -12,7 +12,7 @@ from stintworks.functions.cleaning import folded, trimmed
 from stintworks.operators.cohorts import (
     COHORT, cohort_id, missing_total, moments, role_mask, similarity_population, zscores,
 )
-from stintworks.operators.neighbours import CHUNK_ROWS, Index, build_index, nearest, rank_of
+from stintworks.operators.neighbours import CHUNK_ROWS, Index, build_index, nearest, pair_scores, rank_of
 from stintworks.operators.resolve import (
     COHORT_TOO_SMALL, MAX_SIMILAR, MISSING_FEATURES, OK, flag_not_eligible, resolve, with_detail,
 )
@@ -127,22 +127,6 @@ def similar(
     return outcomes, served.join(found, "target_id").filter(F.col("rank") <= F.col("wanted")).drop("wanted")
 
 
-def pair_scores(a: Column, b: Column, dims: int) -> dict[str, Column]:
-    """The three scores of two vectors, summed in feature order."""
-    gaps = [a[i] - b[i] for i in range(dims)]
-
-    def total(terms: list[Column]) -> Column:
-        return sum(terms[1:], terms[0])
-
-    norms = F.sqrt(total([a[i] * a[i] for i in range(dims)])) * F.sqrt(total([b[i] * b[i] for i in range(dims)]))
-    dot = total([a[i] * b[i] for i in range(dims)])
-    return {
-        "euclidean": F.sqrt(total([g * g for g in gaps])),
-        "manhattan": total([F.abs(g) for g in gaps]),
-        "cosine": F.when(norms == 0, F.lit(0.0)).otherwise(dot / norms),
-    }
-
-
 def with_vectors(pairs: DataFrame, space: Space) -> DataFrame:
     """Add ``target_z`` and ``candidate_z`` to rows of (target_id, key, season)."""
     known = space.rows.select(target_id().alias("target_id"), "cohort", F.col("key").alias("target_key"),
@@ -195,6 +179,7 @@ def candidate_ranks(
     ``named`` comes from ``find_candidates`` (or any frame with target_id, other_key, other_season);
     the status says where the cohort has no such candidate.
     """
+    named = materialize(named.select("target_id", "other_key", "other_season"), "asked")
     present = named.filter(F.col("other_key").isNotNull())
     pairs = present.select("target_id", F.col("other_key").alias("key"), F.col("other_season").alias("season"))
     scores = pair_scores(F.col("target_z"), F.col("candidate_z"), len(space.features))
@@ -204,7 +189,7 @@ def candidate_ranks(
         *[c.alias(m) for m, c in scores.items()],
     )
     scored = materialize(scored, "named")
-    result = named.select("target_id", "other_key", "other_season").join(scored.select("target_id", *METRICS), "target_id", "left")
+    result = named.join(scored.select("target_id", *METRICS), "target_id", "left")
     for metric in METRICS:
         ranks = rank_of(scored.withColumn("score", F.col(metric)), index_of(space, metric, None, chunk_rows=chunk_rows), chunk_rows)
         result = result.join(ranks.withColumnRenamed("rank", f"{metric}_rank"), "target_id", "left")

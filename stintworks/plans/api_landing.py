@@ -111,28 +111,23 @@ def land_api_documents(
     )
     team = merge_by_key(table("team", TEAM), teams, ["api_football_id"], ["name", "logo_url", "updated_at"], order)
 
-    source = sources.filter(F.col("code") == SOURCE_CODE).select(F.col("id").alias("source_id"), F.col("code"))
-    facts = (
-        stats.withColumn("code", F.lit(SOURCE_CODE))
-        .join(source, "code")
-        .select(
-            F.col("player_api_id").alias("player_id"), F.col("competition_api_id").alias("competition_id"),
-            F.col("team_api_id").alias("team_id"), "source_id", "season", *FACT_PATHS, "fetched_at", stamp,
-            "document_id", "place",
-        )
+    registered = sources.filter(F.col("code") == SOURCE_CODE).select("id").first()
+    if registered is None:
+        raise ValueError(f"source {SOURCE_CODE} is not registered")
+    source_id = F.lit(registered["id"]).cast("long").alias("source_id")
+    facts = stats.select(
+        F.col("player_api_id").alias("player_id"), F.col("competition_api_id").alias("competition_id"),
+        F.col("team_api_id").alias("team_id"), source_id, "season", *FACT_PATHS, "fetched_at", stamp,
+        "document_id", "place",
     )
     fact = merge_by_key(
         table("stats", FACT), facts, FACT_KEYS, [*FACT_PATHS, "fetched_at", "updated_at"], order
     )
-    raw = (
-        accepted.withColumn("code", F.lit(SOURCE_CODE))
-        .join(source, "code")
-        .select(
-            "source_id", F.lit(ENDPOINT).alias("endpoint"),
-            F.to_json(F.struct("search", "league", "season")).alias("request_params"),
-            F.lit("player").alias("entity_type"), F.col("player.id").try_cast("int").alias("entity_api_id"),
-            "season", "payload", "fetched_at",
-        )
+    raw = accepted.select(
+        source_id, F.lit(ENDPOINT).alias("endpoint"),
+        F.to_json(F.struct("search", "league", "season")).alias("request_params"),
+        F.lit("player").alias("entity_type"), F.col("player.id").try_cast("int").alias("entity_api_id"),
+        "season", "payload", "fetched_at",
     )
     summary = stats.select(
         "document_id", "team_name", "competition_name", "season", "appearances", "minutes", "goals", "assists"
