@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 BLANKS = " \t\r\n\f\v"
-# One number as the sources write it: sign before or after, thousands commas, exponent.
-_NUMBER = r"^[+-]?(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# One number as the sources write it, thousands commas removed: sign in front, exponent.
+_NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def _number_text(text: Column) -> Column:
-    """Plain number text, or NULL where ``text`` is not one number.
+def _number_text(text: Column, before: str = "") -> Column:
+    """Plain number text, or NULL where ``text`` is not one number after ``before``.
 
     ``(5)`` and ``5-`` are negative, as in the source's number style.
     """
-    signed = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
-    signed = F.regexp_replace(signed, r"^([^+-].*)([+-])$", "$2$1")
-    return F.when(signed.rlike(_NUMBER), F.replace(signed, F.lit(","), F.lit("")))
+    signed = F.regexp_replace(text, r"^\((.*)\)$|^([^+-].*)-$", "-$1$2")
+    return F.nullif(F.regexp_extract(signed, rf"^{before}{_NUMBER}\+?$", 1), F.lit(""))
 
 
 def _blank_free(c: Column) -> Column:
@@ -34,15 +33,15 @@ def clean_int(c: Column, to: str = "int") -> Column:
     costs an exception per cell.
     """
     plain = F.when(c.rlike(r"^\s*[+-]?\d{1,9}\s*$"), c.try_cast(to))
-    return F.coalesce(plain, _number_text(_blank_free(c)).try_cast("double").try_cast(to))
+    return F.coalesce(plain, _number_text(F.translate(trimmed(c), ",", "")).try_cast("double").try_cast(to))
 
 
 def clean_decimal(c: Column, precision: int, scale: int) -> Column:
     """Number without percent signs and one leading plus, rounded half up to ``scale``."""
     kind = f"decimal({precision},{scale})"
     plain = F.when(c.rlike(r"^\s*[+-]?\d{1,18}(\.\d{1,18})?\s*$"), c.try_cast(kind))
-    bare = F.regexp_replace(F.replace(_blank_free(c), F.lit("%"), F.lit("")), r"^\+", "")
-    return F.coalesce(plain, _number_text(bare).try_cast(kind))
+    bare = F.translate(trimmed(c), "%,", "")
+    return F.coalesce(plain, _number_text(bare, before=r"\+?").try_cast(kind))
 
 
 def first_token(c: Column) -> Column:

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The row with the greatest ``order`` per key, by a partial aggregate and no sort."""
+    """The row with the greatest ``order`` per key, by one partial aggregate."""
     rest = [c for c in rows.columns if c not in keys]
     latest = F.max_by(F.struct(*rest), F.struct(*order)).alias("latest")
     return rows.groupBy(*keys).agg(latest).select(*keys, "latest.*").select(*rows.columns)
 
 
+def _spread(rows: DataFrame, keys: Sequence[str], name: str) -> Column:
+    keyless = reduce(or_, [F.col(k).isNull() for k in keys])
+    return F.when(keyless, F.xxhash64(*rows.columns)).otherwise(F.lit(0)).alias(name)
+
+
 def merge_by_key(
     target: DataFrame,
     updates: DataFrame,
@@ -37,9 +44,10 @@ def merge_by_key(
         fresh = updates.select(*carried).join(target.select(*keys), list(keys), "left_anti")
         return target.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 
-    old = target.select(*[F.col(c).alias(f"old_{c}") for c in target.columns], F.lit(True).alias("is_old"))
-    new = updates.select(*[F.col(c).alias(f"new_{c}") for c in carried], F.lit(True).alias("is_new"))
-    on = [F.col(f"old_{k}") == F.col(f"new_{k}") for k in keys]
+    # Rows without a key match nothing; a hash of the row keeps them from crowding one join task.
+    old = target.select(*[F.col(c).alias(f"old_{c}") for c in target.columns], _spread(target, keys, "old_spread"), F.lit(True).alias("is_old"))
+    new = updates.select(*[F.col(c).alias(f"new_{c}") for c in carried], _spread(updates, keys, "new_spread"), F.lit(True).alias("is_new"))
+    on = [F.col(f"old_{k}") == F.col(f"new_{k}") for k in keys] + [F.col("old_spread") == F.col("new_spread")]
     merged = old.join(new, on, "full_outer")
 
     def column(name: str) -> Column:

@@ -8,7 +8,7 @@ and return at most k rows per query, so no pair list is ever formed and no cohor
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -56,6 +56,12 @@ class Index:
     split_dims: int
     single: bool
 
+    def under(self, metric: str) -> Index:
+        """The same layout searched by another distance over the same coordinates."""
+        if (metric == "cosine") != (self.metric == "cosine"):
+            raise ValueError("cosine has coordinates of its own")
+        return replace(self, metric=metric)
+
 
 def _norm(vec: Column, dims: int) -> Column:
     return F.sqrt(sum((vec[i] * vec[i] for i in range(1, dims)), vec[0] * vec[0]))
@@ -92,7 +98,7 @@ def build_index(
     candidates: DataFrame, dims: int, metric: str = "euclidean", keep_per_vector: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> Index:
-    """Lay out ``candidates`` (cohort, key, season, vec).
+    """Lay out ``candidates`` (cohort, key, season, vec), which is read several times: store it first.
 
     With ``keep_per_vector`` only the first keys of rows with the same vector stay: ties go by key,
     so no other row of such a group can be among the nearest.
@@ -103,7 +109,7 @@ def build_index(
     if keep_per_vector is not None:
         same = Window.partitionBy("cohort", "vec").orderBy("key")
         rows = rows.withColumn("place", F.dense_rank().over(same)).filter(F.col("place") <= keep_per_vector).drop("place")
-    rows = materialize(rows, "candidates")
+        rows = materialize(rows, "candidates")
     point = coordinates(F.col("vec"), dims, metric)
     split_dims = min(len(point), _SPLIT_DIMS)
     levels = [i / 2**_LEVELS for i in range(1, 2**_LEVELS)]
@@ -271,9 +277,9 @@ def rank_of(pairs: DataFrame, index: Index, chunk_rows: int = CHUNK_ROWS) -> Dat
 
     ``pairs`` has target_id, cohort, key, vec, other_key, other_season and score; the target's own
     rows do not count. Targets with the same vector and the same named candidate share one search.
+    ``pairs`` is read several times, so it should be a stored table.
     """
     question = ["cohort", "vec", "other_key", "other_season"]
-    pairs = materialize(pairs.select("target_id", "key", "score", *question), "pairs")
     asked = pairs.groupBy(*question).agg(F.min("target_id").alias("question_id"), F.min("score").alias("score"))
     asked = materialize(asked, "questions")
     total = _rows_before(asked.withColumnRenamed("question_id", "target_id"), index, chunk_rows)

@@ -14,7 +14,7 @@ from stintworks.operators.cohorts import (
 )
 from stintworks.operators.neighbours import CHUNK_ROWS, Index, build_index, nearest, pair_scores, rank_of
 from stintworks.operators.resolve import (
-    COHORT_TOO_SMALL, MAX_SIMILAR, MISSING_FEATURES, OK, flag_not_eligible, resolve, with_detail,
+    COHORT_TOO_SMALL, MISSING_FEATURES, OK, flag_not_eligible, resolve, with_detail,
 )
 from stintworks.schemas import FEATURE_LABELS, FEATURES
 from stintworks.workspace import materialize
@@ -96,7 +96,7 @@ def similar(
     """``(outcomes, neighbours)`` for a batch of requests.
 
     Every request has an outcome. Requests for the same entity share one search, up to the widest
-    limit a request may ask for; ``k`` serves requests that give none. ``eligible_only`` resolves
+    limit asked for; ``k`` serves requests that give none. ``eligible_only`` resolves
     names within the similarity population, where ineligible entities are simply not found.
     """
     space = space or build_space(canonical, cohort_cols, features)
@@ -122,7 +122,7 @@ def similar(
         limit.alias("wanted"),
     )
     targets = all_targets(space).join(served.select("target_id").distinct(), "target_id", "left_semi")
-    widest = MAX_SIMILAR if "k" in requests.columns else k
+    widest = served.agg(F.max("wanted")).first()[0] or k
     found = neighbours(space, targets, metric, widest)
     return outcomes, served.join(found, "target_id").filter(F.col("rank") <= F.col("wanted")).drop("wanted")
 
@@ -135,14 +135,24 @@ def with_vectors(pairs: DataFrame, space: Space) -> DataFrame:
     return pairs.join(known, "target_id").join(others, ["key", "season"])
 
 
+def _indexes(space: Space, k: int | None, chunk_rows: int) -> dict[str, Index]:
+    """One index per metric; the two distances share a layout."""
+    plain = index_of(space, "euclidean", k, chunk_rows=chunk_rows)
+    return {
+        "euclidean": plain,
+        "manhattan": plain.under("manhattan"),
+        "cosine": index_of(space, "cosine", k, chunk_rows=chunk_rows),
+    }
+
+
 def compare_metrics(
     space: Space, targets: DataFrame | None = None, k: int = 10, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """The k nearest under each metric, every row with all three scores."""
     targets = all_targets(space, min_cohort=1) if targets is None else targets
     ranked = None
-    for metric in METRICS:
-        found = nearest(targets, index_of(space, metric, k, chunk_rows=chunk_rows), k, chunk_rows)
+    for metric, index in _indexes(space, k, chunk_rows).items():
+        found = nearest(targets, index, k, chunk_rows)
         found = found.select("target_id", "key", "season", F.lit(metric).alias("metric"), "rank")
         ranked = found if ranked is None else ranked.unionByName(found)
     scores = pair_scores(F.col("target_z"), F.col("candidate_z"), len(space.features))
@@ -190,8 +200,8 @@ def candidate_ranks(
     )
     scored = materialize(scored, "named")
     result = named.join(scored.select("target_id", *METRICS), "target_id", "left")
-    for metric in METRICS:
-        ranks = rank_of(scored.withColumn("score", F.col(metric)), index_of(space, metric, None, chunk_rows=chunk_rows), chunk_rows)
+    for metric, index in _indexes(space, None, chunk_rows).items():
+        ranks = rank_of(scored.withColumn("score", F.col(metric)), index, chunk_rows)
         result = result.join(ranks.withColumnRenamed("rank", f"{metric}_rank"), "target_id", "left")
     status = F.when(F.col("other_key").isNull(), "CANDIDATE_NOT_FOUND").otherwise(OK)
     return result.withColumn("status", status)
