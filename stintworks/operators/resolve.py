@@ -9,7 +9,8 @@ from stintworks.workspace import materialize
 
 MAX_SIMILAR = 50
 SUGGESTIONS = 10
-GRAM = 3
+# Lengths of the text pieces names are looked up by; a text uses the longest that fits in it.
+GRAMS = (1, 2, 3, 6, 12, 24)
 
 # Outcomes and the status codes a request interface gives them.
 OK, NOT_FOUND, CLUB_MISMATCH, AMBIGUOUS = "OK", "NOT_FOUND", "CLUB_MISMATCH", "AMBIGUOUS"
@@ -186,17 +187,17 @@ def _grams(text: Column, size: int) -> Column:
 def substring_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (text, name) where the name contains the text, both unique string columns.
 
-    Each text looks up only its rarest gram, so the join is on equal grams and a common gram is
-    used just when a text has nothing else. A text shorter than a gram is its own gram.
+    Each text looks up only its rarest gram of the longest length it has, so the join is on equal
+    grams, nearly every joined pair is a true match, and a common gram is used only by a text that
+    has nothing else. The empty text is its own gram.
     """
-    long_text = F.length("text") >= GRAM
-    asked = texts.withColumn(
-        "gram", F.explode(F.when(long_text, _grams(F.col("text"), GRAM)).otherwise(F.array("text")))
-    )
-    asked = materialize(asked, "grams")
-    sizes = [_grams(F.col("name"), n) for n in range(1, GRAM + 1)]
-    blank = F.array(F.lit(""))
-    offered = names.withColumn("gram", F.explode(F.array_distinct(F.concat(blank, *sizes))))
+    pieces = F.array(F.lit(""))
+    for size in GRAMS:
+        pieces = F.when(F.length("text") >= size, _grams(F.col("text"), size)).otherwise(pieces)
+    asked = materialize(texts.withColumn("gram", F.explode(pieces)), "grams")
+    offers = [_grams(F.col("name"), size) for size in GRAMS]
+    all_offers = F.array_distinct(F.concat(F.array(F.lit("")), *offers))
+    offered = names.withColumn("gram", F.explode(all_offers))
     offered = materialize(offered.join(asked.select("gram").distinct(), "gram", "left_semi"), "offered")
     frequency = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     rarest = (

@@ -131,3 +131,17 @@ def test_deep_pages_equal_plain_ones(make_stints, monkeypatch):
     monkeypatch.setattr(module, "DEEP_OFFSET", -1)
     monkeypatch.setattr(module._skip_ranges, "__defaults__", (40,))
     assert {o: explore(rows, limit=20, offset=o)[1].collect() for o in plain} == plain
+
+
+def test_substring_matches_equal_brute_force(spark):
+    import random
+
+    from stintworks.operators.resolve import substring_matches
+
+    dice = random.Random(4)
+    names = sorted({"".join(dice.choice("ab") for _ in range(dice.randint(0, 40))) for _ in range(150)})
+    texts = sorted({n[i : i + dice.randint(0, 30)] for n in names for i in [dice.randint(0, 9)]} | {"", "zz", "a" * 30})
+    got = substring_matches(
+        spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted((t, n) for t in texts for n in names if t in n)
