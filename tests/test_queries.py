@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from stintworks.fixtures.registry import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = "/root/testdata/sf0.001"
@@ -32,7 +33,7 @@ def comparable(rows, columns, wanted):
     return sorted(tuple(cell(r[i]) for i in places) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     frame = contract.queries()[name](spark, SF_DIR)
     rows = frame.collect()
