@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stintworks.llm import chat, dedup, fingerprints, langid, licenses, mixing, packing
+from stintworks.llm import chat, dedup, fingerprints, langid, licenses, mixing, neardup, packing, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,12 +56,32 @@ def op4_chat_format(spark, sf_dir):
     return chat.read_back(stream, examples)
 
 
+@register()
+def op2_pii(spark, sf_dir):
+    return pii.summarize(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 @register()
 def op3_pack_best_fit(spark, sf_dir):
     rows = packing.pack_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@register("""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+    g AS (SELECT html, max(page_id) AS keep_id FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+    SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
+      CASE WHEN keep_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN keep_id <> page_id THEN keep_id END AS refers_to
+    FROM p LEFT JOIN g ON p.html = g.html
+""")
+def op5_warc(spark, sf_dir):
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.pages_of(warc.read_archives(archives, with_payload=False)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @register()
 def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -72,6 +92,11 @@ def op7_license_scan(spark, sf_dir):
     return licenses.summarize(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+@register()
+def op8_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 @register()
 def op9_fingerprint(spark, sf_dir):
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
