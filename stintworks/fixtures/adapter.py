@@ -360,7 +360,7 @@ def derive_api_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     )
     entries = F.when(F.col("kind") == 1, F.slice(F.array(entry), 1, 0)).when(F.col("kind") == 2, F.array(decoy, entry)).otherwise(F.array(entry))
     errors = F.when(F.col("kind") == 0, '{"errors":{"token":"expired"},').otherwise('{"errors":[],')
-    payload = F.concat(errors, F.substring(F.to_json(F.struct(entries.alias("response"))), F.lit(2), F.lit(1 << 30)))
+    payload = F.concat(errors, F.regexp_replace(F.to_json(F.struct(entries.alias("response"))), r"^\{", ""))
     documents = whole.select(
         F.col("o_orderkey").cast("string").alias("document_id"), payload.alias("payload"), F.col("o_orderdate").cast("timestamp").alias("fetched_at")
     )

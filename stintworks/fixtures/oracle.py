@@ -429,7 +429,9 @@ API_REJECTS = query([API], """
 SELECT CAST(o_orderkey AS VARCHAR) AS document_id, search, league, season,
   CASE kind WHEN 0 THEN 'API_ERRORS' WHEN 1 THEN 'NO_ENTRIES' ELSE 'NO_STATISTICS' END AS reject_reason,
   CASE kind WHEN 0 THEN '{"token":"expired"}' ELSE '[]' END AS errors
-FROM asked WHERE o_orderkey NOT IN (SELECT o_orderkey FROM good)""")
+FROM asked WHERE o_orderkey NOT IN (SELECT o_orderkey FROM good)
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), lower(substr(c_name, 1, 8)), o_orderkey % 5, CAST(year(o_orderdate) AS INTEGER), 'NO_DOCUMENT', ''
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 API_SUMMARY = query([API], """
 SELECT CAST(o_orderkey AS VARCHAR) AS document_id, n_name AS team_name, r_name AS competition_name, season, CAST(games AS INTEGER) AS appearances,
   CAST(minutes AS INTEGER) AS minutes, CAST(goals AS INTEGER) AS goals, CAST(NULL AS INTEGER) AS assists FROM good""")
@@ -462,3 +464,32 @@ POOL_SPACE = POP.replace("season || '|' || position_group AS cohort", "position_
 ).replace("GROUP BY season, position_group", "GROUP BY position_group").replace("m.season = p.season AND ", "")
 POOLED = query([*CANONICAL, POOL_SPACE, PAIRS], """SELECT target_id, key, season, CAST(euclidean_rank AS INTEGER) AS rank, round(euclidean, 6) AS score
 FROM ranked WHERE euclidean_rank <= 5 AND n >= 3""")
+
+
+_LAST_KEYED = """SELECT o_custkey * 2 AS key, o_totalprice AS amount FROM (
+    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderkey % 5 <> 0) WHERE n = 1"""
+_NO_KEY = "SELECT NULL AS key, NULL AS name, o_totalprice AS amount FROM orders WHERE o_orderkey % 5 = 0"
+MERGE_NULL_KEYS = f"""
+WITH target AS (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS key, c_name AS name, c_acctbal AS amount FROM customer),
+last AS ({_LAST_KEYED})
+SELECT coalesce(t.key, l.key) AS key, name, CASE WHEN l.key IS NULL THEN t.amount ELSE l.amount END AS amount, 'update' AS mode
+FROM target t FULL JOIN last l ON t.key = l.key
+UNION ALL SELECT *, 'update' FROM ({_NO_KEY})
+UNION ALL SELECT *, 'ignore' FROM target
+UNION ALL SELECT key, NULL, amount, 'ignore' FROM last WHERE key NOT IN (SELECT key FROM target WHERE key IS NOT NULL)
+UNION ALL SELECT *, 'ignore' FROM ({_NO_KEY})"""
+_OUTCOME = """SELECT a.o_orderkey, CASE WHEN a.o_orderkey % 7 = 3 THEN 'NO_DOCUMENT' WHEN a.o_orderkey % 11 = 5 THEN 'NO_REQUEST' WHEN kind = 0 THEN 'API_ERRORS'
+    WHEN kind = 1 THEN 'NO_ENTRIES' WHEN a.o_orderkey NOT IN (SELECT o_orderkey FROM good) THEN 'NO_STATISTICS' END AS reject_reason
+  FROM asked a WHERE NOT (a.o_orderkey % 7 = 3 AND a.o_orderkey % 11 = 5)
+  UNION ALL SELECT o_orderkey, 'NO_DOCUMENT' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_orderkey % 11 <> 5"""
+API_UNMATCHED = query([API], f"""
+SELECT reject_reason, count(*) AS documents, CAST(sum(o_orderkey) AS BIGINT) AS keys
+FROM ({_OUTCOME}) WHERE reject_reason IS NOT NULL GROUP BY reject_reason""")
+API_BAD_CELLS = query([API], """
+, told AS (SELECT CASE WHEN o_orderkey % 9 IN (3, 4) THEN NULL ELSE 'LOADED' END AS outcome,
+    minutes + CASE WHEN o_orderkey % 9 = 2 AND minutes % 2 = 1 THEN 1 ELSE 0 END AS minutes FROM good),
+gone AS (SELECT CASE WHEN kind = 0 THEN 'API_ERRORS' WHEN kind = 1 THEN 'NO_ENTRIES' WHEN o_orderkey NOT IN (SELECT o_orderkey FROM good) THEN 'NO_STATISTICS'
+    WHEN o_orderkey % 9 = 3 THEN 'BAD_NUMBER' WHEN o_orderkey % 9 = 4 THEN 'NO_DIMENSION_KEY' END AS outcome FROM asked
+  UNION ALL SELECT 'NO_DOCUMENT' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
+SELECT outcome, count(*) AS rows, CAST(sum(minutes) AS BIGINT) AS minutes FROM (
+  SELECT * FROM told UNION ALL SELECT outcome, 0 FROM gone) WHERE outcome IS NOT NULL GROUP BY outcome""")

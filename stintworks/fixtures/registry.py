@@ -111,6 +111,9 @@ _explore("eligible", "position_group = 'FW' AND minutes >= 900 AND is_similarity
 _explore("ineligible", "NOT is_similarity_eligible AND minutes >= 0", 25, 5, similarity_eligible=False, min_minutes=0)
 
 
+_explore("deep", "minutes >= 0", 30, 400, min_minutes=0, range_rows=64)
+
+
 @register("resolve_requests", query([*CANONICAL, oracle.REQ_WITH_K], f"SELECT request_id, resolved_status AS status, CAST({oracle.CODE} AS INTEGER) AS status_code, {oracle.DETAIL} AS detail, matches, canonical_player_key, season FROM (SELECT *, resolved_status AS status FROM matched)"))
 def resolve_requests(spark, sf_dir):
     found = resolve(adapter.requests(spark, sf_dir), adapter.canonical_layer(spark, sf_dir))
@@ -169,6 +172,29 @@ for _metric in ("euclidean", "cosine", "manhattan"):
     _knn(_metric, 10)
 
 
+# Rows of a chunk that make small cohorts span many cells and chunks, as large cohorts do.
+SMALL_CHUNK = 16
+
+
+def _knn_cells(metric: str, k: int):
+    @register(f"knn_cells_{metric}", oracle.knn(metric, k))
+    def knn_cells(spark, sf_dir):
+        space = adapter.similarity_space(spark, sf_dir)
+        return rounded(similarity.neighbours(space, metric=metric, k=k, chunk_rows=SMALL_CHUNK), "score")
+
+
+for _metric in ("euclidean", "cosine", "manhattan"):
+    _knn_cells(_metric, 5)
+
+
+@register("rank_cells", query(RANKED, oracle.DIAGNOSTIC))
+def rank_cells(spark, sf_dir):
+    space = adapter.similarity_space(spark, sf_dir)
+    targets = similarity.all_targets(space, min_cohort=1)
+    named = similarity.find_candidates(adapter.named_candidates(targets, space), space)
+    return rounded(similarity.candidate_ranks(named, space, chunk_rows=SMALL_CHUNK), "euclidean", "manhattan", "cosine")
+
+
 @register("knn_pooled_cohort", oracle.POOLED)
 def knn_pooled_cohort(spark, sf_dir):
     space = adapter.similarity_space(spark, sf_dir, ("position_group",))
@@ -295,6 +321,32 @@ def api_rejects(spark, sf_dir):
     return land_api_documents(*adapter.api_documents(spark, sf_dir)).rejects
 
 
+@register("api_unmatched", oracle.API_UNMATCHED)
+def api_unmatched(spark, sf_dir):
+    """Some documents without a request, some requests without a document."""
+    documents, requests = adapter.api_documents(spark, sf_dir)
+    order = F.col("document_id").cast("long")
+    landing = land_api_documents(documents.filter(order % 7 != 3), requests.filter(order % 11 != 5))
+    return landing.rejects.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("documents"), F.sum(order).alias("keys"))
+
+
+@register("api_bad_cells", oracle.API_BAD_CELLS)
+def api_bad_cells(spark, sf_dir):
+    """Minutes as fractions round, as text they reject the document; a team without key does, too."""
+    documents, requests = adapter.api_documents(spark, sf_dir)
+    order = F.col("document_id").cast("long")
+    payload = (
+        F.when(order % 9 == 2, F.regexp_replace("payload", r'"minutes":(\d+)', r'"minutes":$1.5'))
+        .when(order % 9 == 3, F.regexp_replace("payload", r'"minutes":(\d+)', r'"minutes":"$1 min"'))
+        .when(order % 9 == 4, F.regexp_replace("payload", r'"team":\{"id":\d+', r'"team":{"id":null'))
+        .otherwise(F.col("payload"))
+    )
+    landing = land_api_documents(documents.withColumn("payload", payload), requests)
+    told = landing.summary.select(F.lit("LOADED").alias("outcome"), F.col("minutes").cast("long").alias("minutes"))
+    told = told.unionByName(landing.rejects.select(F.col("reject_reason").alias("outcome"), F.lit(0).cast("long").alias("minutes")))
+    return told.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"), F.sum("minutes").alias("minutes"))
+
+
 @register("api_summary", oracle.API_SUMMARY)
 def api_summary(spark, sf_dir):
     return land_api_documents(*adapter.api_documents(spark, sf_dir)).summary
@@ -347,6 +399,20 @@ def merge_ignore(spark, sf_dir):
     return _merge(spark, sf_dir, "ignore")
 
 
+@register("merge_null_keys", oracle.MERGE_NULL_KEYS)
+def merge_null_keys(spark, sf_dir):
+    """Every seventh customer and every fifth order has no key: none of them matches, none is lost."""
+    target = adapter.table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
+    updates = adapter.table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") * 2).alias("key"), F.col("o_totalprice").alias("amount"), "o_orderdate", "o_orderkey")
+    merged = [
+        merge_by_key(target, updates, ["key"], ["amount"], ["o_orderdate", "o_orderkey"], mode).withColumn("mode", F.lit(mode))
+        for mode in ("update", "ignore")
+    ]
+    return merged[0].unionByName(merged[1])
+
+
 @register("latest_document", oracle.LATEST)
 def latest_document(spark, sf_dir):
     rows = adapter.table(spark, sf_dir, "events")
@@ -376,6 +442,13 @@ def constraint_length(spark, sf_dir):
     return constraints.length_violations(adapter.table(spark, sf_dir, "documents"), {"text": 500, "source": 8}).select("doc_id", "n_chars")
 
 
+@register("cascade_null_keys", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 5 = 0 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+def cascade_null_keys(spark, sf_dir):
+    kept = adapter.table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
+    child = adapter.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey"))
+    return constraints.cascade(child, kept, {"o_custkey": "c_custkey"})
+
+
 @register("cascade_delete", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def cascade_delete(spark, sf_dir):
     kept = adapter.table(spark, sf_dir, "customer").filter("c_acctbal >= 0")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-BLANKS = " \t\r\n\f\v"
+# The characters that count as blank, beyond ASCII as well.
+BLANKS = " \t\r\n\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # One number as the sources write it, thousands commas removed: sign in front, exponent.
 _NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
@@ -57,8 +58,21 @@ def text_or_null(c: Column) -> Column:
 
 
 def strict_number(c: Column, to: str) -> Column:
-    """Number of an API document cell: blank is NULL, unparsable is NULL."""
-    return _blank_free(c).try_cast(to)
+    """Number of an API document cell: blank is NULL, a fraction rounds half to even for a whole type.
+
+    What is no number, or too large for the type, is NULL; ``bad_number`` tells it from a blank.
+    """
+    text = _blank_free(c)
+    if to.startswith("decimal"):
+        return _number_text(F.translate(text, ",", "")).try_cast(to)
+    plain = F.when(text.rlike(r"^[+-]?\d{1,18}$"), text.try_cast(to))
+    # Text that is not a plain number takes the longer way, through a decimal that holds it exactly.
+    return F.coalesce(plain, F.bround(_number_text(F.translate(text, ",", "")).try_cast("decimal(38,10)"), 0).try_cast(to))
+
+
+def bad_number(c: Column, to: str) -> Column:
+    """Does the cell hold text but no number of the type?"""
+    return F.coalesce(_blank_free(c).isNotNull() & strict_number(c, to).isNull(), F.lit(False))
 
 
 def first_integer(c: Column, to: str = "int") -> Column:
@@ -72,6 +86,21 @@ def source_key(player: Column, born: Column, nation: Column) -> Column:
     return F.sha2(F.concat(parts[0], F.lit("|"), parts[1], F.lit("|"), parts[2]), 256)
 
 
+# Folding that lower-casing leaves out, from the character tables: letters that fold to several, and
+# letters that lower-case does not map.
+_FOLDS = {chr(i): chr(i).casefold() for i in range(0x80, 0x20000) if chr(i).lower().casefold() != chr(i).lower()}
+_LONG_FOLDS = {c.lower(): f for c, f in _FOLDS.items() if len(f) > 1 and len(c.lower()) == 1}
+_SHORT_FOLDS = {c.lower(): f for c, f in _FOLDS.items() if len(f) == 1 and len(c.lower()) == 1}
+
+
 def folded(c: Column) -> Column:
-    """Case-folded text for matching; accents stay significant."""
-    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    """Case-folded text for matching; accents stay significant.
+
+    Lower case does nearly all of it. Only text with one of the few characters beyond is folded further.
+    """
+    low = F.lower(c)
+    full = F.translate(low, "".join(_SHORT_FOLDS), "".join(_SHORT_FOLDS.values()))
+    for letter, fold in _LONG_FOLDS.items():
+        full = F.replace(full, F.lit(letter), F.lit(fold))
+    special = "[" + "".join([*_SHORT_FOLDS, *_LONG_FOLDS]) + "]"
+    return F.when(low.rlike(special), full).otherwise(low)

@@ -30,6 +30,8 @@ def length_violations(rows: DataFrame, limits: Mapping[str, int]) -> DataFrame:
 
 
 def cascade(child: DataFrame, surviving: DataFrame, on: Mapping[str, str]) -> DataFrame:
-    """Child rows left after their parents were reduced to ``surviving``."""
+    """Child rows left after their parents were reduced to ``surviving``. Rows without a key have no parent and stay."""
     known = surviving.select(*[F.col(p).alias(c) for c, p in on.items()])
-    return child.join(known, list(on), "left_semi").select(*child.columns)
+    keyless = reduce(or_, [F.col(c).isNull() for c in on])
+    kept = child.filter(~keyless).join(known, list(on), "left_semi").select(*child.columns)
+    return kept.unionByName(child.filter(keyless))

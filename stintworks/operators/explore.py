@@ -63,9 +63,12 @@ def predicates(
 
 
 def explore(
-    canonical: DataFrame, *, limit: int = 25, offset: int = 0, **filters
+    canonical: DataFrame, *, limit: int = 25, offset: int = 0, range_rows: int = DEEP_OFFSET, **filters
 ) -> tuple[DataFrame, DataFrame]:
-    """``(total, page)``: a one-row count and the page by minutes, name and key."""
+    """``(total, page)``: a one-row count and the page by minutes, name and key.
+
+    Offsets beyond ``range_rows`` read only the ranges of that many rows around the page.
+    """
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
     if offset < 0:
@@ -73,13 +76,13 @@ def explore(
     matching = canonical.filter(predicates(**filters))
     total = matching.agg(F.count(F.lit(1)).alias("total"))
     order = [F.desc("minutes"), F.asc("player_name"), F.asc("canonical_player_key"), F.asc("season")]
-    if offset > DEEP_OFFSET:
-        matching, offset = _skip_ranges(matching, order, offset, limit)
+    if offset > range_rows:
+        matching, offset = _skip_ranges(matching, order, offset, limit, range_rows)
     return total, records(matching.orderBy(*order).offset(offset).limit(limit))
 
 
 def _skip_ranges(
-    rows: DataFrame, order: list[Column], offset: int, limit: int, range_rows: int = DEEP_OFFSET
+    rows: DataFrame, order: list[Column], offset: int, limit: int, range_rows: int
 ) -> tuple[DataFrame, int]:
     """Only the rows around a deep page, and the offset left within them.
 

@@ -10,15 +10,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The row with the greatest ``order`` per key, by one partial aggregate."""
+    """The row with the greatest ``order`` per key, by one partial aggregate.
+
+    NULL keys never match each other: rows without a complete key all stay.
+    """
     rest = [c for c in rows.columns if c not in keys]
     latest = F.max_by(F.struct(*rest), F.struct(*order)).alias("latest")
-    return rows.groupBy(*keys).agg(latest).select(*keys, "latest.*").select(*rows.columns)
+    keyed = rows.filter(~_keyless(keys)).groupBy(*keys).agg(latest).select(*keys, "latest.*").select(*rows.columns)
+    return keyed.unionByName(rows.filter(_keyless(keys)))
+
+
+def _keyless(keys: Sequence[str]) -> Column:
+    return reduce(or_, [F.col(k).isNull() for k in keys])
 
 
 def _spread(rows: DataFrame, keys: Sequence[str], name: str) -> Column:
-    keyless = reduce(or_, [F.col(k).isNull() for k in keys])
-    return F.when(keyless, F.xxhash64(*rows.columns)).otherwise(F.lit(0)).alias(name)
+    return F.when(_keyless(keys), F.xxhash64(*rows.columns)).otherwise(F.lit(0)).alias(name)
 
 
 def merge_by_key(
@@ -41,7 +48,10 @@ def merge_by_key(
         updates = last_per_key(updates, keys, order)
     carried = [c for c in updates.columns if c in target.columns]
     if mode == "ignore":
-        fresh = updates.select(*carried).join(target.select(*keys), list(keys), "left_anti")
+        fresh = updates.select(*carried)
+        known = target.select(*keys).filter(~_keyless(keys))
+        # Rows without a key match nothing and need not crowd the join.
+        fresh = fresh.filter(~_keyless(keys)).join(known, list(keys), "left_anti").unionByName(fresh.filter(_keyless(keys)))
         return target.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 
     # Rows without a key match nothing; a hash of the row keeps them from crowding one join task.

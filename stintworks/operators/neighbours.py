@@ -137,22 +137,23 @@ def build_index(
 
 def _box_distance(index: Index) -> Column:
     """Least possible distance (squared unless Manhattan) from the query to a cell's box."""
-    gaps = [
-        F.greatest(F.col("low")[i] - x, F.lit(0.0), x - F.col("high")[i])
-        for i, x in enumerate(coordinates(F.col("vec"), index.dims, index.metric))
-    ]
-    terms = gaps if index.metric == "manhattan" else [g * g for g in gaps]
-    return sum(terms[1:], terms[0])
+    return _over_sides(index, lambda x, low, high: F.greatest(low - x, F.lit(0.0), x - high))
+
+
+def _over_sides(index: Index, gap) -> Column:
+    """Sum of the gaps between ``point`` and the box (squared unless Manhattan), as one short loop:
+    written out, the sides of a box outgrow a generated method."""
+
+    def side(total: Column, i: Column) -> Column:
+        g = gap(F.col("point")[i], F.col("low")[i], F.col("high")[i])
+        return total + (g if index.metric == "manhattan" else g * g)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size("point") - 1), F.lit(0.0), side)
 
 
 def _box_reach(index: Index) -> Column:
     """Greatest possible distance from the query to a row in a cell's box, in the same terms."""
-    spans = [
-        F.greatest(F.abs(x - F.col("low")[i]), F.abs(x - F.col("high")[i]))
-        for i, x in enumerate(coordinates(F.col("vec"), index.dims, index.metric))
-    ]
-    terms = spans if index.metric == "manhattan" else [g * g for g in spans]
-    return sum(terms[1:], terms[0])
+    return _over_sides(index, lambda x, low, high: F.greatest(F.abs(x - low), F.abs(x - high)))
 
 
 def _limit(metric: str, slack: float) -> Column:
@@ -171,7 +172,8 @@ def _with_cells(targets: DataFrame, index: Index) -> DataFrame:
     """
     cells = index.cells.drop("cuts", "bits")
     count = cells.count()
-    targets = materialize(targets, "bounded")
+    point = F.array(*coordinates(F.col("vec"), index.dims, index.metric))
+    targets = materialize(targets.withColumn("point", point), "bounded")
     tasks = targets.count() * count // _BOX_CHECKS_PER_TASK
     tasks = int(min(max(tasks, targets.sparkSession.sparkContext.defaultParallelism), 100_000))
     if count <= _BROADCAST_CELLS:
@@ -326,7 +328,7 @@ def _rows_before(asked: DataFrame, index: Index, chunk_rows: int) -> DataFrame:
             _with_cells(asked, index)
             .filter(_box_distance(index) <= _limit(index.metric, _SLACK))
             .withColumn("inside", inside)
-            .drop("low", "high")
+            .drop("low", "high", "point")
         )
         reached = materialize(reached, "reached")
         counted = reached.filter("inside").groupBy("target_id").agg(F.sum("rows").alias("nearer"))

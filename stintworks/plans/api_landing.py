@@ -67,7 +67,8 @@ def land_api_documents(
 
     ``documents`` has document_id, payload and fetched_at; ``requests`` has document_id, search,
     league and season. The natural keys of the source serve as dimension ids. A later document wins
-    over an earlier one; a document that does not answer its request is a reject.
+    over an earlier one. A document that does not answer its request, or could not be loaded whole, is a
+    reject with its reason, and so is a request without a document.
     """
     spark = documents.sparkSession
     sources = source_registry(spark) if sources is None else sources

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from stintworks.functions.cleaning import first_integer, strict_number, text_or_null
+from stintworks.functions.cleaning import bad_number, first_integer, strict_number, text_or_null
 
 # Document paths under ``statistics`` per fact column, with the source's own spellings.
 FACT_PATHS = {
@@ -98,9 +101,12 @@ def wildcard(search: Column) -> Column:
 def picked(documents: DataFrame, requests: DataFrame) -> DataFrame:
     """Documents with their request, the entry it means, its matching statistics and a reject reason.
 
-    All of it happens inside the row: a document is never exploded before it is accepted.
+    All of it happens inside the row: a document is never exploded before it is accepted. A document
+    that nobody asked for, and a request without a document, are rows with a reason as well. What
+    would stop a load (a missing key or name, a cell that is no number) rejects the document.
     """
-    joined = documents.join(requests, "document_id").withColumns(
+    come = documents.withColumn("has_document", F.lit(True))
+    joined = come.join(requests.withColumn("has_request", F.lit(True)), "document_id", "full_outer").withColumns(
         {
             "entries": F.from_json("payload", DOCUMENT_TYPE).getField("response"),
             "errors": F.coalesce(F.trim(F.get_json_object("payload", "$.errors")), F.lit("")),
@@ -116,10 +122,26 @@ def picked(documents: DataFrame, requests: DataFrame) -> DataFrame:
         return F.coalesce(league & (strict_number(s["league"]["season"], "int") == F.col("season")), F.lit(False))
 
     chosen = chosen.withColumn("statistics", F.filter(F.coalesce(F.col("entry.statistics"), F.array().cast(T.ArrayType(_statistics_type()))), asked_for))
+    person = F.col("entry.player")
+    numbers = [(path.split("."), kind) for path, kind in FACT_PATHS.values() if kind != "string"]
+    numbers += [(["league", "id"], "int"), (["league", "season"], "int"), (["team", "id"], "int")]
+
+    def unreadable(s: Column) -> Column:
+        return reduce(or_, [bad_number(s[group][name], kind) for (group, name), kind in numbers])
+
+    def unnamed(s: Column) -> Column:
+        keys = strict_number(s["league"]["id"], "int").isNull() | strict_number(s["team"]["id"], "int").isNull()
+        return keys | text_or_null(s["team"]["name"]).isNull() | text_or_null(s["league"]["name"]).isNull()
+
     reason = (
-        F.when(~F.col("errors").isin(NO_ERRORS), "API_ERRORS")
+        F.when(F.col("has_document").isNull(), "NO_DOCUMENT")
+        .when(F.col("has_request").isNull(), "NO_REQUEST")
+        .when(~F.col("errors").isin(NO_ERRORS), "API_ERRORS")
         .when(F.coalesce(F.size("entries"), F.lit(0)) <= 0, "NO_ENTRIES")
         .when(F.size("statistics") <= 0, "NO_STATISTICS")
+        .when(bad_number(person["id"], "int") | F.exists("statistics", unreadable), "BAD_NUMBER")
+        .when(strict_number(person["id"], "int").isNull() | text_or_null(person["name"]).isNull(), "NO_PLAYER_KEY")
+        .when(F.exists("statistics", unnamed), "NO_DIMENSION_KEY")
     )
     return chosen.withColumn("reject_reason", reason).select(
         "document_id", "payload", "fetched_at", "search", "league", "season", "errors", "reject_reason",

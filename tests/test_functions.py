@@ -88,3 +88,18 @@ def test_per90(spark, value, minutes, expected):
 def test_per90_keeps_missing_measure(spark):
     frame = spark.createDataFrame([(None, 90)], "goals int, minutes int")
     assert frame.select(rates.per90("goals", scale=2, null_as_zero=False)).first()[0] is None
+
+
+def test_folding_and_trimming_beyond_ascii(spark):
+    texts = ["STRASSE", "straße", "ﬁne", "ΌΣΟΣ", "ŉ", "K", "Ⅷ", "µ", "İ", "Ꭰ", "plain", None]
+    assert column(spark, texts, "string", cleaning.folded) == [t and t.casefold() for t in texts]
+    blank = "  　 x y  \x1f"
+    assert column(spark, [blank], "string", cleaning.trimmed) == [blank.strip()]
+
+
+def test_strict_number_rounds_half_to_even_and_tells_bad_cells(spark):
+    cases = {"12": 12, "12.0": 12, "12.7": 13, "12.5": 12, "13.5": 14, " 7 ": 7, "1e2": 100, "-0.6": -1, "": None, " ": None, None: None, "x": None, "3000000000": None, "5 min": None}
+    assert dict(zip(cases, column(spark, list(cases), "string", lambda c: cleaning.strict_number(c, "int")))) == cases
+    bad = dict(zip(cases, column(spark, list(cases), "string", lambda c: cleaning.bad_number(c, "int"))))
+    assert [t for t, b in bad.items() if b] == ["x", "3000000000", "5 min"]
+    assert column(spark, ["6.755", "x"], "string", lambda c: cleaning.strict_number(c, "decimal(5,2)")) == [Decimal("6.76"), None]

@@ -228,4 +228,69 @@ def test_constraints(spark):
     assert [tuple(r) for r in constraints.unique_violations(child, ["p"]).collect()] == [(1, 2)]
     assert [r.p for r in constraints.foreign_key_violations(child, parent, {"p": "id"}).collect()] == [5]
     assert [r.t for r in constraints.length_violations(child, {"t": 2}).collect()] == ["abc"]
-    assert constraints.cascade(child, parent, {"p": "id"}).count() == 2
+    assert constraints.cascade(child, parent, {"p": "id"}).count() == 4  # rows without a key have no parent to lose
+
+
+def test_names_that_differ_by_their_escapes_are_two_files(spark, tmp_path, dirs):
+    folder = tmp_path / "in"
+    write_csv(folder / "a b.csv", [PLAYER] * 6)
+    write_csv(folder / "a%20b.csv", [{**PLAYER, "Player": "Other"}] * 2)
+    staging, batches, _ = land(spark, str(folder), dirs)
+    assert staging.count() == 8
+    assert {(b.source_filename, b.row_count) for b in batches.collect()} == {("a b.csv", 6), ("a%20b.csv", 2)}
+    assert {b.file_sha256 for b in batches.collect()} == {hashlib.sha256(p.read_bytes()).hexdigest() for p in folder.iterdir()}
+
+
+def test_a_file_without_a_hash_stops_the_load(spark, tmp_path, dirs, monkeypatch):
+    from stintworks.plans import season_landing
+
+    folder = tmp_path / "in"
+    write_csv(folder / "one.csv", [PLAYER])
+    write_csv(folder / "two.csv", [{**PLAYER, "Player": "Other"}])
+    found = season_landing.file_hashes
+    monkeypatch.setattr(season_landing, "file_hashes", lambda s, p: found(s, p).filter("_file LIKE '%one.csv'"))
+    with pytest.raises(ValueError, match="two.csv"):
+        land(spark, str(folder), dirs)
+
+
+def test_rows_lost_after_counting_stop_the_load(spark, tmp_path, dirs, monkeypatch):
+    from stintworks.plans import season_landing
+
+    path = write_csv(tmp_path / "a.csv", [PLAYER, {**PLAYER, "Player": "Other"}])
+    number = season_landing.with_row_numbers
+    monkeypatch.setattr(season_landing, "with_row_numbers", lambda rows: number(rows).filter("source_row_number = 1"))
+    with pytest.raises(ValueError, match="loaded 1 of 2"):
+        land(spark, path, dirs)
+
+
+@pytest.mark.parametrize("mode", ["update", "ignore"])
+def test_keyless_updates_all_stay(spark, mode):
+    target = spark.createDataFrame([(1, "a"), (None, "b")], "key int, v string")
+    updates = spark.createDataFrame([(None, "x", 1), (None, "y", 2), (None, "z", 3), (1, "n", 1), (1, "m", 2)], "key int, v string, at int")
+    merged = merge_by_key(target, updates, ["key"], ["v"], ["at"], mode)
+    kept = "m" if mode == "update" else "a"
+    assert sorted(merged.collect(), key=repr) == sorted([(1, kept), (None, "b"), (None, "x"), (None, "y"), (None, "z")], key=repr)
+
+
+def test_cascade_keeps_rows_without_a_parent_key(spark):
+    child = spark.createDataFrame([(1, 5), (2, None), (3, 6)], "id int, parent int")
+    parents = spark.createDataFrame([(5,)], "id int")
+    assert sorted(r.id for r in constraints.cascade(child, parents, {"parent": "id"}).collect()) == [1, 2]
+
+
+def test_every_document_and_request_is_loaded_or_rejected(spark):
+    def document(player='{"id": 1, "name": "Ana"}', minutes="90", team='{"id": 3, "name": "T"}'):
+        return f'{{"errors": [], "response": [{{"player": {player}, "statistics": [{{"league": {{"id": 7, "name": "L", "season": 2025}}, "team": {team}, "games": {{"minutes": {minutes}}}}}]}}]}}'
+
+    payloads = {
+        "good": document(), "half": document(minutes="12.5"), "bad": document(minutes='"x"'), "team": document(team='{"name": "T"}'),
+        "name": document(player='{"id": 1}'), "person": document(player='{"name": "Ana"}'), "letters": document(player='{"id": "x1", "name": "Ana"}'), "unasked": document(),
+    }
+    documents = spark.createDataFrame([(k, v, dt.datetime(2026, 1, 1)) for k, v in payloads.items()], "document_id string, payload string, fetched_at timestamp")
+    asked = spark.createDataFrame([(k, "ana", 7, 2025) for k in [*payloads, "missing"] if k != "unasked"], "document_id string, search string, league long, season int")
+    landing = land_api_documents(documents, asked)
+    assert {r.document_id: r.minutes for r in landing.summary.collect()} == {"good": 90, "half": 12}
+    assert {r.document_id: r.reject_reason for r in landing.rejects.collect()} == {
+        "bad": "BAD_NUMBER", "letters": "BAD_NUMBER", "team": "NO_DIMENSION_KEY", "name": "NO_PLAYER_KEY", "person": "NO_PLAYER_KEY",
+        "unasked": "NO_REQUEST", "missing": "NO_DOCUMENT",
+    }
