@@ -1,5 +1,8 @@
 """Intermediate tables in the folder the cluster shares.
 
+A caller that stores results may open a ``scope``: on closing it removes what operators wrote inside.
+Without a scope the tables stay until the application's folder is removed, so that lazy results remain readable.
+
 Multi-pass operators (cohort moments, neighbour search, landing) write an intermediate result
 once as Parquet instead of recomputing it. A written table survives lost executors, keeps column
 pruning, and its file size lets Spark decide by itself whether a later join may broadcast it.
@@ -9,10 +12,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables written inside, once the caller has stored its results.
+
+    Scopes nest: a table belongs to the innermost. Frames that read its tables are of no use afterwards.
+    """
+    written: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(written)
+        remove(spark, written)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a private one is made only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +59,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/stintworks/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/stintworks/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
