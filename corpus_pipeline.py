@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stintworks.llm import dedup, langid, mixing, neardup, packing
-from stintworks.workspace import materialize
+from stintworks.workspace import new_path, remove, scope
 
 # Documents below this mean probability of their best language are rejected, and so are those without a language.
 LEAST_SCORE = 0.3
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scope(spark):  # what a stage wrote on its way goes when its result is stored
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, [last])
+        last = path
     return docs
