@@ -225,6 +225,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def named_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with a neighbour's rank and a candidate's name instead of a limit."""
+    names = entities(spark, sf_dir).select(F.col("k").alias("candidate_k"), F.col("player_name").alias("candidate"))
+    asked = requests(spark, sf_dir).drop("k").withColumn("rank", (F.col("request_id") % 90 + 1).cast("int"))
+    return asked.withColumn("candidate_k", F.col("request_id") % 40 + 1).join(names, "candidate_k").drop("candidate_k")
+
+
 def similarity_space(spark: SparkSession, sf_dir: str, cohort_cols: tuple[str, ...] = COHORT) -> Space:
     """Standardised population, stored once per application and cohort definition."""
     slot = (spark.sparkContext.applicationId, sf_dir, cohort_cols)

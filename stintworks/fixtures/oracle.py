@@ -493,3 +493,60 @@ gone AS (SELECT CASE WHEN kind = 0 THEN 'API_ERRORS' WHEN kind = 1 THEN 'NO_ENTR
   UNION ALL SELECT 'NO_DOCUMENT' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
 SELECT outcome, count(*) AS rows, CAST(sum(minutes) AS BIGINT) AS minutes FROM (
   SELECT * FROM told UNION ALL SELECT outcome, 0 FROM gone) WHERE outcome IS NOT NULL GROUP BY outcome""")
+
+# Requests resolved among the eligible entities, with a rank and a candidate name of their own.
+_ELIGIBLE = REQ_ANY.replace("JOIN canon c ON", "JOIN (SELECT * FROM canon WHERE is_similarity_eligible AND position_group <> 'GK') c ON")
+SERVED = """
+served AS (
+  SELECT s.request_id, s.name, s.status, s.canonical_player_key || '|' || s.season AS target_id, s.position_group, c.n, s.season, s.matches, s.club, s.player_name,
+         s.position_raw, s.minutes, CAST(1 + s.request_id % 90 AS INTEGER) AS rank, e.player_name AS candidate
+  FROM sized s LEFT JOIN mom c ON c.season = s.season AND c.position_group = s.position_group JOIN ent e ON e.k = s.request_id % 40 + 1
+)"""
+BY_REQUEST = [*RANKED, _ELIGIBLE, SIMILAR, SERVED]
+COMPARE_REQUESTS = query(BY_REQUEST, " UNION ALL ".join(
+    f"SELECT request_id, '{m}' AS metric, CAST({m}_rank AS INTEGER) AS rank, r.key, r.season, round(r.{m}, 6) AS score "
+    f"FROM served s JOIN ranked r USING (target_id) WHERE s.status = 'OK' AND {m}_rank <= 3" for m in ("euclidean", "manhattan", "cosine")))
+_RANKED_STATUS = "CASE WHEN status = 'OK' AND n - 1 < rank THEN 'RANK_UNAVAILABLE' ELSE status END"
+EXPLAIN_OUTCOMES = query(BY_REQUEST, f"""
+SELECT request_id, new_status AS status, CAST(CASE new_status WHEN 'RANK_UNAVAILABLE' THEN 400 ELSE {CODE} END AS INTEGER) AS status_code,
+  CASE new_status WHEN 'RANK_UNAVAILABLE' THEN 'Only ' || (n - 1) || ' similar players were available.' ELSE {DETAIL} END AS detail
+FROM (SELECT *, {_RANKED_STATUS} AS new_status FROM served)""")
+_WANTED = "wanted AS (SELECT * FROM served WHERE status = 'OK' AND n - 1 >= rank)"
+
+
+def _for_requests(explained: str) -> str:
+    return (
+        explained.replace("SELECT r.target_id,", "SELECT w.request_id, r.target_id,")
+        .replace("FROM ranked r JOIN z t", "FROM wanted w JOIN ranked r ON r.target_id = w.target_id JOIN z t")
+        .replace("SELECT target_id, key, season,", "SELECT request_id, key, season,", 1)
+    )
+
+
+EXPLAIN_REQUESTS = query([*BY_REQUEST, _WANTED], _for_requests(_explained("euclidean", "w.rank", """rank, feature, round(abs(tz - cz), 6) AS absolute_gap,
+  round((tz - cz) * (tz - cz), 6) AS squared_contribution, round(distance, 6) AS distance""")))
+EXPLAIN_REQUESTS_COSINE = query([*BY_REQUEST, _WANTED], _for_requests(_explained("cosine", "w.rank", """rank, feature, round(abs(tz - cz), 6) AS z_gap,
+  round(tz * cz / norms, 6) AS cosine_contribution""")))
+_HAS_ROLE = f"s.position_group IN ({', '.join(repr(g) for g in ROLE_FEATURES)})"
+ROLE_REQUESTS = query([*BY_REQUEST, ROLE], f"""
+SELECT request_id, CASE WHEN status = 'OK' AND NOT {_HAS_ROLE} THEN 'NO_ROLE_FEATURES' ELSE status END AS status,
+  CASE WHEN status = 'OK' AND {_HAS_ROLE} THEN coalesce(o.overlap, 0) END AS overlap
+FROM served s LEFT JOIN (SELECT target_id, count(*) AS overlap FROM ranked r JOIN role_ranked q USING (target_id, key, season)
+  WHERE euclidean_rank <= 10 AND role_rank <= 10 GROUP BY target_id) o USING (target_id)""")
+DIAGNOSE_REQUESTS = query(BY_REQUEST, """
+SELECT request_id, CASE WHEN status = 'OK' AND r.key IS NULL THEN 'CANDIDATE_NOT_FOUND' ELSE status END AS status, r.key AS other_key, r.season AS other_season,
+  round(euclidean, 6) AS euclidean, euclidean_rank, manhattan_rank, cosine_rank
+FROM served s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY target_id, player_name ORDER BY key, season) AS nth FROM ranked) r
+  ON s.status = 'OK' AND r.target_id = s.target_id AND r.player_name = s.candidate AND r.nth = 1""")
+RESOLVED_REQUESTS = query([*CANONICAL, REQ_WITH_K], f"""
+SELECT m.request_id, status, CAST({CODE} AS INTEGER) AS status_code,
+  CASE WHEN offered IS NULL THEN {DETAIL} ELSE 'Player "' || m.name || '" was not found exactly. Possible matches: ' || offered END AS detail,
+  m.matches, m.canonical_player_key, m.season, o.lname AS lookup_name, o.lclub AS lookup_club, o.season AS lookup_season
+FROM (SELECT *, resolved_status AS status FROM matched) m JOIN (SELECT request_id, lname, lclub, season FROM outcome) o USING (request_id)
+LEFT JOIN (SELECT request_id, string_agg(player_name || ' (' || primary_squad_name || ', ' || primary_competition_name || ')', '; ' ORDER BY position) AS offered
+  FROM ({SUGGESTED}) GROUP BY request_id) s USING (request_id)""")
+AMBIGUOUS_REQUESTS = query([*CANONICAL, REQ_WITH_K], """
+SELECT o.request_id, c.canonical_player_key, c.season,
+  c.player_name || ' — ' || c.primary_squad_name || ' — ' || c.primary_competition_name || ' — ' || coalesce(c.position_raw, 'None') || ' — ' || c.minutes || ' min' AS candidate
+FROM outcome o JOIN canon c ON lower(c.player_name) = o.lname AND (o.season IS NULL OR o.season = c.season)
+  AND (o.lclub IS NULL OR lower(c.primary_squad_name) = o.lclub)
+WHERE o.status = 'AMBIGUOUS'""")

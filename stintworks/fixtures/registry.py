@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stintworks.fixtures import adapter, oracle
 from stintworks.fixtures.oracle import CANONICAL, RANKED, SPACE, STG, query
 from stintworks.functions.cleaning import clean_decimal, clean_int, first_integer, first_token, rest_after_first_token
-from stintworks.operators import cohorts, constraints, neighbours as search, similarity
+from stintworks.operators import cohorts, constraints, neighbours as search, requested, similarity
 from stintworks.operators.canonical import canonical, canonical_by_source_key
 from stintworks.operators.explore import explore
 from stintworks.operators.identity import collision_report
 from stintworks.operators.merge import last_per_key, merge_by_key
 from stintworks.operators.records import PROFILE, profiles, rounded, similar_records
-from stintworks.operators.resolve import ambiguous_candidates, flag_not_eligible, resolve, suggestions
+from stintworks.operators.resolve import LOOKUP, ambiguous_candidates, flag_not_eligible, resolve, suggestions, with_candidates
 from stintworks.operators.views import intelligence_base, season_analysis
 from stintworks.plans.api_landing import land_api_documents, latest_documents
 from stintworks.schemas import FEATURES
@@ -114,10 +114,18 @@ _explore("ineligible", "NOT is_similarity_eligible AND minutes >= 0", 25, 5, sim
 _explore("deep", "minutes >= 0", 30, 400, min_minutes=0, range_rows=64)
 
 
-@register("resolve_requests", query([*CANONICAL, oracle.REQ_WITH_K], f"SELECT request_id, resolved_status AS status, CAST({oracle.CODE} AS INTEGER) AS status_code, {oracle.DETAIL} AS detail, matches, canonical_player_key, season FROM (SELECT *, resolved_status AS status FROM matched)"))
+@register("resolve_requests", oracle.RESOLVED_REQUESTS)
 def resolve_requests(spark, sf_dir):
-    found = resolve(adapter.requests(spark, sf_dir), adapter.canonical_layer(spark, sf_dir))
-    return found.select("request_id", "status", "status_code", "detail", "matches", F.col("matched_canonical_player_key").alias("canonical_player_key"), F.col("matched_season").alias("season"))
+    found = resolve(adapter.requests(spark, sf_dir), adapter.canonical_layer(spark, sf_dir), suggest=True)
+    return found.select("request_id", "status", "status_code", "detail", "matches", F.col("matched_canonical_player_key").alias("canonical_player_key"), F.col("matched_season").alias("season"), *LOOKUP)
+
+
+@register("ambiguous_requests", oracle.AMBIGUOUS_REQUESTS)
+def ambiguous_requests(spark, sf_dir):
+    """Every candidate of every ambiguous request, reached through the lookup of its outcome."""
+    people = adapter.canonical_layer(spark, sf_dir)
+    outcomes = resolve(adapter.requests(spark, sf_dir), people)
+    return with_candidates(outcomes, ambiguous_candidates(outcomes, people))
 
 
 @register("resolve_eligible_only", query([*CANONICAL, oracle.REQ_WITH_K.replace("JOIN canon c ON", "JOIN (SELECT * FROM canon WHERE is_similarity_eligible AND position_group <> 'GK') c ON")], "SELECT request_id, resolved_status AS status, matches, canonical_player_key, season FROM matched"))
@@ -262,6 +270,48 @@ def top_features(spark, sf_dir):
     return largest.unionByName(closest)
 
 
+def _by_request(spark, sf_dir):
+    asked = adapter.named_requests(spark, sf_dir)
+    return asked, adapter.canonical_layer(spark, sf_dir), adapter.similarity_space(spark, sf_dir)
+
+
+@register("compare_requests", oracle.COMPARE_REQUESTS)
+def compare_requests(spark, sf_dir):
+    rows = requested.compare(*_by_request(spark, sf_dir), k=3)[1]
+    score = F.when(F.col("metric") == "euclidean", F.col("euclidean")).when(F.col("metric") == "manhattan", F.col("manhattan")).otherwise(F.col("cosine"))
+    return rounded(rows.withColumn("score", score), "score").select("request_id", "metric", "rank", "key", "season", "score")
+
+
+@register("explain_request_outcomes", oracle.EXPLAIN_OUTCOMES)
+def explain_request_outcomes(spark, sf_dir):
+    return requested.explain(*_by_request(spark, sf_dir))[0].select("request_id", "status", "status_code", "detail")
+
+
+@register("explain_requests", oracle.EXPLAIN_REQUESTS)
+def explain_requests(spark, sf_dir):
+    rows = rounded(requested.explain(*_by_request(spark, sf_dir))[1], "absolute_gap", "squared_contribution", "distance")
+    return rows.select("request_id", "key", "season", "rank", "feature", "absolute_gap", "squared_contribution", "distance")
+
+
+@register("explain_requests_cosine", oracle.EXPLAIN_REQUESTS_COSINE)
+def explain_requests_cosine(spark, sf_dir):
+    rows = rounded(requested.explain(*_by_request(spark, sf_dir), metric="cosine")[1], "z_gap", "cosine_contribution")
+    return rows.select("request_id", "key", "season", "rank", "feature", "z_gap", "cosine_contribution")
+
+
+@register("role_requests", oracle.ROLE_REQUESTS)
+def role_requests(spark, sf_dir):
+    outcomes, rows = requested.role(*_by_request(spark, sf_dir))
+    return outcomes.select("request_id", "status").join(rows.select("request_id", "overlap"), "request_id", "left")
+
+
+@register("diagnose_requests", oracle.DIAGNOSE_REQUESTS)
+def diagnose_requests(spark, sf_dir):
+    outcomes, rows = requested.diagnose(*_by_request(spark, sf_dir))
+    shown = rounded(rows, "euclidean").select("request_id", "other_key", "other_season", "euclidean", "euclidean_rank", "manhattan_rank", "cosine_rank")
+    return outcomes.select("request_id", "status").join(shown, "request_id", "left")
+
+
 @register("knn_role", query([*SPACE, oracle.ROLE], "SELECT target_id, key, season, CAST(role_rank AS INTEGER) AS rank, round(d, 6) AS score FROM role_ranked WHERE role_rank <= 10"))
 def knn_role(spark, sf_dir):
     return rounded(similarity.role_neighbours(adapter.similarity_space(spark, sf_dir), k=10), "score")

@@ -22,6 +22,7 @@ STATUS_CODES = {OK: 200, NOT_FOUND: 404, CLUB_MISMATCH: 400, AMBIGUOUS: 400, NOT
 _MATCHED = ["canonical_player_key", "season", "player_name", "position_raw", "position_group", "minutes",
             "is_similarity_eligible"]
 _ANY_SEASON = -1
+LOOKUP = ["lookup_name", "lookup_club", "lookup_season"]
 
 
 def with_lookup(requests: DataFrame) -> DataFrame:
@@ -72,11 +73,13 @@ def _match_counts(people: DataFrame, scopes: list[list[str]]) -> DataFrame:
     )
 
 
-def resolve(requests: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Requests plus ``status``, ``status_code``, ``detail`` and the single match's columns.
+def resolve(requests: DataFrame, canonical: DataFrame, suggest: bool = False) -> DataFrame:
+    """Requests plus ``status``, ``status_code``, ``detail``, the lookup and the single match's columns.
 
     ``requests`` has request_id, name, club, season and k; a NULL season searches all seasons.
-    Pass only the eligible rows to resolve within the similarity population.
+    Pass only the eligible rows to resolve within the similarity population. ``suggest`` adds up to
+    ten possible matches to the text of names that were not found. ``lookup_name``, ``lookup_club`` and
+    ``lookup_season`` lead to the rows of ``ambiguous_candidates``.
     """
     asked = with_lookup(requests)
     people = _candidates(canonical)
@@ -113,8 +116,11 @@ def resolve(requests: DataFrame, canonical: DataFrame) -> DataFrame:
         "status",
         "matches",
         *[single.getField(f"matched_{c}").alias(f"matched_{c}") for c in _MATCHED],
+        *LOOKUP[:2],
+        F.nullif("lookup_season", F.lit(_ANY_SEASON)).alias("lookup_season"),
     )
-    return with_detail(resolved)
+    resolved = with_detail(resolved)
+    return with_suggestions(resolved, canonical) if suggest else resolved
 
 
 def with_detail(resolved: DataFrame) -> DataFrame:
@@ -156,27 +162,29 @@ def ambiguous_candidates(resolved: DataFrame, canonical: DataFrame) -> DataFrame
     multiply its matches.
     """
     asked = with_lookup(resolved.filter(F.col("status") == AMBIGUOUS))
-    lookups = asked.select("lookup_name", "lookup_club", "lookup_season").distinct()
-    people = _candidates(canonical).select(
-        "lookup_name", F.col("lookup_club").alias("club_folded"), "season", "canonical_player_key",
-        "player_name", "primary_squad_name", "primary_competition_name", "position_raw", "minutes",
-    )
-    fits = (F.col("lookup_club").isNull() | (F.col("lookup_club") == F.col("club_folded"))) & (
-        (F.col("lookup_season") == _ANY_SEASON) | (F.col("lookup_season") == F.col("season"))
-    )
+    lookups = materialize(asked.select(*LOOKUP).distinct(), "ambiguous")
+    people = _candidates(canonical)
     line = F.concat_ws(
         " — ", "player_name", "primary_squad_name", "primary_competition_name",
         F.coalesce("position_raw", F.lit("None")), F.concat(F.col("minutes"), F.lit(" min")),
     )
-    return (
-        lookups.join(people, "lookup_name")
-        .filter(fits)
-        .select(
-            "lookup_name", "lookup_club",
-            F.nullif("lookup_season", F.lit(_ANY_SEASON)).alias("lookup_season"),
-            "canonical_player_key", "season", line.alias("candidate"),
-        )
-    )
+    people = people.select("lookup_name", "lookup_club", F.col("season").alias("lookup_season"), "canonical_player_key", "season", line.alias("candidate"))
+    found = None
+    for scope in _scopes(lookups.withColumn("season", F.nullif("lookup_season", F.lit(_ANY_SEASON)))):
+        # Each kind of lookup joins on all that it names, so namesakes elsewhere never meet it.
+        club, season = F.col("lookup_club").isNotNull(), F.col("lookup_season") != _ANY_SEASON
+        kind = (club if "lookup_club" in scope else ~club) & (season if "lookup_season" in scope else ~season)
+        other = [c for c in LOOKUP if c not in scope]
+        rows = lookups.filter(kind).join(people.drop(*other), scope).select(*LOOKUP, "canonical_player_key", "season", "candidate")
+        found = rows if found is None else found.unionByName(rows)
+    return found.withColumn("lookup_season", F.nullif("lookup_season", F.lit(_ANY_SEASON)))
+
+
+def with_candidates(resolved: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every candidate row of every ambiguous request: ``request_id, canonical_player_key, season, candidate``."""
+    asked = resolved.filter(F.col("status") == AMBIGUOUS).select("request_id", *[F.col(c).alias(f"asked_{c}") for c in LOOKUP])
+    same = [F.col(f"asked_{c}").eqNullSafe(F.col(c)) for c in LOOKUP]
+    return asked.join(candidates, same).select("request_id", "canonical_player_key", "season", "candidate")
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -222,14 +230,38 @@ def suggestions(resolved: DataFrame, canonical: DataFrame) -> DataFrame:
     people = materialize(people, "people")
     names = people.select(F.col("lookup_name").alias("name")).distinct()
     pairs = substring_matches(lookups.select("text").distinct(), names)
+    scoped = people.select("lookup_name", "player_name", F.col("season").alias("lookup_season")).distinct()
+    scoped = scoped.unionByName(people.select("lookup_name", "player_name", F.lit(_ANY_SEASON).alias("lookup_season")).distinct())
+    # The first ten names hold the first ten rows, so crowded texts shrink before they meet the people.
+    by_name = Window.partitionBy("text", "lookup_season").orderBy("player_name", "lookup_name")
+    first = (
+        pairs.join(scoped, F.col("name") == F.col("lookup_name"))
+        .join(lookups, ["text", "lookup_season"], "left_semi")
+        .withColumn("place", F.dense_rank().over(by_name))
+        .filter(F.col("place") <= SUGGESTIONS)
+        .select("text", "lookup_season", F.col("player_name").alias("first_name"))
+        .distinct()
+    )
     in_season = (F.col("lookup_season") == _ANY_SEASON) | (F.col("lookup_season") == F.col("season"))
     hits = (
-        lookups.join(pairs, "text")
-        .join(people, F.col("name") == F.col("lookup_name"))
+        materialize(first, "first-names")
+        .join(people, F.col("first_name") == F.col("player_name"))
         .filter(in_season)
         .groupBy("text", "lookup_season", *shown)
         .agg(F.min("first_key").alias("first_key"))
     )
-    by_name = Window.partitionBy("text", "lookup_season").orderBy("player_name", "first_key", "primary_squad_name", "primary_competition_name")
-    top = hits.withColumn("position", F.row_number().over(by_name)).filter(F.col("position") <= SUGGESTIONS)
+    by_row = Window.partitionBy("text", "lookup_season").orderBy("player_name", "first_key", "primary_squad_name", "primary_competition_name")
+    top = hits.withColumn("position", F.row_number().over(by_row)).filter(F.col("position") <= SUGGESTIONS)
     return asked.join(top, ["text", "lookup_season"]).select("request_id", "position", *shown)
+
+
+def with_suggestions(resolved: DataFrame, canonical: DataFrame) -> DataFrame:
+    """The outcomes with up to ten possible matches in the text of names that were not found."""
+    shown = F.format_string("%s (%s, %s)", "player_name", "primary_squad_name", "primary_competition_name")
+    offered = suggestions(resolved, canonical).groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", shown.alias("text")))).alias("offered")
+    )
+    text = F.format_string('Player "%s" was not found exactly. Possible matches: %s', F.col("name"), F.array_join(F.col("offered.text"), "; "))
+    joined = resolved.join(offered, "request_id", "left")
+    detail = F.when(F.col("offered").isNotNull(), text).otherwise(F.col("detail"))
+    return joined.withColumn("detail", detail).select(*resolved.columns)

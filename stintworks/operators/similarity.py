@@ -14,7 +14,7 @@ from stintworks.operators.cohorts import (
 )
 from stintworks.operators.neighbours import CHUNK_ROWS, Index, build_index, nearest, pair_scores, rank_of
 from stintworks.operators.resolve import (
-    COHORT_TOO_SMALL, MISSING_FEATURES, OK, flag_not_eligible, resolve, with_detail,
+    COHORT_TOO_SMALL, MAX_SIMILAR, MISSING_FEATURES, OK, flag_not_eligible, resolve, with_detail,
 )
 from stintworks.schemas import FEATURE_LABELS, FEATURES
 from stintworks.workspace import materialize
@@ -83,6 +83,26 @@ def neighbours(
     return nearest(targets, index_of(space, metric, k, chunk_rows=chunk_rows), k, chunk_rows)
 
 
+def with_cohort_status(resolved: DataFrame, space: Space) -> DataFrame:
+    """Outcomes whose cohort is too small, or lacks feature values, say so; the text names the features."""
+    gaps = [F.when(F.col(f"missing_{f}") > 0, F.concat(F.lit(f"{f}: "), F.col(f"missing_{f}"))) for f in space.features]
+    sizes = space.moments.select(
+        *[F.col(c).alias(f"matched_{c}") for c in space.cohort_cols], "cohort_size",
+        missing_total(space.features).alias("missing"), F.concat_ws(", ", *gaps).alias("gaps"),
+    )
+    outcomes = resolved.join(sizes, [f"matched_{c}" for c in space.cohort_cols], "left")
+    good = F.col("status") == OK
+    status = (
+        F.when(good & (F.col("cohort_size") < MIN_COHORT), COHORT_TOO_SMALL)
+        .when(good & (F.col("missing") > 0), MISSING_FEATURES)
+        .otherwise(F.col("status"))
+    )
+    kept = F.when(F.col("status") == F.col("old_status"), F.col("old_detail")).otherwise(F.col("detail"))
+    told = F.when(F.col("status") == MISSING_FEATURES, F.concat(F.lit("Missing feature values detected: "), "gaps")).otherwise(kept)
+    outcomes = outcomes.withColumns({"old_status": F.col("status"), "old_detail": F.col("detail")})
+    return with_detail(outcomes.withColumn("status", status)).withColumn("detail", told).select(*resolved.columns)
+
+
 def similar(
     requests: DataFrame,
     canonical: DataFrame,
@@ -101,19 +121,9 @@ def similar(
     """
     space = space or build_space(canonical, cohort_cols, features)
     searched = similarity_population(canonical) if eligible_only else canonical
-    resolved = flag_not_eligible(resolve(requests, searched))
-    sizes = space.moments.select(
-        *[F.col(c).alias(f"matched_{c}") for c in space.cohort_cols], "cohort_size",
-        missing_total(space.features).alias("missing"),
-    )
-    outcomes = resolved.join(sizes, [f"matched_{c}" for c in space.cohort_cols], "left")
-    good = F.col("status") == OK
-    status = (
-        F.when(good & (F.col("cohort_size") < MIN_COHORT), COHORT_TOO_SMALL)
-        .when(good & (F.col("missing") > 0), MISSING_FEATURES)
-        .otherwise(F.col("status"))
-    )
-    outcomes = with_detail(outcomes.withColumn("status", status)).select(*resolved.columns)
+    if not 1 <= k <= MAX_SIMILAR:
+        raise ValueError(f"k must be between 1 and {MAX_SIMILAR}")
+    outcomes = with_cohort_status(flag_not_eligible(resolve(requests, searched)), space)
     outcomes = materialize(outcomes, "outcomes")
 
     limit = F.coalesce("k", F.lit(k)) if "k" in requests.columns else F.lit(k)
@@ -182,27 +192,29 @@ def find_candidates(targets: DataFrame, space: Space) -> DataFrame:
 
 
 def candidate_ranks(
-    named: DataFrame, space: Space, chunk_rows: int = CHUNK_ROWS
+    named: DataFrame, space: Space, chunk_rows: int = CHUNK_ROWS, question: str = "target_id"
 ) -> DataFrame:
     """Scores and ranks of one named candidate per target under all three metrics.
 
     ``named`` comes from ``find_candidates`` (or any frame with target_id, other_key, other_season);
-    the status says where the cohort has no such candidate.
+    the status says where the cohort has no such candidate. With several candidates per target,
+    ``question`` names a column that is unique.
     """
-    named = materialize(named.select("target_id", "other_key", "other_season"), "asked")
+    ids = list(dict.fromkeys(["target_id", question]))
+    named = materialize(named.select(*ids, "other_key", "other_season"), "asked")
     present = named.filter(F.col("other_key").isNotNull())
-    pairs = present.select("target_id", F.col("other_key").alias("key"), F.col("other_season").alias("season"))
+    pairs = present.select(*ids, F.col("other_key").alias("key"), F.col("other_season").alias("season"))
     scores = pair_scores(F.col("target_z"), F.col("candidate_z"), len(space.features))
     scored = with_vectors(pairs, space).select(
-        "target_id", "cohort", F.col("target_key").alias("key"), F.col("target_z").alias("vec"),
+        F.col(question).alias("target_id"), "cohort", F.col("target_key").alias("key"), F.col("target_z").alias("vec"),
         F.col("key").alias("other_key"), F.col("season").alias("other_season"),
         *[c.alias(m) for m, c in scores.items()],
     )
     scored = materialize(scored, "named")
-    result = named.join(scored.select("target_id", *METRICS), "target_id", "left")
+    result = named.join(scored.select(F.col("target_id").alias(question), *METRICS), question, "left")
     for metric, index in _indexes(space, None, chunk_rows).items():
         ranks = rank_of(scored.withColumn("score", F.col(metric)), index, chunk_rows)
-        result = result.join(ranks.withColumnRenamed("rank", f"{metric}_rank"), "target_id", "left")
+        result = result.join(ranks.withColumnsRenamed({"rank": f"{metric}_rank", "target_id": question}), question, "left")
     status = F.when(F.col("other_key").isNull(), "CANDIDATE_NOT_FOUND").otherwise(OK)
     return result.withColumn("status", status)
 
