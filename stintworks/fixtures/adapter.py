@@ -14,6 +14,7 @@ from stintworks.operators.identity import build_overrides, resolve_identity
 from stintworks.operators.canonical import canonical
 from stintworks.operators.cohorts import COHORT
 from stintworks.operators.similarity import Space, build_space
+from stintworks.plans.api_landing import ApiLanding, land_api_documents
 from stintworks.plans.season_landing import Landing, land_season_csv
 from stintworks.schemas import CSV_COLUMNS, STAGING
 from stintworks.workspace import materialize, new_path
@@ -304,12 +305,30 @@ def write_season_csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def season_csv_source(spark: SparkSession, sf_dir: str) -> str:
+    return layer_path(spark, sf_dir, "season-csv", lambda: write_season_csv(spark, sf_dir))
+
+
+_LANDED: dict[tuple[str, str], Landing] = {}
+_API_LANDED: dict[tuple[str, str], ApiLanding] = {}
+
+
 def landed(spark: SparkSession, sf_dir: str) -> Landing:
-    """The CSV text landed as one batch per file, under folders of its own."""
-    source = layer_path(spark, sf_dir, "season-csv", lambda: write_season_csv(spark, sf_dir))
-    return land_season_csv(
-        spark, source, 2025, "2025/26", new_path(spark, "landed-staging"), new_path(spark, "landed-batches"), source_id=2
-    )
+    """The CSV text landed as one batch per file, once per application, under folders of its own."""
+    slot = (spark.sparkContext.applicationId, sf_dir)
+    if slot not in _LANDED:
+        staging_dir, batches_dir = new_path(spark, "landed-staging"), new_path(spark, "landed-batches")
+        source = season_csv_source(spark, sf_dir)
+        _LANDED[slot] = land_season_csv(spark, source, 2025, "2025/26", staging_dir, batches_dir, source_id=2)
+    return _LANDED[slot]
+
+
+def api_landing(spark: SparkSession, sf_dir: str) -> ApiLanding:
+    """The documents landed once per application."""
+    slot = (spark.sparkContext.applicationId, sf_dir)
+    if slot not in _API_LANDED:
+        _API_LANDED[slot] = land_api_documents(*api_documents(spark, sf_dir))
+    return _API_LANDED[slot]
 
 
 _PATHS: dict[tuple[str, str, str], str] = {}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from stintworks.schemas import FEATURE_LABELS, FEATURES, ROLE_FEATURES, SUMMED
+from stintworks.operators.views import BASE_COLUMNS
+from stintworks.schemas import CSV_COLUMNS, FEATURE_LABELS, FEATURES, ROLE_FEATURES, STAGING, SUMMED
+from stintworks.sources.api_documents import FACT_PATHS
 
 # Staging rows: the mapping of FIXTURES.md, part B.
 STG = """
@@ -251,16 +253,25 @@ COLLISIONS = """SELECT source_player_key, season, count(*) AS stint_count, count
   FROM grp GROUP BY source_player_key, season HAVING count(DISTINCT squad_name) > 1 AND count(DISTINCT position_group) > 1"""
 BASE_RATES = ["goals", "assists", "goal_contributions", "non_penalty_goals", "crosses", "tackles_won", "interceptions",
               "fouls_drawn", "fouls_committed", "offsides", "yellow_cards", "red_cards"]
-BASE_OUT = ["id", "source_player_key", "player_name", "position_raw", "position_group", "squad_name", "competition_name",
-            "season", "role_family", "is_similarity_eligible", "sample_quality", "saves_per90",
-            *[f"{m}_per90" for m in BASE_RATES]]
-BASE = f"""SELECT id, source_player_key, player_name, position_raw, position_group, squad_name, competition_name, season,
+# Staging columns that the fixture fills; the others are NULL of their type.
+FILLED = {"id", "source_row_number", "source_player_key", "player_name", "nation_raw", "nation_country_code", "nation_fifa_code", "position_raw",
+          "squad_name", "competition_name", "season", "season_label", "age", "born_year", *SUMMED}
+_SQL_TYPES = {"long": "BIGINT", "integer": "INTEGER", "string": "VARCHAR", "decimal": "DOUBLE", "timestamp": "TIMESTAMP"}
+_STAGED = {f.name: _SQL_TYPES[f.dataType.typeName()] for f in STAGING.fields}
+
+
+def staged(column: str, value: str | None = None) -> str:
+    source = value or (column if column in FILLED else "NULL")
+    return f"CAST({source} AS {_STAGED[column]}) AS {column}"
+
+
+BASE = f"""SELECT {", ".join("position_group" if c == "position_group" else staged(c) for c in BASE_COLUMNS)},
   CASE position_group WHEN 'GK' THEN 'GOALKEEPER' WHEN 'DF' THEN 'DEFENDER' WHEN 'DF_MF' THEN 'DEFENSIVE_HYBRID'
     WHEN 'MF' THEN 'MIDFIELDER' WHEN 'FW_MF' THEN 'ATTACKING_HYBRID' WHEN 'FW' THEN 'FORWARD'
     WHEN 'DF_FW' THEN 'OTHER_HYBRID' ELSE 'UNKNOWN' END AS role_family,
   coalesce(minutes, 0) >= 900 AND position_group <> 'UNKNOWN' AS is_similarity_eligible,
   CASE WHEN coalesce(minutes, 0) >= 1800 THEN 'HIGH' WHEN coalesce(minutes, 0) >= 900 THEN 'MEDIUM' ELSE 'LOW' END AS sample_quality,
-  CASE WHEN minutes > 0 THEN 0.0::DOUBLE END AS saves_per90,
+  {", ".join(f"CASE WHEN minutes > 0 THEN 0.0::DOUBLE END AS {m}_per90" for m in ("saves", "shots_on_target_against", "clean_sheets"))},
   {", ".join(f"{per90(m)} AS {m}_per90" for m in BASE_RATES)} FROM grp"""
 
 
@@ -394,13 +405,6 @@ SELECT vec_id, neighbour, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FR
            ELSE list_dot_product(t.v, c.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(c.v, c.v))) END AS s
     FROM e t JOIN e c ON c.label = t.label AND c.vec_id <> t.vec_id)) WHERE rank <= 5"""
 
-LANDED = f"""
-SELECT player_name, nation_raw, nation_country_code, nation_fifa_code, coalesce(position_raw, '') AS position_raw, squad_name,
-  'c' AS competition_source_code, competition_name, source_player_key, 2025 AS season, '2025/26' AS season_label,
-  CAST(age AS DOUBLE) AS age, born_year, CAST(appearances AS INTEGER) AS appearances, CAST(minutes AS INTEGER) AS minutes,
-  CAST(goals AS INTEGER) AS goals, CAST(shots AS INTEGER) AS shots, CAST(goals AS DOUBLE) AS plus_minus,
-  ((2 * shots_on_target * 1000 + shots) // (2 * shots)) / 10.0::DOUBLE AS shots_on_target_pct,
-  CAST(NULL AS INTEGER) AS on_goals, TRUE AS payload_kept FROM stg"""
 API = """
 team AS (
   SELECT l_orderkey, n_nationkey, n_name, r_regionkey, r_name, count(*) AS games, CAST(sum(l_quantity) AS BIGINT) AS minutes,
@@ -414,17 +418,6 @@ asked AS (
   FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
 ),
 good AS (SELECT * FROM asked JOIN team ON l_orderkey = o_orderkey AND r_regionkey = league WHERE kind > 1)"""
-API_STATS = query([API], """
-SELECT CAST(o_custkey AS INTEGER) AS player_id, r_regionkey AS competition_id, n_nationkey AS team_id, 1::BIGINT AS source_id, season,
-  'Attacker' AS position, 7 AS shirt_number, CAST(games AS INTEGER) AS appearances, CAST(minutes AS INTEGER) AS minutes, 6.76::DOUBLE AS rating,
-  CAST(goals AS INTEGER) AS goals, CAST(games AS INTEGER) AS penalties_committed, CAST(NULL AS INTEGER) AS assists
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, r_regionkey, n_nationkey, season ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS place FROM good)
-WHERE place = 1""")
-API_PLAYERS = query([API], """
-SELECT CAST(o_custkey AS INTEGER) AS api_football_id, c_name AS name, CAST(NULL AS VARCHAR) AS firstname,
-  CAST(o_custkey % 50 + 150 AS INTEGER) AS height_cm, strftime(o_orderdate, '%Y-%m-%d') AS birth_date
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS place FROM good)
-WHERE place = 1""")
 API_REJECTS = query([API], """
 SELECT CAST(o_orderkey AS VARCHAR) AS document_id, search, league, season,
   CASE kind WHEN 0 THEN 'API_ERRORS' WHEN 1 THEN 'NO_ENTRIES' ELSE 'NO_STATISTICS' END AS reject_reason,
@@ -436,7 +429,7 @@ API_SUMMARY = query([API], """
 SELECT CAST(o_orderkey AS VARCHAR) AS document_id, n_name AS team_name, r_name AS competition_name, season, CAST(games AS INTEGER) AS appearances,
   CAST(minutes AS INTEGER) AS minutes, CAST(goals AS INTEGER) AS goals, CAST(NULL AS INTEGER) AS assists FROM good""")
 API_LATEST = query([API], """
-SELECT CAST(o_custkey AS INTEGER) AS entity_api_id, season, max(o_orderdate) AS fetched_at
+SELECT CAST(o_custkey AS INTEGER) AS entity_api_id, season, max(o_orderdate) AS fetched_at, TRUE AS payload_kept
 FROM good GROUP BY ALL""")
 CLEAN_INT = """SELECT o_orderkey, CAST(CASE o_orderkey % 10 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey WHEN 2 THEN -o_custkey WHEN 3 THEN o_custkey
   WHEN 4 THEN o_custkey WHEN 8 THEN -o_custkey WHEN 9 THEN o_custkey * 100 END AS INTEGER) AS value FROM orders"""
@@ -550,3 +543,37 @@ SELECT o.request_id, c.canonical_player_key, c.season,
 FROM outcome o JOIN canon c ON lower(c.player_name) = o.lname AND (o.season IS NULL OR o.season = c.season)
   AND (o.lclub IS NULL OR lower(c.primary_squad_name) = o.lclub)
 WHERE o.status = 'AMBIGUOUS'""")
+
+# Cells that the CSV text writes in a way of its own, or that come from the load.
+_LANDED = {
+    "position_raw": "coalesce(position_raw, '')", "competition_raw": "'c ' || competition_name", "competition_source_code": "'c'", "source_id": "2",
+    "season": "2025", "season_label": "'2025/26'", "plus_minus": "goals",
+    "shots_on_target_pct": "((2 * shots_on_target * 1000 + shots) // (2 * shots)) / 10.0::DOUBLE",
+}
+# Numbers and times that depend on files and clock; queries of their own check them.
+NOT_LANDED = ("id", "batch_id", "source_row_number", "payload", "imported_at")
+LANDED_COLUMNS = [f.name for f in STAGING.fields if f.name not in NOT_LANDED]
+LANDED = f"""SELECT {", ".join(staged(c, _LANDED.get(c)) for c in LANDED_COLUMNS)}, {len(CSV_COLUMNS)} AS payload_cells, TRUE AS payload_kept FROM stg"""
+LANDED_ROWS = query([STG], "SELECT 1::BIGINT AS first_number, count(*) AS rows, count(*) AS numbers, count(*) AS ids FROM stg")
+LANDED_BATCHES = query([STG], """SELECT 'rows' AS what, count(*) AS value FROM stg UNION ALL SELECT 'counts_fit', 1 UNION ALL SELECT 'names_fit', 1
+UNION ALL SELECT 'ids_fit', 1 UNION ALL SELECT 'changed', 0""")
+_FACTS = {"position": "'Attacker'", "shirt_number": "7", "appearances": "games", "minutes": "minutes", "rating": "6.76", "goals": "goals", "penalties_committed": "games"}
+_FACT_TYPES = {"string": "VARCHAR", "int": "INTEGER", "decimal(5,2)": "DOUBLE"}
+_NEWEST = "(SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC{more}) AS place FROM good) WHERE place = 1"
+API_STATS = query([API], f"""
+SELECT CAST(o_custkey AS INTEGER) AS player_id, CAST(r_regionkey AS INTEGER) AS competition_id, CAST(n_nationkey AS INTEGER) AS team_id, 1::BIGINT AS source_id, season,
+  {", ".join(f"CAST({_FACTS.get(c, 'NULL')} AS {_FACT_TYPES[kind]}) AS {c}" for c, (_, kind) in FACT_PATHS.items())},
+  CAST(o_orderdate AS TIMESTAMP) AS fetched_at, CAST(o_orderdate AS TIMESTAMP) AS updated_at
+FROM {_NEWEST.format(keys="o_custkey, r_regionkey, n_nationkey, season", more="")}""")
+API_COMPETITION = query([API], f"""SELECT CAST(r_regionkey AS INTEGER) AS api_football_id, r_name AS name, 'World' AS country, CAST(NULL AS VARCHAR) AS type,
+  CAST(NULL AS VARCHAR) AS logo_url, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM {_NEWEST.format(keys="r_regionkey", more="")}""")
+API_COMPETITION_SEASON = query([API], f"""SELECT CAST(r_regionkey AS INTEGER) AS competition_id, season, FALSE AS is_current, CAST(o_orderdate AS TIMESTAMP) AS updated_at
+  FROM {_NEWEST.format(keys="r_regionkey, season", more="")}""")
+API_TEAM = query([API], f"""SELECT CAST(n_nationkey AS INTEGER) AS api_football_id, n_name AS name, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS logo_url,
+  CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM {_NEWEST.format(keys="n_nationkey", more="")}""")
+API_PLAYERS = query([API], f"""
+SELECT CAST(o_custkey AS INTEGER) AS api_football_id, c_name AS name, CAST(NULL AS VARCHAR) AS firstname, CAST(NULL AS VARCHAR) AS lastname,
+  CAST(o_orderdate AS DATE) AS birth_date, CAST(NULL AS VARCHAR) AS birth_place, CAST(NULL AS VARCHAR) AS birth_country, CAST(NULL AS VARCHAR) AS nationality,
+  CAST(o_custkey % 50 + 150 AS INTEGER) AS height_cm, CAST(NULL AS INTEGER) AS weight_kg, CAST(NULL AS VARCHAR) AS photo_url, CAST(o_orderdate AS TIMESTAMP) AS updated_at
+FROM {_NEWEST.format(keys="o_custkey", more="")}""")
+API_FILES = query([API], """SELECT unnest(['files', 'payloads', 'lost']) AS what, unnest([count(*), count(*), 0]) AS value FROM asked WHERE o_orderkey % 50 = 7""")

@@ -18,7 +18,10 @@ from stintworks.operators.records import PROFILE, profiles, rounded, similar_rec
 from stintworks.operators.resolve import LOOKUP, ambiguous_candidates, flag_not_eligible, resolve, suggestions, with_candidates
 from stintworks.operators.views import intelligence_base, season_analysis
 from stintworks.plans.api_landing import land_api_documents, latest_documents
+from stintworks.plans.season_landing import land_season_csv
 from stintworks.schemas import FEATURES
+from stintworks.sources.api_documents import read_api_documents
+from stintworks.workspace import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,8 +82,7 @@ def source_keys(spark, sf_dir):
 
 @register("intelligence_base", query([STG, oracle.GROUPED], oracle.BASE))
 def base(spark, sf_dir):
-    wanted = oracle.BASE_OUT
-    return intelligence_base(adapter.stints(spark, sf_dir)).select(*wanted)
+    return intelligence_base(adapter.stints(spark, sf_dir))
 
 
 @register("season_analysis", query([STG], oracle.STAR))
@@ -335,11 +337,42 @@ def embedding_knn(spark, sf_dir):
 @register("season_csv_landing", query([STG], oracle.LANDED))
 def season_csv_landing(spark, sf_dir):
     rows = adapter.landed(spark, sf_dir).staging
-    return rows.select(
-        "player_name", "nation_raw", "nation_country_code", "nation_fifa_code", "position_raw", "squad_name",
-        "competition_source_code", "competition_name", "source_player_key", "season", "season_label", "age", "born_year",
-        "appearances", "minutes", "goals", "shots", "plus_minus", "shots_on_target_pct", "on_goals",
-        (F.get_json_object("payload", "$.Player") == F.col("player_name")).alias("payload_kept"))
+    cells = F.size(F.json_object_keys("payload"))
+    kept = F.get_json_object("payload", "$.Player") == F.col("player_name")
+    return rows.select(*oracle.LANDED_COLUMNS, cells.alias("payload_cells"), kept.alias("payload_kept"))
+
+
+@register("season_csv_row_numbers", oracle.LANDED_ROWS)
+def season_csv_row_numbers(spark, sf_dir):
+    """Numbers start at one in every file and have no gaps: their count and their largest agree."""
+    rows = adapter.landed(spark, sf_dir).staging
+    per_file = rows.groupBy("batch_id").agg(
+        F.min("source_row_number").alias("first"), F.count_distinct("source_row_number").alias("numbers"),
+        F.max("source_row_number").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum((F.col("id") == F.col("source_row_number")).cast("long")).alias("ids"))
+    return per_file.agg(F.max("first").alias("first_number"), F.sum("last").alias("rows"), F.sum("numbers").alias("numbers"), F.sum("ids").alias("ids"))
+
+
+@register("season_csv_batches", oracle.LANDED_BATCHES)
+def season_csv_batches(spark, sf_dir):
+    """Every batch has the hash, name and count of a file that was written; a second load changes nothing."""
+    staging_dir, batches_dir = new_path(spark, "reload-staging"), new_path(spark, "reload-batches")
+    source = adapter.season_csv_source(spark, sf_dir)
+    first = land_season_csv(spark, source, 2025, "2025/26", staging_dir, batches_dir, source_id=2)
+    def digest(rows: DataFrame) -> DataFrame:
+        cells = F.xxhash64(*[c for c in rows.columns if c != "imported_at"]).cast("decimal(38,0)")
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(cells).alias("h"))
+
+    before = materialize(digest(first.staging), "before")
+    again = land_season_csv(spark, source, 2025, "2025/26", staging_dir, batches_dir, source_id=2)
+    files = spark.read.format("binaryFile").load(source).select(
+        F.element_at(F.split("path", "/"), -1).alias("source_filename"), F.sha2("content", 256).alias("sha"))
+    told = again.batches.join(again.staging.groupBy("batch_id").count(), "batch_id").join(files, "source_filename")
+    facts = told.select(
+        "row_count", (F.col("row_count") == F.col("count")).alias("counts_fit"), (F.col("file_sha256") == F.col("sha")).alias("names_fit"),
+        (F.col("batch_id") == F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")).alias("ids_fit"))
+    checks = facts.agg(F.sum("row_count").alias("rows"), *[F.bool_and(c).cast("long").alias(c) for c in ("counts_fit", "names_fit", "ids_fit")])
+    changed = before.exceptAll(digest(again.staging)).agg(F.lit("changed").alias("what"), F.count(F.lit(1)).alias("value"))
+    return checks.unpivot([], ["rows", "counts_fit", "names_fit", "ids_fit"], "what", "value").unionByName(changed)
 
 
 @register("season_csv_reconciliation", query([STG], "SELECT competition_name, count(*) AS rows FROM stg GROUP BY competition_name"))
@@ -353,22 +386,57 @@ def batch_counts(spark, sf_dir):
     return adapter.stints(spark, sf_dir).groupBy("season", "competition_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _stamped(rows: DataFrame) -> DataFrame:
+    """Times without zone and small integers as plain ones, as the other engine has them."""
+    kinds = {"timestamp": "timestamp_ntz", "short": "int"}
+    return rows.select(*[F.col(f.name).cast(kinds.get(f.dataType.typeName(), f.dataType)).alias(f.name) for f in rows.schema.fields])
+
+
 @register("api_stats", oracle.API_STATS)
 def api_stats(spark, sf_dir):
-    stats = land_api_documents(*adapter.api_documents(spark, sf_dir)).stats
-    return stats.select("player_id", "competition_id", "team_id", "source_id", "season", "position", "shirt_number", "appearances",
-                        "minutes", "rating", "goals", "penalties_committed", "assists")
+    """Measures the landing itself; the other queries of the documents share one landing."""
+    return _stamped(land_api_documents(*adapter.api_documents(spark, sf_dir)).stats)
 
 
 @register("api_players", oracle.API_PLAYERS)
 def api_players(spark, sf_dir):
-    players = land_api_documents(*adapter.api_documents(spark, sf_dir)).player
-    return players.select("api_football_id", "name", "firstname", F.col("height_cm").cast("int").alias("height_cm"), F.col("birth_date").cast("string").alias("birth_date"))
+    return _stamped(adapter.api_landing(spark, sf_dir).player)
+
+
+@register("api_competition", oracle.API_COMPETITION)
+def api_competition(spark, sf_dir):
+    return _stamped(adapter.api_landing(spark, sf_dir).competition)
+
+
+@register("api_competition_season", oracle.API_COMPETITION_SEASON)
+def api_competition_season(spark, sf_dir):
+    return _stamped(adapter.api_landing(spark, sf_dir).competition_season).select("competition_id", "season", "is_current", "updated_at")
+
+
+@register("api_team", oracle.API_TEAM)
+def api_team(spark, sf_dir):
+    return _stamped(adapter.api_landing(spark, sf_dir).team).select("api_football_id", "name", "code", "logo_url", "updated_at")
+
+
+@register("api_files", oracle.API_FILES)
+def api_files(spark, sf_dir):
+    """Every fiftieth document goes through files: one file per document, read back under a name of its own."""
+    documents, _ = adapter.api_documents(spark, sf_dir)
+    some = documents.filter(F.col("document_id").cast("long") % 50 == 7)
+    folder = new_path(spark, "document-files")
+    some.select(F.col("payload").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    files = read_api_documents(spark, folder)
+    known = some.select(F.xxhash64("payload").alias("h"))
+    # The text sink names the files itself and ends them with a line break.
+    found = files.select("document_id", F.xxhash64(F.regexp_replace("payload", r"\n$", "")).alias("h"))
+    lost = found.join(known, "h", "left_anti").agg(F.lit("lost").alias("what"), F.count(F.lit(1)).alias("value"))
+    counts = found.agg(F.count_distinct("document_id").alias("files"), F.count_distinct("h").alias("payloads"))
+    return counts.unpivot([], ["files", "payloads"], "what", "value").unionByName(lost)
 
 
 @register("api_rejects", oracle.API_REJECTS)
 def api_rejects(spark, sf_dir):
-    return land_api_documents(*adapter.api_documents(spark, sf_dir)).rejects
+    return adapter.api_landing(spark, sf_dir).rejects
 
 
 @register("api_unmatched", oracle.API_UNMATCHED)
@@ -399,13 +467,15 @@ def api_bad_cells(spark, sf_dir):
 
 @register("api_summary", oracle.API_SUMMARY)
 def api_summary(spark, sf_dir):
-    return land_api_documents(*adapter.api_documents(spark, sf_dir)).summary
+    return adapter.api_landing(spark, sf_dir).summary
 
 
 @register("api_latest_documents", oracle.API_LATEST)
 def api_latest_documents(spark, sf_dir):
-    raw = land_api_documents(*adapter.api_documents(spark, sf_dir)).raw
-    return latest_documents(raw).select("entity_api_id", "season", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+    raw = adapter.api_landing(spark, sf_dir).raw
+    latest = latest_documents(raw).select("entity_api_id", "season", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"),
+                                          F.contains("payload", F.concat(F.lit('"player":{"id":'), F.col("entity_api_id").cast("string"))).alias("payload_kept"))
+    return latest
 
 
 @register("clean_int", oracle.CLEAN_INT)
