@@ -355,7 +355,7 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY target_id, player_name ORDE
 def _explained(metric: str, rank: int, columns: str) -> str:
     parts = [
         f"SELECT r.target_id, r.key, r.season, CAST(r.{metric}_rank AS INTEGER) AS rank, {i} AS place, '{f}' AS feature, "
-        f"t.z{i} AS tz, c.z{i} AS cz, {GAP2} AS squared, {norm('t')} * {norm('c')} AS norms, r.euclidean AS distance "
+        f"t.z{i} AS tz, c.z{i} AS cz, {GAP2} AS squared, {norm('t')} * {norm('c')} AS norms, r.euclidean AS distance, r.cosine AS cosine "
         f"FROM ranked r JOIN z t ON t.key || '|' || t.season = r.target_id JOIN z c ON c.key = r.key AND c.season = r.season "
         f"WHERE r.{metric}_rank = {rank} AND r.n >= 3"
         for i, f in enumerate(FEATURES)
@@ -369,15 +369,20 @@ EXPLAIN_EUCLIDEAN = _explained("euclidean", 1, f"""rank, feature, {LABEL}, round
   round(CASE WHEN squared > 0 THEN (tz - cz) * (tz - cz) / squared * 100 ELSE 0 END, 6) AS distance_share_pct, round(distance, 6) AS distance""")
 EXPLAIN_COSINE = _explained("cosine", 2, f"""rank, feature, {LABEL}, round(tz, 6) AS target_z, round(cz, 6) AS candidate_z,
   round(abs(tz - cz), 6) AS z_gap, round(tz * cz / norms, 6) AS cosine_contribution,
-  CASE WHEN tz > 0 AND cz > 0 THEN 'both above cohort avg' WHEN tz < 0 AND cz < 0 THEN 'both below cohort avg' ELSE 'opposite sides of avg' END AS direction,
+  CASE WHEN tz > 0 AND cz > 0 THEN 'both above cohort avg' WHEN tz < 0 AND cz < 0 THEN 'both below cohort avg' ELSE 'opposite sides of avg' END AS direction, round(cosine, 6) AS similarity,
   CASE WHEN norms > 0 THEN 'OK' ELSE 'ZERO_VECTOR' END AS status""")
 NTH_STATUS = """SELECT z.key || '|' || z.season AS target_id, least(n - 1, 100) AS available,
   CASE WHEN n - 1 >= 100 THEN 'OK' ELSE 'RANK_UNAVAILABLE' END AS status FROM z WHERE n >= 3"""
+_BY_COSINE = _explained("cosine", 1, "place, feature, round(tz * cz / norms, 6) AS part, round(abs(tz - cz), 6) AS gap")
 _BY = _explained("euclidean", 1, "place, feature, round(abs(tz - cz), 6) AS gap, round((tz - cz) * (tz - cz), 6) AS sq")
 TOP_FEATURES = f"""SELECT list, target_id, key, season, CAST(position AS INTEGER) AS position, feature FROM (
   SELECT 'largest' AS list, *, row_number() OVER (PARTITION BY target_id ORDER BY sq DESC, place) AS position FROM ({_BY})
   UNION ALL
   SELECT 'closest' AS list, *, row_number() OVER (PARTITION BY target_id ORDER BY gap, place) AS position FROM ({_BY})
+) WHERE position <= 5 UNION ALL SELECT list, target_id, key, season, CAST(position AS INTEGER), feature FROM (
+  SELECT 'aligned' AS list, *, row_number() OVER (PARTITION BY target_id ORDER BY part DESC, place) AS position FROM ({_BY_COSINE})
+  UNION ALL
+  SELECT 'differences' AS list, *, row_number() OVER (PARTITION BY target_id ORDER BY gap DESC, place) AS position FROM ({_BY_COSINE})
 ) WHERE position <= 5"""
 _ROLE_GAP = "CASE t.position_group " + " ".join(
     f"WHEN '{g}' THEN " + plus(f"(t.z{i} - c.z{i}) * (t.z{i} - c.z{i})" for i, f in enumerate(FEATURES) if f in chosen)
@@ -577,3 +582,10 @@ SELECT CAST(o_custkey AS INTEGER) AS api_football_id, c_name AS name, CAST(NULL
   CAST(o_custkey % 50 + 150 AS INTEGER) AS height_cm, CAST(NULL AS INTEGER) AS weight_kg, CAST(NULL AS VARCHAR) AS photo_url, CAST(o_orderdate AS TIMESTAMP) AS updated_at
 FROM {_NEWEST.format(keys="o_custkey", more="")}""")
 API_FILES = query([API], """SELECT unnest(['files', 'payloads', 'lost']) AS what, unnest([count(*), count(*), 0]) AS value FROM asked WHERE o_orderkey % 50 = 7""")
+
+COHORT_OUTCOMES = query(CANONICAL, """
+SELECT season, position_group, n AS cohort_size, CASE WHEN n < 3 THEN 'COHORT_TOO_SMALL' WHEN missing > 0 THEN 'MISSING_FEATURES' ELSE 'OK' END AS status,
+  CASE WHEN n < 3 THEN 'Not enough eligible players in cohort ' || season || '|' || position_group || '.'
+       WHEN missing > 0 THEN 'Missing feature values detected: shots_per90: ' || missing END AS detail
+FROM (SELECT season, position_group, count(*) AS n, count(*) FILTER (minutes % 97 = 0) AS missing FROM canon
+      WHERE is_similarity_eligible AND position_group <> 'GK' GROUP BY season, position_group)""")

@@ -254,7 +254,7 @@ def explain_cosine(spark, sf_dir):
     space = adapter.similarity_space(spark, sf_dir)
     pairs, _ = similarity.nth_neighbour(space, 2, "cosine")
     rows = similarity.explain_cosine(pairs, space)
-    return rounded(rows, "target_z", "candidate_z", "z_gap", "cosine_contribution")
+    return rounded(rows, "target_z", "candidate_z", "z_gap", "cosine_contribution", "similarity")
 
 
 @register("nth_neighbour_status", query(RANKED, oracle.NTH_STATUS))
@@ -269,7 +269,19 @@ def top_features(spark, sf_dir):
     rows = rounded(similarity.explain_euclidean(pairs, space), "absolute_gap", "squared_contribution")
     largest = similarity.top_features(rows, "squared_contribution").select(F.lit("largest").alias("list"), "target_id", "key", "season", "position", "feature")
     closest = similarity.top_features(rows, "absolute_gap", ascending=True).select(F.lit("closest").alias("list"), "target_id", "key", "season", "position", "feature")
-    return largest.unionByName(closest)
+    pairs, _ = similarity.nth_neighbour(space, 1, "cosine")
+    rows = rounded(similarity.explain_cosine(pairs, space), "cosine_contribution", "z_gap")
+    aligned = similarity.top_features(rows, "cosine_contribution").select(F.lit("aligned").alias("list"), "target_id", "key", "season", "position", "feature")
+    apart = similarity.top_features(rows, "z_gap").select(F.lit("differences").alias("list"), "target_id", "key", "season", "position", "feature")
+    return largest.unionByName(closest).unionByName(aligned).unionByName(apart)
+
+
+@register("cohort_outcomes", oracle.COHORT_OUTCOMES)
+def cohort_outcomes(spark, sf_dir):
+    """The population with one feature value in ninety-seven taken away."""
+    people = adapter.canonical_layer(spark, sf_dir)
+    holed = people.withColumn("shots_per90", F.when(F.col("minutes") % 97 != 0, F.col("shots_per90")))
+    return similarity.cohort_outcomes(similarity.build_space(holed))
 
 
 def _by_request(spark, sf_dir):

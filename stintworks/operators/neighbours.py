@@ -20,8 +20,8 @@ CHUNK_ROWS = 16384
 QUERY_ROWS = 4096
 _SPLIT_DIMS = 10
 _LEVELS = 3  # at most 2**3 bins per dimension
-# About 300 bytes each: at most some 60 MB are broadcast.
-_BROADCAST_CELLS = 200_000
+# Bytes of cell boxes that are broadcast at most; two doubles per coordinate and some for the rest of a row.
+_BROADCAST_BYTES = 64 << 20
 _BOX_CHECKS_PER_TASK = 20_000_000
 _SALTS = 64
 _CHUNK = ["cohort", "cell", "chunk"]
@@ -168,7 +168,7 @@ def _with_cells(targets: DataFrame, index: Index) -> DataFrame:
     """Targets next to the cells of their cohort, to be filtered by the cells' boxes.
 
     The comparisons, not the bytes, decide how many tasks this needs. The cells are broadcast up to
-    a checked number; beyond it both sides are salted, so that a crowded cohort still spreads out.
+    a checked size; beyond it both sides are salted, so that a crowded cohort still spreads out.
     """
     cells = index.cells.drop("cuts", "bits")
     count = cells.count()
@@ -176,7 +176,7 @@ def _with_cells(targets: DataFrame, index: Index) -> DataFrame:
     targets = materialize(targets.withColumn("point", point), "bounded")
     tasks = targets.count() * count // _BOX_CHECKS_PER_TASK
     tasks = int(min(max(tasks, targets.sparkSession.sparkContext.defaultParallelism), 100_000))
-    if count <= _BROADCAST_CELLS:
+    if count * (16 * (index.dims + 1) + 100) <= _BROADCAST_BYTES:
         return targets.repartition(tasks, "target_id").join(F.broadcast(cells), "cohort")
     salted = targets.withColumn("salt", F.pmod(F.xxhash64("target_id"), F.lit(_SALTS)).cast("int"))
     copies = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))

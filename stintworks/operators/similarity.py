@@ -12,6 +12,7 @@ from stintworks.functions.cleaning import folded, trimmed
 from stintworks.operators.cohorts import (
     COHORT, cohort_id, missing_total, moments, role_mask, similarity_population, zscores,
 )
+from stintworks.operators.constraints import unique_violations
 from stintworks.operators.neighbours import CHUNK_ROWS, Index, build_index, nearest, pair_scores, rank_of
 from stintworks.operators.resolve import (
     COHORT_TOO_SMALL, MAX_SIMILAR, MISSING_FEATURES, OK, flag_not_eligible, resolve, with_detail,
@@ -40,7 +41,8 @@ def build_space(
 ) -> Space:
     """Moments first, stored and small, then one pass that standardises and stores the rows.
 
-    Cohorts with missing feature values are left out; ``similar`` reports them as a status.
+    Cohorts with missing feature values are left out; ``cohort_outcomes`` and the outcomes of requests say
+    so. An entity and season must occur once: a second row would be its own neighbour.
     """
     population = similarity_population(canonical)
     wide = materialize(moments(population, cohort_cols, features), "moments")
@@ -50,7 +52,11 @@ def build_space(
         F.col("canonical_player_key").alias("key"),
         "season", *SHOWN, "cohort_size", "z",
     )
-    return Space(materialize(scored, "space"), wide, cohort_cols, features)
+    rows = materialize(scored, "space")
+    twice = unique_violations(rows, ["key", "season"]).select("key", "season").take(3)
+    if twice:
+        raise ValueError("entities with several rows in one season: " + ", ".join(f"{r.key} {r.season}" for r in twice))
+    return Space(rows, wide, cohort_cols, features)
 
 
 def target_id(key: str = "key", season: str = "season") -> Column:
@@ -83,22 +89,39 @@ def neighbours(
     return nearest(targets, index_of(space, metric, k, chunk_rows=chunk_rows), k, chunk_rows)
 
 
-def with_cohort_status(resolved: DataFrame, space: Space) -> DataFrame:
-    """Outcomes whose cohort is too small, or lacks feature values, say so; the text names the features."""
+def _cohort_trouble(space: Space) -> tuple[Column, Column]:
+    """Status and text of a row of cohort moments; the text names the features that lack values."""
     gaps = [F.when(F.col(f"missing_{f}") > 0, F.concat(F.lit(f"{f}: "), F.col(f"missing_{f}"))) for f in space.features]
-    sizes = space.moments.select(
-        *[F.col(c).alias(f"matched_{c}") for c in space.cohort_cols], "cohort_size",
-        missing_total(space.features).alias("missing"), F.concat_ws(", ", *gaps).alias("gaps"),
+    missing = F.concat(F.lit("Missing feature values detected: "), F.concat_ws(", ", *gaps))
+    status = F.when(F.col("cohort_size") < MIN_COHORT, COHORT_TOO_SMALL).when(missing_total(space.features) > 0, MISSING_FEATURES).otherwise(OK)
+    return status, missing
+
+
+def cohort_outcomes(space: Space) -> DataFrame:
+    """Every cohort of the population with its size and whether its entities can be searched.
+
+    Joined with the population on the cohort columns it tells for each entity why ``neighbours``,
+    ``compare_metrics`` or ``candidate_ranks`` have no rows for it.
+    """
+    status, missing = _cohort_trouble(space)
+    small = F.format_string("Not enough eligible players in cohort %s.", F.concat_ws("|", *space.cohort_cols))
+    rows = space.moments.select(*space.cohort_cols, "cohort_size", status.alias("status"), missing.alias("missing"))
+    return rows.select(
+        *space.cohort_cols, "cohort_size", "status",
+        F.when(F.col("status") == COHORT_TOO_SMALL, small).when(F.col("status") == MISSING_FEATURES, F.col("missing")).alias("detail"),
     )
-    outcomes = resolved.join(sizes, [f"matched_{c}" for c in space.cohort_cols], "left")
-    good = F.col("status") == OK
-    status = (
-        F.when(good & (F.col("cohort_size") < MIN_COHORT), COHORT_TOO_SMALL)
-        .when(good & (F.col("missing") > 0), MISSING_FEATURES)
-        .otherwise(F.col("status"))
+
+
+def with_cohort_status(resolved: DataFrame, space: Space) -> DataFrame:
+    """Outcomes whose cohort is too small, or lacks feature values, say so; the text names the features."""
+    trouble, missing = _cohort_trouble(space)
+    cohorts = space.moments.select(
+        *[F.col(c).alias(f"matched_{c}") for c in space.cohort_cols], trouble.alias("trouble"), missing.alias("missing")
     )
+    outcomes = resolved.join(cohorts, [f"matched_{c}" for c in space.cohort_cols], "left")
+    status = F.when(F.col("status") == OK, F.coalesce("trouble", F.lit(OK))).otherwise(F.col("status"))
     kept = F.when(F.col("status") == F.col("old_status"), F.col("old_detail")).otherwise(F.col("detail"))
-    told = F.when(F.col("status") == MISSING_FEATURES, F.concat(F.lit("Missing feature values detected: "), "gaps")).otherwise(kept)
+    told = F.when(F.col("status") == MISSING_FEATURES, F.col("missing")).otherwise(kept)
     outcomes = outcomes.withColumns({"old_status": F.col("status"), "old_detail": F.col("detail")})
     return with_detail(outcomes.withColumn("status", status)).withColumn("detail", told).select(*resolved.columns)
 
@@ -249,7 +272,7 @@ def explain_euclidean(pairs: DataFrame, space: Space) -> DataFrame:
 
 
 def explain_cosine(pairs: DataFrame, space: Space) -> DataFrame:
-    """Per feature: gap, contribution to the cosine and the sides of the average.
+    """Per feature: gap, contribution to the cosine and the sides of the average; ``similarity`` is their total.
 
     A pair with a zero-length vector cannot be explained: status ``ZERO_VECTOR``, no contribution.
     """
@@ -259,7 +282,8 @@ def explain_cosine(pairs: DataFrame, space: Space) -> DataFrame:
         F.sqrt(sum([F.col(c)[i] * F.col(c)[i] for i in range(1, dims)], F.col(c)[0] * F.col(c)[0]))
         for c in ("target_z", "candidate_z")
     ]
-    rows = _unpivoted(wide.withColumn("norms", norm[0] * norm[1]), space.features)
+    dot = sum([F.col("target_z")[i] * F.col("candidate_z")[i] for i in range(1, dims)], F.col("target_z")[0] * F.col("candidate_z")[0])
+    rows = _unpivoted(wide.withColumn("norms", norm[0] * norm[1]).withColumn("dot", dot), space.features)
     tz, cz = F.col("tz"), F.col("cz")
     # The three directions.
     direction = (
@@ -272,6 +296,7 @@ def explain_cosine(pairs: DataFrame, space: Space) -> DataFrame:
         tz.alias("target_z"), cz.alias("candidate_z"), F.abs(tz - cz).alias("z_gap"),
         F.when(F.col("norms") > 0, tz * cz / F.col("norms")).alias("cosine_contribution"),
         direction.alias("direction"),
+        F.when(F.col("norms") > 0, F.col("dot") / F.col("norms")).alias("similarity"),
         F.when(F.col("norms") > 0, OK).otherwise("ZERO_VECTOR").alias("status"),
     )
 

@@ -27,8 +27,6 @@ def spark():
 @pytest.fixture(scope="session")
 def make_stints(spark):
     """Staging rows from dicts; unnamed columns are NULL, counts default to what the case needs."""
-    kinds = {f.name: f.dataType.typeName() for f in STAGING.fields}
-
     def make(*rows, identity=False):
         filled = []
         for number, row in enumerate(rows, start=1):
@@ -37,7 +35,6 @@ def make_stints(spark):
                     "position_raw": "FW", "imported_at": dt.datetime(2026, 1, 1)}
             base.update(row)
             filled.append(tuple(base.get(f.name) for f in STAGING.fields))
-        assert kinds
         frame = spark.createDataFrame(filled, STAGING)
         if identity:
             frame = frame.selectExpr("*", "source_player_key AS canonical_player_key", "player_name AS canonical_player_name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stintworks.operators.cohorts import moments
 from stintworks.operators.neighbours import build_index, nearest, rank_of
 from stintworks.operators.similarity import (
-    Space, all_targets, build_space, candidate_ranks, compare_metrics, explain_cosine, explain_euclidean,
+    all_targets, build_space, candidate_ranks, cohort_outcomes, compare_metrics, explain_cosine, explain_euclidean,
     find_candidates, nth_neighbour, role_experiment, role_neighbours, top_features,
 )
 from stintworks.schemas import FEATURES, ROLE_FEATURES
@@ -258,5 +258,27 @@ def test_role_overlap(space):
     assert all(0 <= r.overlap <= 5 for r in rows if r.overlap is not None)
 
 
-def test_space_is_a_plain_record(space):
-    assert isinstance(space, Space) and space.features == FEATURES
+def test_missing_features_are_told_with_counts(spark):
+    rows = canonical_rows(spark).withColumn(FEATURES[2], F.when(F.col("canonical_player_key") != "k000", F.col(FEATURES[2])))
+    told = {r.position_group: (r.status, r.detail) for r in cohort_outcomes(build_space(rows)).collect()}
+    assert told["FW"] == ("MISSING_FEATURES", f"Missing feature values detected: {FEATURES[2]}: 1")
+    assert told["MF"] == ("OK", None)
+
+
+def test_small_cohorts_are_told(spark):
+    rows = canonical_rows(spark).filter("position_group <> 'MF' OR canonical_player_key < 'k005'")
+    told = {r.position_group: (r.cohort_size, r.status) for r in cohort_outcomes(build_space(rows)).collect()}
+    assert told["MF"] == (2, "COHORT_TOO_SMALL")
+
+
+def test_an_entity_may_not_occur_twice_in_a_season(spark):
+    rows = canonical_rows(spark)
+    with pytest.raises(ValueError, match="k001 2025"):
+        build_space(rows.unionByName(rows.filter("canonical_player_key = 'k001'")))
+
+
+def test_cosine_total_is_the_sum_of_contributions(space):
+    pairs, _ = nth_neighbour(space, 2, "cosine")
+    rows = explain_cosine(pairs, space).groupBy("target_id").agg(F.sum("cosine_contribution").alias("parts"), F.max("similarity").alias("total"))
+    scores = {r.target_id: r.score for r in pairs.collect()}
+    assert all(r.parts == pytest.approx(r.total) == pytest.approx(scores[r.target_id]) for r in rows.collect())
