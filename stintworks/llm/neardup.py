@@ -7,8 +7,9 @@ miss probability. Only pairs that survive all batches are verified, on full shin
 
 No bucket is expanded into all its pairs. First every class meets the smallest class of each of its
 buckets; the links found give components. Classes of one component need no further comparison, so a bucket of
-near copies is done. Where classes of different components still share a bucket, they are compared in
-blocks inside tasks, which send on the survivors alone.
+near copies is done. Where classes of different components still share a bucket, blocks of them are
+compared inside tasks, on signatures first and on full sets then, and a block sends on only the links that
+join its components.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,10 @@ PERCENT = 80
 # Hashes in a band; the number of bands follows from threshold and miss probability.
 ROWS = 4
 MISS = 1e-7
-# Hashes compared at a time, classes of a bucket that one block holds, partners of a class that share a task.
+# Hashes compared at a time, classes and bytes of full sets that one block holds, partners of a class that share a task.
 BATCH = 16
-BLOCK = 1024
+BLOCK = 4096
+BLOCK_BYTES = 64 << 20
 PARTNERS = 512
 # Shingles hashed at once.
 _CHUNK = 1 << 17
@@ -43,6 +47,7 @@ def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
 
 
+@lru_cache(maxsize=None)
 def least_matches(compared: int, percent: int, miss: float) -> int:
     """Fewest matches of ``compared`` hashes for which P(similarity >= threshold | matches) is at least ``miss``.
 
@@ -146,80 +151,139 @@ def bayes(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> Data
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def _in_blocks(rows: Iterator[tuple], bands: int, percent: int, miss: float) -> Iterator[tuple[bytes, bytes]]:
-    """Survivors among classes of one bucket (or two of its blocks) with different components.
+def _partners(rows: list[tuple], bands: int, percent: int, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class of a block, the later ones of other components that signatures do not rule out.
 
-    ``rows`` are (band, left block, right block, own block, node, label, n, sig). A pair is looked at in the
-    first band that it shares.
+    ``rows`` are (bucket, band, left block, right block, own block, node, label, n, sig, ...). Of two different
+    blocks, classes of the left meet those of the right. A pair is looked at in the first band that it shares.
     """
-    rows = list(rows)
-    band, left, right = rows[0][:3]
-    sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(len(rows), -1)
-    n = np.array([r[6] for r in rows])
-    labels = {label: i for i, label in enumerate(dict.fromkeys(r[5] for r in rows))}
-    label = np.array([labels[r[5]] for r in rows])
-    own = np.array([r[3] for r in rows])
-    for i in range(len(rows)):
-        if own[i] != left:
-            continue
+    band, left, right = rows[0][1:4]
+    sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(len(rows), -1)
+    n = np.array([r[7] for r in rows])
+    names = {label: i for i, label in enumerate(dict.fromkeys(r[6] for r in rows))}
+    label = np.array([names[r[6]] for r in rows])
+    own = np.array([r[4] for r in rows])
+    for i in np.flatnonzero(own == left):
         other = np.flatnonzero((own == right) & (label != label[i]))
         if left == right:
             other = other[other > i]
         other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-        if not len(other):
-            continue
-        same = (sig[other] == sig[i]).reshape(len(other), bands, -1).all(axis=2)
-        other = other[same.argmax(axis=1) == band]
         if len(other):
-            for j in other[survives(np.repeat(sig[i : i + 1], len(other), axis=0), sig[other], percent, miss)]:
-                yield min(rows[i][4], rows[j][4]), max(rows[i][4], rows[j][4])
+            same = (sig[other] == sig[i]).reshape(len(other), bands, -1).all(axis=2)
+            other = other[same.argmax(axis=1) == band]
+        if len(other):
+            other = other[survives(np.repeat(sig[i : i + 1], len(other), axis=0), sig[other], percent, miss)]
+            if len(other):
+                yield int(i), other
+
+
+def _links(rows: list[tuple], bands: int, percent: int, miss: float) -> list[tuple[bytes, bytes]]:
+    """Verified links between the components of a block, as many as it takes to join them.
+
+    The last field of a row is its full set. A class is marked in the vocabulary of the block and
+    all its partners are counted against the marks at once.
+    """
+    sets = [np.frombuffer(r[9], np.uint64) for r in rows]
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    mark = np.zeros(len(vocabulary), np.int64)
+    names = {label: i for i, label in enumerate(dict.fromkeys(r[6] for r in rows))}
+    parent = list(range(len(names)))
+    label = [names[r[6]] for r in rows]
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for i, others in _partners(rows, bands, percent, miss):
+        others = [j for j in others if root(label[j]) != root(label[i])]
+        if not others:
+            continue
+        own = ids[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        sizes = np.array([len(sets[j]) for j in others])
+        hits = mark[np.concatenate([ids[starts[j] : starts[j + 1]] for j in others])]
+        common = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        mark[own] = 0
+        for j in np.array(others)[100 * common >= percent * (sizes + len(own) - common)]:
+            if root(label[j]) != root(label[i]):
+                parent[root(label[j])] = root(label[i])
+                found.append((min(rows[i][5], rows[j][5]), max(rows[i][5], rows[j][5])))
+    return found
+
 
+def _per_block(batches: Iterator[pa.RecordBatch], key: int, work) -> Iterator[tuple]:
+    """What ``work`` makes of each run of rows that agree in their first ``key`` fields; one run is held at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:key] != held[0][:key]:
+                yield from work(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from work(held)
 
-def across(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, bands: int, percent: int, miss: float) -> DataFrame:
-    """Surviving pairs of classes that share a bucket and are not in one component yet."""
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+_KEY = ["bucket", "band", "left", "right"]
+
+
+def open_blocks(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, bands: int, percent: int, miss: float) -> DataFrame:
+    """The classes that may be linked to another component in a bucket they share, block by block.
+
+    A bucket of more classes or set bytes than one block holds is dealt to several, and every pair of
+    its blocks is a block of its own.
+    """
     known = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = materialize(known, "near-labelled")
+    known = materialize(known.join(nodes.select("node", "n_shingles"), "node"), "near-labelled")
     # Two classes have met as center and partner; only larger buckets hold pairs that have not.
-    open_ = known.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    open_ = open_.filter("size > 2 AND low <> high").select("band", "bucket", "size")
-    rows = join_groups(known, open_, ["band", "bucket"], "size").join(nodes.select("node", "n_shingles", "sig"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_ = known.groupBy("band", "bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("weight") / BLOCK_BYTES)).cast("int")
+    open_ = open_.filter("size > 2 AND low <> high").select("band", "bucket", "size", blocks.alias("blocks"))
+    rows = join_groups(known, open_, ["band", "bucket"], "size").join(nodes.select("node", "sig"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "bucket", "band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "label", "n_shingles", "sig"
     )
-    key = ["bucket", "band", "left", "right"]
+    schema = pa.schema(
+        [("bucket", pa.int64()), ("band", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("own", pa.int32()), ("node", pa.binary()), ("label", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary())]
+    )
+
+    def reach(held: list[tuple]) -> list[tuple]:
+        at = {k for i, others in _partners(held, bands, percent, miss) for k in (i, *others.tolist())}
+        return [held[k] for k in sorted(at)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
+        yield from _batched(_per_block(batches, len(_KEY), reach), schema)
 
-        def done() -> list[tuple[bytes, bytes]]:
-            return list(_in_blocks(held, bands, percent, miss)) if len(held) > 1 else []
+    dealt = rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "node")
+    return dealt.mapInArrow(run, "bucket long, band int, left int, right int, own int, node binary, label binary, n_shingles long, sig binary")
 
-        for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != now:
-                    found += done()
-                    held, now = [], row[:4]
-                held.append(row[1:])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
-        if found := done():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
 
-    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a binary, b binary")
+def links_across(blocks: DataFrame, sets: DataFrame, bands: int, percent: int, miss: float) -> DataFrame:
+    """Links between components, verified on full sets inside the blocks."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(_per_block(batches, len(_KEY), lambda held: _links(held, bands, percent, miss)), schema)
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The ``pairs`` whose full shingle sets reach the threshold.
+    rows = blocks.join(sets.select("node", "shingles"), "node").select(*blocks.columns, "shingles")
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "node").mapInArrow(run, "a binary, b binary")
 
-    Sets are made again from the texts of the classes at stake. A class with many partners is copied for
-    every ``PARTNERS`` of them.
-    """
-    stake = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+def full_sets(stake: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``node, shingles`` (packed, sorted) of the classes in ``stake``, made again from their texts."""
     stake = nodes.join(stake, "node", "left_semi").select("node", F.col("low").alias("doc_id"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     texts = texts.join(stake.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
@@ -230,19 +294,35 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
             for at in range(0, whole.num_rows, 256):
                 sets = [maker.shingles(t) for t in whole.column(0).slice(at, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"]
+                    [pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]
                 )
 
-    sets = texts.select("text").mapInArrow(run, "node binary, shingles array<long>")
-    sets = materialize(sets.join(stake.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    sets = texts.select("text").mapInArrow(run, "node binary, shingles binary")
+    return materialize(sets.join(stake.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` whose full shingle sets reach the threshold.
+
+    A class with many partners is copied for every ``PARTNERS`` of them.
+    """
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
     left = sets.join(parts, sets["node"] == parts["a"]).select("a", F.col("shingles").alias("set_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     right = right.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = right.join(left, ["a", "part"])
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.filter(100 * common.cast("long") >= percent * union.cast("long")).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort(kind="stable")  # merges the two sorted runs
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(both) - common))
+            if batch.num_rows:
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return right.join(left, ["a", "part"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -299,12 +379,13 @@ def near_duplicates(
     buckets = materialize(join_groups(every, centers, ["band", "bucket"], "bucket_size"), "near-buckets")
     stars = buckets.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     survivors = materialize(bayes(stars, nodes, percent, miss), "near-stars")
-    links = materialize(verify(survivors, docs, nodes, id_col, text_col, size, percent), "near-links")
-    labels = components(links)
-    more = across(buckets.select("node", "band", "bucket"), nodes, labels, bands, percent, miss)
-    more = materialize(more.distinct().join(survivors, ["a", "b"], "left_anti"), "near-across")
-    if not more.isEmpty():
-        more = verify(more, docs, nodes, id_col, text_col, size, percent)
+    stake = survivors.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = materialize(verify(survivors, full_sets(stake, docs, nodes, id_col, text_col, size), percent), "near-links")
+    labels = materialize(components(links), "near-labels")
+    blocks = materialize(open_blocks(buckets.select("node", "band", "bucket"), nodes, labels, bands, percent, miss), "near-blocks")
+    if not blocks.isEmpty():
+        sets = full_sets(blocks.select("node").distinct(), docs, nodes, id_col, text_col, size)
+        more = materialize(links_across(blocks, sets, bands, percent, miss), "near-across")
         labels = components(links.unionByName(more))
     found = nodes.select("node", "low", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = found.groupBy("label").agg(F.min("low").alias("component_id"))
