@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from stintworks.llm.common import text_of
 
@@ -190,8 +190,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     span = 8 * WINDOW
     middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.char_length("text") - span) / 2) + 1).cast("int"), F.lit(span))
     near = near.select("id", middle.alias("text"), "lang", F.pmod(order, F.lit(1 << 30)).alias("place"))
-    from pyspark.sql import Window as W
-
     first = F.row_number().over(W.partitionBy("lang").orderBy("place", "id", "text"))
     sample = near.withColumn("n", first).filter(F.col("n") <= documents).select("id", "text", "lang")
     texts = [(r["id"] or 0, r["text"], r["lang"]) for r in sample.collect()]

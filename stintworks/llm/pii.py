@@ -55,10 +55,6 @@ LABELERS = ("regex", "gazetteer", "context", "boundary", "shape")
 ROUNDS = 30
 
 
-def _quote(text: str) -> str:
-    return "r'" + text.replace("'", r"\'") + "'" if "'" not in text else '"' + text + '"'
-
-
 def _cases(cases: dict[str, str], other: str) -> str:
     return "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cases.items()) + f" ELSE {other} END"
 

@@ -50,9 +50,10 @@ def op1_exact_dedup(spark, sf_dir):
     FROM c GROUP BY conv_id
 """)
 def op4_chat_format(spark, sf_dir):
-    extra = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    said = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    stream, examples = chat.format_chats(turns.unionByName(spark.createDataFrame(extra, turns.schema)))
+    stream, examples = chat.format_chats(turns.unionByName(extra))
     return chat.read_back(stream, examples)
 
 
