@@ -49,7 +49,7 @@ PATTERNS = {
 NEEDED = {"email": "@", "phone": "+", "ssn": "-", "mail_text": "at"}
 KINDS = tuple(PATTERNS)
 
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _DIGITS = "regexp_replace(c.match, '[^0-9]', '')"
 LABELERS = ("regex", "gazetteer", "context", "boundary", "shape")
 ROUNDS = 30
