@@ -22,7 +22,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
 BLOCK = 64
 # Documents of the last block of a source that may be turned over to make good its last error.
-FLIPS = 3
+FLIPS = 4
 _EPS = 1e-9
 
 
@@ -108,9 +108,11 @@ def pivotal(units: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
         if largest is None:
             break
         last = largest <= block
-        blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+        # So many blocks that the last one of a source, made of what the others leave, has documents to choose from.
+        blocks = F.ceil(F.when(F.col("n") <= block * block, F.sqrt("n")).otherwise(F.col("n") / block)).cast("long")
         dealt = units.join(per_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        dealt = dealt.withColumn("block", F.when(F.lit(last), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(seed + level), "tie"), blocks)))
+        waiting = dealt.filter(F.lit(not last) & (F.col("n") <= block)).select("source", "id", "tie", "size", "p")
+        dealt = dealt.filter(F.lit(last) | (F.col("n") > block)).withColumn("block", F.when(F.lit(last), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(seed + level), "tie"), blocks)))
         rounded = (
             dealt.groupBy("source", "block")
             # Neighbours in size make the smallest moves.
@@ -129,7 +131,8 @@ def pivotal(units: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
         rest = rounded.select("source", "r.rest.*").filter("size > 0")
         settled = f"p <= {_EPS} OR p >= 1 - {_EPS}"
         done = done.unionByName(rest.filter(settled).select("source", "id", "tie", (F.col("p") > 0.5).alias("one")))
-        units, level = rest.filter(f"NOT ({settled})").select("source", "id", "tie", "size", "p"), level + 1
+        rest = rest.filter(f"NOT ({settled})").select("source", "id", "tie", "size", "p")
+        units, level = materialize(rest.unionByName(waiting), "mix-units"), level + 1
     if done is None:
         done = units.select("source", "id", "tie", F.lit(False).alias("one"))
     return done

@@ -67,7 +67,7 @@ def test_every_constraint_holds(spark, rule, limits):
     used = check(packing.pack(pieces, capacity=100, rule=rule, **limits).collect(), 100, **limits)
     total = sum(r[3] for r in rows)
     bound = max(total / 100, 500 / limits.get("most_documents", 500), sum(r[3] ** 2 for r in rows) / limits.get("most_cost", 1e9))
-    assert used <= bound * 1.12 + 2
+    assert used <= bound * (1.25 if limits else 1.05) + 2  # no packing need reach the bound of several constraints
 
 
 def test_close_to_the_least_number_of_sequences():
