@@ -250,7 +250,7 @@ def open_blocks(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, bands:
     )
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("weight") / BLOCK_BYTES)).cast("int")
     open_ = open_.filter("size > 2 AND low <> high").select("band", "bucket", "size", blocks.alias("blocks"))
-    rows = join_groups(known, open_, ["band", "bucket"], "size").join(nodes.select("node", "sig"), "node")
+    rows = known.join(open_, ["band", "bucket"]).join(nodes.select("node", "sig"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
@@ -376,7 +376,8 @@ def near_duplicates(
     nodes = materialize(nodes, "near-nodes")
     every = banded(nodes, bands, rows)
     centers = every.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("bucket_size"), F.min("node").alias("a")).filter("bucket_size > 1")
-    buckets = materialize(join_groups(every, centers, ["band", "bucket"], "bucket_size"), "near-buckets")
+    # Most classes are alone in their buckets and go here; Spark splits a crowded bucket when it joins.
+    buckets = materialize(every.join(centers, ["band", "bucket"]), "near-buckets")
     stars = buckets.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     survivors = materialize(bayes(stars, nodes, percent, miss), "near-stars")
     stake = survivors.select(F.explode(F.array("a", "b")).alias("node")).distinct()
