@@ -182,8 +182,8 @@ for _metric in ("euclidean", "cosine", "manhattan"):
     _knn(_metric, 10)
 
 
-# Rows of a chunk that make small cohorts span many cells and chunks, as large cohorts do.
-SMALL_CHUNK = 16
+# Rows of a chunk that make the cohorts of a small input span several cells and chunks, as large cohorts do.
+SMALL_CHUNK = 48
 
 
 def _knn_cells(metric: str, k: int):
