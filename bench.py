@@ -28,7 +28,7 @@ HEADLINE = [
     "explain_requests", "constraint_fk", "cascade_delete",
 ]
 # Seconds after which a query is not run again.
-LONG = 15
+LONG = 6
 
 
 def main() -> None:
