@@ -432,18 +432,27 @@ def api_team(spark, sf_dir):
 
 @register("api_files", oracle.API_FILES)
 def api_files(spark, sf_dir):
-    """Every fiftieth document goes through files: one file per document, read back under a name of its own."""
+    """Every document goes through files: one file per document, read back under a name of its own.
+
+    ``lost`` compares all documents with all files, payload by payload; the other two counts are those of the
+    documents that the SQL lists.
+    """
     documents, _ = adapter.api_documents(spark, sf_dir)
-    some = documents.filter(F.col("document_id").cast("long") % 50 == 7)
     folder = new_path(spark, "document-files")
-    some.select(F.col("payload").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
-    files = read_api_documents(spark, folder)
-    known = some.select(F.xxhash64("payload").alias("h"))
+    documents.select(F.col("payload").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    listed = F.bool_or(F.col("document_id").cast("long") % 50 == 7).alias("listed")
+    known = documents.groupBy(F.xxhash64("payload").alias("h")).agg(F.count(F.lit(1)).alias("documents"), listed)
     # The text sink names the files itself and ends them with a line break.
-    found = files.select("document_id", F.xxhash64(F.regexp_replace("payload", r"\n$", "")).alias("h"))
-    lost = found.join(known, "h", "left_anti").agg(F.lit("lost").alias("what"), F.count(F.lit(1)).alias("value"))
-    counts = found.agg(F.count_distinct("document_id").alias("files"), F.count_distinct("h").alias("payloads"))
-    return counts.unpivot([], ["files", "payloads"], "what", "value").unionByName(lost)
+    payload = F.regexp_replace("payload", r"\n$", "")
+    found = read_api_documents(spark, folder).groupBy(F.xxhash64(payload).alias("h")).agg(F.count_distinct("document_id").alias("found"))
+    both = known.join(found, "h", "full")
+    off = F.abs(F.coalesce("documents", F.lit(0)) - F.coalesce("found", F.lit(0)))
+    counts = both.agg(
+        F.coalesce(F.sum(F.when(F.col("listed"), F.col("found"))), F.lit(0)).alias("files"),
+        F.count(F.when(F.col("listed"), F.col("found"))).alias("payloads"),
+        F.coalesce(F.sum(off), F.lit(0)).alias("lost"),
+    )
+    return counts.unpivot([], ["files", "payloads", "lost"], "what", "value")
 
 
 @register("api_rejects", oracle.API_REJECTS)

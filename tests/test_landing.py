@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from stintworks.fixtures import registry
 from stintworks.operators import constraints
 from stintworks.operators.merge import last_per_key, merge_by_key
 from stintworks.plans.api_landing import append_raw, land_api_documents, latest_documents, source_registry
@@ -294,3 +295,20 @@ def test_every_document_and_request_is_loaded_or_rejected(spark):
         "bad": "BAD_NUMBER", "letters": "BAD_NUMBER", "team": "NO_DIMENSION_KEY", "name": "NO_PLAYER_KEY", "person": "NO_PLAYER_KEY",
         "unasked": "NO_REQUEST", "missing": "NO_DOCUMENT",
     }
+
+
+@pytest.mark.parametrize("missing,lost", [(None, 0), ("five", 1), ("same", 2)])
+def test_every_document_goes_through_files(spark, monkeypatch, missing, lost):
+    """Documents that the SQL does not list are written, read and compared as well."""
+    payloads = {1: "same", 2: "same", 5: "five", 7: "seven\nlines", 8: "", 57: "é 57"}
+    documents = spark.createDataFrame([(str(k), v) for k, v in payloads.items()], "document_id string, payload string")
+    monkeypatch.setattr(registry.adapter, "api_documents", lambda spark, sf_dir: (documents, None))
+    read = []
+
+    def reader(spark, path):
+        read.append(read_api_documents(spark, path))
+        return read[0].filter(~F.startswith("payload", F.lit(missing))) if missing else read[0]
+
+    monkeypatch.setattr(registry, "read_api_documents", reader)
+    assert dict(registry.QUERIES["api_files"](spark, "").collect()) == {"files": 2, "payloads": 2, "lost": lost}
+    assert read[0].count() == len(payloads)
