@@ -22,7 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stintworks.llm.common import join_groups, text_of
 from stintworks.llm.fingerprints import WordHashes, shingle_hashes
@@ -102,8 +102,14 @@ def _name(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, hashes: int) -> DataFrame:
-    """``doc_id, n_shingles, node, sig``; ``node`` names the shingle set, NULL for an empty one."""
+def _mark(text: Column) -> Column:
+    """Names a text; rows that agree in id and mark differ at most in other columns."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, hashes: int, marked: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, node, sig``; ``node`` names the shingle set, NULL for an empty one. With ``marked`` also ``mark``."""
+    fields = ["doc_id", "n_shingles", "node", "sig", *["mark"] * marked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Sketcher(size, hashes)
@@ -120,13 +126,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, hashes: int)
                     for i, sig in zip(full, maker.signatures([sets[i] for i in full])):
                         nodes[i], sigs[i] = _name(sets[i]), sig.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "sig"],
+                    [whole.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())]
+                    + [c.slice(at, len(sets)) for c in whole.columns[2:]],
+                    names=fields,
                 )
                 at += len(sets)
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary")
+    text = text_of(text_col)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), *[_mark(text).alias("mark")] * marked)
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary" + ", mark binary" * marked)
 
 
 def banded(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -351,27 +359,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = SHINGLE,
-    percent: int = PERCENT,
-    rows: int = ROWS,
-    miss: float = MISS,
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` with one row per input row.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rows: int, miss: float, marked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The stored sketch and, for each class, ``node, component_id, size``.
 
-    Two documents are linked if their sets of word shingles have ``100 * intersection >= percent * union``.
-    ``component_id`` is the smallest id reachable by links; the document that has it stays. A document
-    with fewer than ``size`` words has one shingle; without words (or NULL text) it has none and no links, and stays.
-    Of rows that repeat id and set all carry the same answer. NULL ids count as larger than any id. Extra columns are
-    not read; an empty table gives an empty result.
+    With ``marked`` classes also have ``first``, the id and mark of the row that stands for the component, and
+    ``members``, the rows of the component.
     """
     bands = bands_for(percent, rows, miss)
-    seen = materialize(sketch(docs, id_col, text_col, size, bands * rows), "near-sketch")
+    seen = materialize(sketch(docs, id_col, text_col, size, bands * rows, marked), "near-sketch")
+    # The smallest id, of equal ids the smallest mark; NULL ids come last.
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), *["doc_id", *["mark"] * marked])
     nodes = seen.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+        *[F.min(first).alias("first")] * marked,
     )
     nodes = materialize(nodes, "near-nodes")
     every = banded(nodes, bands, rows)
@@ -388,15 +388,67 @@ def near_duplicates(
         sets = full_sets(blocks.select("node").distinct(), docs, nodes, id_col, text_col, size)
         more = materialize(links_across(blocks, sets, bands, percent, miss), "near-across")
         labels = components(links.unionByName(more))
-    found = nodes.select("node", "low", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = found.groupBy("label").agg(F.min("low").alias("component_id"))
-    found = materialize(found.join(lowest, "label").select("node", "component_id", "size"), "near-components")
+    stands = [F.min("first").alias("first"), F.sum("size").alias("members")] if marked else []
+    found = nodes.select("node", "low", "size", *["first"] * marked).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = found.groupBy("label").agg(F.min("low").alias("component_id"), *stands)
+    found = found.select("node", "size", "label").join(lowest, "label").drop("label")
+    return seen, materialize(found, "near-components")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    rows: int = ROWS,
+    miss: float = MISS,
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` with one row per input row.
+
+    Two documents are linked if their sets of word shingles have ``100 * intersection >= percent * union``.
+    ``component_id`` is the smallest id reachable by links; the document that has it stays. A document
+    with fewer than ``size`` words has one shingle; without words (or NULL text) it has none and no links, and stays.
+    Of rows that repeat id and set all carry the same answer. NULL ids count as larger than any id. Extra columns are
+    not read; an empty table gives an empty result.
+    """
+    seen, found = _grouped(docs, id_col, text_col, size, percent, rows, miss)
     listed = join_groups(seen.filter("node IS NOT NULL"), found, ["node"], "size").select("doc_id", "n_shingles", "component_id")
     alone = seen.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return listed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, with all their columns. Ids name documents: rows that repeat an id go or stay together."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long").eqNullSafe(gone["__id"]), "left_anti")
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    rows: int = ROWS,
+    miss: float = MISS,
+) -> DataFrame:
+    """The documents that stay, with all their columns: one row of every component, and all rows without words.
+
+    The row with the smallest id stays, a NULL id only if no member has one; of members that share that id the text
+    with the smallest SHA-256, and of rows that agree in id and text the first as JSON. An id may be NULL or name
+    different texts: what happens to one of its rows does not touch the others.
+    """
+    seen, found = _grouped(docs, id_col, text_col, size, percent, rows, miss, marked=True)
+    found = found.filter("members > 1").select("node", "size", "first")
+    members = join_groups(seen.filter("node IS NOT NULL").select("doc_id", "node", "mark"), found, ["node"], "size")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    pairs = members.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), chosen.alias("chosen")).agg(F.count(F.lit(1)).alias("rows"))
+    pairs = materialize(pairs.filter("NOT chosen OR rows > 1"), "near-pairs")
+    gone, again = pairs.filter("NOT chosen"), pairs.filter("chosen")
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["__own_id"].eqNullSafe(right["__id"]) & (left["__own_mark"] == right["__mark"])
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    known = docs.withColumns({"__own_id": F.col(f"`{id_col}`").cast("long"), "__own_mark": _mark(text_of(text_col))})
+    kept = known.join(gone, same(known, gone), "left_anti")
+    if again.isEmpty():
+        return kept.select(*columns)
+    repeated = kept.join(again, same(kept, again), "left_semi").groupBy("__own_id", "__own_mark")
+    once = repeated.agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("row")).select("row.*")
+    return kept.join(again, same(kept, again), "left_anti").select(*columns).unionByName(once)

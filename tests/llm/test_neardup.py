@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -105,6 +106,45 @@ def test_keep_one(make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in brute(rows, 5, 80) if r[3])
 
 
+def standing(rows, size, percent):
+    """(id, text) of the one row that stays of each component, and of all rows without words."""
+    sets = [shingles(r[1], size) for r in rows]
+    left, out = {i for i in range(len(rows)) if sets[i]}, [rows[i][:2] for i in range(len(rows)) if not sets[i]]
+    while left:
+        group, reach = [], [left.pop()]
+        while reach:
+            i = reach.pop()
+            group.append(rows[i][:2])
+            near = {j for j in left if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+            left -= near
+            reach.extend(near)
+        out.append(min(group, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).digest())))
+    return sorted(out, key=repr)
+
+
+def kept_rows(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=repr)
+
+
+def test_keep_one_of_edge_rows(make_docs, edge_rows):
+    docs = make_docs(edge_rows)
+    kept = neardup.keep_one(docs, size=3, percent=85)
+    assert kept.columns == docs.columns
+    assert kept_rows(kept) == standing(edge_rows, 3, 85)
+
+
+def test_keep_one_where_ids_are_null_or_repeated(make_docs):
+    """Each component keeps one row, whatever its ids are; other rows with the same id are not touched."""
+    rng = random.Random(2)
+    text = {c: " ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "abcdefg"}
+    near = {c: f"{t} more" for c, t in text.items()}
+    rows = [(1, text["a"]), (None, near["a"]), (None, text["b"]), (None, text["c"]), (None, near["c"]), (None, text["c"].upper())]
+    rows += [(5, text["d"]), (5, near["e"]), (4, text["e"]), (6, near["d"]), (7, text["f"]), (7, near["f"]), (8, text["g"]), (8, text["g"]), (None, None), (9, " ")]
+    out = kept_rows(neardup.keep_one(make_docs(rows)))
+    assert out == standing(rows, neardup.SHINGLE, neardup.PERCENT)
+    assert len(out) == 9 and (None, text["b"]) in out and (5, text["d"]) in out
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_pruning_keeps_the_miss_probability(percent):
     """Pairs at the threshold survive all batches; far pairs go in the first ones."""
