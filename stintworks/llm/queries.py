@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stintworks.llm import chat, dedup, fingerprints, langid, licenses, mixing, neardup, packing, pii, warc
+from stintworks.llm import chat, dedup, fingerprints, langid, licenses, mixing, neardup, packing, periodic, pii, repair, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,21 @@ def op9_fingerprint(spark, sf_dir):
 def op10_mix_sources(spark, sf_dir):
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@register()
+def op11_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    edits, summary = repair.repair(repair.damage(turns))
+    return repair.summarize(turns, edits, summary)
+
+
+@register()
+def op12_balanced_shards(spark, sf_dir):
+    rows = sharding.assign(table(spark, sf_dir, "documents")).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@register()
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.summarize(periodic.find_runs(periodic.plant_runs(table(spark, sf_dir, "documents"))))

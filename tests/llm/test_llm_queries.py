@@ -35,7 +35,7 @@ def test_query(spark, duck, name):
 
 
 def test_there_is_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_take_effect(spark):
