@@ -13,15 +13,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stintworks.llm import dedup, langid, mixing, neardup, packing
 from stintworks.workspace import new_path, remove, scope
 
-# Documents below this mean probability of their best language are rejected, and so are those without a language.
+# A document is rejected if no window of it reaches this probability for any language, and if it has no letter.
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without text or letters, or of no language that the labels know."""
-    named = docs.withColumnRenamed("lang_pred", "__lang_pred").withColumnRenamed("score", "__score")
-    found = langid.predict(named, langid.fit(docs))
-    known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    """Drop documents without text or letters, or of no language that the labels know.
+
+    A text in several languages stays: one window that is sure is enough. Without a labelled row to learn from,
+    every document with a letter stays.
+    """
+    model = langid.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    named = docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score", "surest": "__surest"})
+    found = langid.predict(named, model)
+    known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("surest") >= LEAST_SCORE)
     return found.filter(known).select(*[F.col(f"`{c}`") for c in named.columns]).toDF(*docs.columns)
 
 

@@ -142,15 +142,19 @@ class Predictor:
             out.append(_softmax(hidden @ self.model.out + self.model.out_bias))
         return np.concatenate(out)
 
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """Class probabilities of whole texts. Windows of many texts run together, some thousands at a time."""
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Class probabilities of whole texts, and the greatest of any window. Windows of many texts run
+        together, some thousands at a time."""
         total = np.zeros((len(texts), len(self.model.languages)))
+        surest = np.zeros(len(texts))
         held, owners, sizes, n = [], [], [], 0
 
         def flush() -> None:
             if held:
                 weight = np.maximum(np.concatenate(sizes), 1)
-                np.add.at(total, np.repeat(owners, [len(h) for h in held]), self.windows(np.concatenate(held)) * weight[:, None])
+                chance, owner = self.windows(np.concatenate(held)), np.repeat(owners, [len(h) for h in held])
+                np.add.at(total, owner, chance * weight[:, None])
+                np.maximum.at(surest, owner, chance.max(axis=1))
                 held.clear(), owners.clear(), sizes.clear()
 
         for i, text in enumerate(texts):
@@ -164,7 +168,7 @@ class Predictor:
                     flush()
                     n = 0
         flush()
-        return total / total.sum(axis=1, keepdims=True)
+        return total / total.sum(axis=1, keepdims=True), surest
 
 
 def held_out(id_col: str) -> F.Column:
@@ -173,23 +177,23 @@ def held_out(id_col: str) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = SAMPLE_DOCUMENTS) -> Model | None:
-    """Train on at most ``documents`` texts per language, chosen by hash of the id among all that are not
-    held out and have a label and a letter. None if there is none."""
+    """Train on at most ``documents`` texts per language, chosen by hash of id and text among all that are not
+    held out and have a label and a letter. Rows that agree in both count once. None if there is none."""
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang")
-    ).filter(F.col("lang").isNotNull() & ~held_out(id_col if id_col == "id" else "id"))
-    order = F.xxhash64(F.lit(11), "id")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id"))
+    # 62 bits, so that the bound on them below stays within a long.
+    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(11), "id", "text"), 2))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()}
     if not counts:
         return None
     # A few more than wanted pass by hash; the smallest hashes of them stay.
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3.0 * documents / n))])
-    near = rows.filter(F.pmod(order, F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
-    near = near.filter(F.col("text").rlike(r"\p{L}"))
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 3.0 * documents / n) * (1 << 62)))])
+    near = rows.filter(F.col("place") <= F.element_at(bound, F.col("lang")))
     # Long texts are known by windows anyway: a sample text has a bounded number of bytes from its middle.
     span = 8 * WINDOW
     middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.char_length("text") - span) / 2) + 1).cast("int"), F.lit(span))
-    near = near.select("id", middle.alias("text"), "lang", F.pmod(order, F.lit(1 << 30)).alias("place"))
+    near = near.select("id", middle.alias("text"), "lang", "place").dropDuplicates(["lang", "place"])
     first = F.row_number().over(W.partitionBy("lang").orderBy("place", "id", "text"))
     sample = near.withColumn("n", first).filter(F.col("n") <= documents).select("id", "text", "lang")
     texts = [(r["id"] or 0, r["text"], r["lang"]) for r in sample.collect()]
@@ -197,13 +201,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row; other columns pass, an input column of that name is replaced.
+    """Add ``lang_pred``, ``score`` and ``surest`` to every row; other columns pass, an input column of that name is replaced.
 
-    The prediction uses the text alone. Without text, letter or model it is ``und`` with score 0.
+    The prediction uses the text alone; ``surest`` is the greatest probability of any window, however mixed the text.
+    Without text, letter or model it is ``und`` with scores 0.
     """
-    docs = docs.drop("lang_pred", "score")
+    added = ["lang_pred", "score", "surest"]
+    docs = docs.drop(*added)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(added, kinds)]])
     ready = docs.withColumn("__text", F.when(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.col(f"`{text_col}`")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +220,15 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 batch = whole.slice(at, 2000)
                 texts = batch.column(len(names))
                 known = [i for i, t in enumerate(texts) if t.is_valid] if predictor else []
-                langs, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
+                langs, scores, peaks = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows
                 if known:
-                    chance = predictor.texts([texts[i].as_py().encode("utf-8", "replace") for i in known])
-                    for i, row in zip(known, chance):
+                    chance, surest = predictor.texts([texts[i].as_py().encode("utf-8", "replace") for i in known])
+                    for i, row, peak in zip(known, chance, surest):
                         best = int(row.argmax())
-                        langs[i], scores[i] = model.languages[best], float(min(1.0, row[best]))
+                        langs[i], scores[i], peaks[i] = model.languages[best], float(min(1.0, row[best])), float(min(1.0, peak))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*names, "lang_pred", "score"],
+                    [*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(peaks, pa.float64())],
+                    names=[*names, *added],
                 )
 
     return ready.mapInArrow(run, schema)
@@ -233,4 +240,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    return predict(rows, model).drop("text")
+    return predict(rows, model).drop("text", "surest")

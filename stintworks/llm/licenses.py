@@ -136,13 +136,15 @@ class Scanner:
         self.heads: dict[int, list[tuple[str, tuple[int, ...]]]] = {}
         for label, ids in self.phrases.items():
             self.heads.setdefault(ids[0], []).append((label, ids))
+        # Shorter stretches of known words hold neither a phrase nor a match.
+        self.least_run = min([least_match, *map(len, self.phrases.values())])
 
     def runs(self, ids: list[int | None]) -> Iterator[tuple[int, list[int]]]:
         """(start, words) of the stretches of known words; only they can match."""
         start, run = 0, []
         for place, word in enumerate(ids):
             if word is None:
-                if len(run) > 1:
+                if len(run) >= self.least_run:
                     yield start, run
                 if run:
                     run = []
@@ -150,7 +152,7 @@ class Scanner:
                 if not run:
                     start = place
                 run.append(word)
-        if len(run) > 1:
+        if len(run) >= self.least_run:
             yield start, run
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]:

@@ -24,6 +24,8 @@ from stintworks.workspace import materialize
 CAPACITY = 2048
 SEPARATOR = 0
 SHARD_TOKENS = 1 << 24
+# A piece counts as so many tokens at least when shards are sized: empty documents have memory too.
+LEAST_TOKENS = 16
 # Texts tokenised at once; a batch of longer texts holds fewer rows.
 _BATCH = 256
 
@@ -173,7 +175,7 @@ def pack(
     long as the capacity fill their sequences alone. Equal rows are separate pieces.
     """
     most_documents, most_cost = most_documents or capacity, most_cost or capacity * capacity
-    total, longest = pieces.agg(F.sum("length"), F.max("length")).first()
+    total, longest = pieces.agg(F.sum(F.greatest("length", F.lit(LEAST_TOKENS))), F.max("length")).first()
     if longest and (longest > capacity or longest**2 > most_cost):
         raise ValueError(f"a piece of {longest} tokens fits no sequence")
     shards = int((total or 0) // shard_tokens + 1)
@@ -188,7 +190,9 @@ def pack(
         table = table.append_column("sequence_id", pa.array((key[0].as_py() << 40) | names))
         return table.append_column("offset", pa.array(offsets)).select([f.name for f in schema][:width])
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))
+    # Rows that agree in all columns, as many as there may be, still differ in the place they are read at.
+    row = F.pmod(F.monotonically_increasing_id(), F.lit(4096))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", row), F.lit(shards))
     dealt = pieces.withColumn("__shard", shard)
     out = dealt.groupBy("__shard").applyInArrow(lambda key, t: fill(key, t.drop_columns(["__shard"])), schema)
     return out

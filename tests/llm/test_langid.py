@@ -70,9 +70,33 @@ def test_edge_rows(make_docs, edge_rows):
     und = {r["doc_id"] for r in out if r["lang_pred"] == "und"}
     assert {50, 51, 52, 63} <= und and not {60, 70, 71} & und
     assert all(0 <= r["score"] <= 1 for r in out)
-    assert langid.predict(docs, langid.fit(docs)).columns == [*docs.columns, "lang_pred", "score"]
+    assert langid.predict(docs, langid.fit(docs)).columns == [*docs.columns, "lang_pred", "score", "surest"]
 
 
 @pytest.mark.parametrize("rows", [[], [(1, "text", None, "a"), (2, None, "en", "a")]])
 def test_nothing_to_learn_from(make_docs, rows):
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(make_docs(rows)).collect()] == [("und", 0.0)] * len(rows)
+
+
+def test_one_id_with_all_labels_is_sampled_like_many(make_docs):
+    texts = [(t, lang) for _, t, lang, _ in labelled(60)]
+    same_id = [(7, f"{t} {n}", lang, "a") for n in range(30) for t, lang in texts]
+    model = langid.fit(make_docs(same_id), documents=20)
+    assert model is not None and model.languages == ["de", "en", "fr"]
+    one_row = [(7, "one english text", "en", "a")] * 3000
+    assert langid.fit(make_docs(one_row), documents=20).languages == ["en"]
+
+
+def test_the_stage_keeps_texts_without_labels_and_mixed_texts(spark, make_docs):
+    import corpus_pipeline
+
+    clean = [(i, t, None, "a") for i, t, _, _ in labelled(10)]
+    docs = make_docs([*clean, (100, None, None, "a"), (101, "123 .", None, "a")])
+    kept = corpus_pipeline.language(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(r[0] for r in clean)
+    rows = labelled(120)
+    by_lang = {lang: t for _, t, lang, _ in rows}
+    mixed = (5000, " ".join(text + " " + text for text in by_lang.values()), None, "a")
+    kept = corpus_pipeline.language(spark, make_docs([*rows, mixed, (5001, "12 34", None, "a")]), "")
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} | {5000}
+    assert kept.columns == docs.columns

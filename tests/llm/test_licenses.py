@@ -77,3 +77,9 @@ def test_distant_parts_are_no_chain(make_docs):
 
 def test_empty_table(make_docs):
     assert licenses.summarize(licenses.scan_licenses(make_docs([]))).collect() == []
+
+
+def test_phrases_of_one_word_are_found(make_docs):
+    docs = make_docs([(1, "foo apache bar"), (2, "apache"), (3, "apach e"), (4, None)])
+    found = licenses.summarize(licenses.scan_licenses(docs, phrases={"asf": "apache"})).collect()
+    assert {r["doc_id"]: r["n_base"] for r in found} == {1: 1, 2: 1, 3: 0, 4: 0}

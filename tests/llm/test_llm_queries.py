@@ -50,7 +50,7 @@ def test_pipeline_stages_take_effect(spark):
         kept[name] = frame.collect()
         if name == "language":
             found = {r["doc_id"]: r for r in langid.predict(before, langid.fit(before)).collect()}
-            good = sorted(i for i, r in found.items() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE)
+            good = sorted(i for i, r in found.items() if r["lang_pred"] != "und" and r["surest"] >= corpus_pipeline.LEAST_SCORE)
             assert sorted(r["doc_id"] for r in kept[name]) == good and len(good) >= 0.95 * len(found)
         if name == "exact_dedup":
             assert Counter(r["doc_id"] for r in kept[name]) == Counter(r["doc_id"] for r in dedup.exact_dedup(before).filter("kept").collect())

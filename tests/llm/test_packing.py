@@ -92,3 +92,14 @@ def test_empty_table_and_oversize_pieces(spark, make_docs):
     assert packing.pack_documents(make_docs([])).collect() == []
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 0, 101, 0)], "doc_id long, piece int, start long, length long, ids_crc32 long"), capacity=100)
+
+
+def test_pieces_of_one_id_spread_over_shards(spark):
+    rows = [(None, 0, 0, 1, 5)] * 4000 + [(None, 0, 0, 700, i) for i in range(400)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(pieces, shard_tokens=1 << 14).collect()
+    assert len(out) == len(rows)
+    per_shard = {}
+    for r in out:
+        per_shard[r["sequence_id"] >> 40] = per_shard.get(r["sequence_id"] >> 40, 0) + 1
+    assert len(per_shard) > 10 and max(per_shard.values()) < 4 * len(rows) / len(per_shard)
