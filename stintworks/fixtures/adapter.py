@@ -287,9 +287,8 @@ def named_candidates(targets: DataFrame, space: Space) -> DataFrame:
     return targets.join(first, "cohort").withColumn("candidate_name", asked).drop("first_name")
 
 
-def write_season_csv(spark: SparkSession, sf_dir: str) -> str:
-    """The stints written as season CSV text, with the untidy number formats of the source."""
-    staging = stints(spark, sf_dir)
+def season_csv_cells(staging: DataFrame) -> list[Column]:
+    """The columns of the season CSV as text, with the untidy number formats of the source."""
     text = {name: F.col(target).cast("string") for name, (target, _) in CSV_COLUMNS.items() if target in staging.columns}
     text |= {
         "Comp": F.concat(F.lit("c "), F.col("competition_name")),
@@ -300,13 +299,54 @@ def write_season_csv(spark: SparkSession, sf_dir: str) -> str:
         "+/-": F.concat(F.lit("+"), F.col("goals")),
         "onG": F.lit("n/a"),
     }
+    return [text[c].alias(c) for c in CSV_COLUMNS]
+
+
+def write_season_csv(spark: SparkSession, staging: DataFrame) -> str:
     path = new_path(spark, "season-csv-source")
-    staging.select(*[text[c].alias(c) for c in CSV_COLUMNS]).write.option("header", True).csv(path)
+    staging.select(*season_csv_cells(staging)).write.option("header", True).csv(path)
     return path
 
 
+def season_csv_part(spark: SparkSession, sf_dir: str, part: str) -> str:
+    """The season CSV of the stints in Europe, or of all others."""
+    europe = F.col("competition_name") == "EUROPE"
+    chosen = stints(spark, sf_dir).filter(europe if part == "europe" else ~europe)
+    return layer_path(spark, sf_dir, f"season-csv-{part}", lambda: write_season_csv(spark, chosen))
+
+
+def ragged_season_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The season CSV with a cell too many in one record of fifty and three too few in another."""
+    rows = stints(spark, sf_dir)
+    names = list(CSV_COLUMNS)
+    header = ",".join(names)
+
+    def quoted(c: Column) -> Column:
+        text = F.coalesce(c, F.lit(""))
+        return F.when(F.contains(text, F.lit(",")), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+
+    cells = F.array(*[quoted(c) for c in season_csv_cells(rows)])
+    kind = F.col("id") % 50
+    line = F.when(kind == 3, F.concat(F.array_join(cells, ","), F.lit(",extra"))).when(
+        kind == 4, F.array_join(F.slice(cells, 1, len(names) - 3), ",")
+    ).otherwise(F.array_join(cells, ","))
+
+    def with_header(batches):
+        import pandas as pd
+
+        for number, batch in enumerate(batches):
+            yield pd.concat([pd.DataFrame({"value": [header]}), batch]) if number == 0 else batch
+
+    def write() -> str:
+        path = new_path(spark, "season-csv-ragged")
+        rows.select(line.alias("value")).mapInPandas(with_header, "value string").write.text(path)
+        return path
+
+    return layer_path(spark, sf_dir, "season-csv-ragged", write)
+
+
 def season_csv_source(spark: SparkSession, sf_dir: str) -> str:
-    return layer_path(spark, sf_dir, "season-csv", lambda: write_season_csv(spark, sf_dir))
+    return layer_path(spark, sf_dir, "season-csv", lambda: write_season_csv(spark, stints(spark, sf_dir)))
 
 
 _LANDED: dict[tuple[str, str], Landing] = {}

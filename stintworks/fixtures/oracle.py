@@ -509,6 +509,9 @@ EXPLAIN_OUTCOMES = query(BY_REQUEST, f"""
 SELECT request_id, new_status AS status, CAST(CASE new_status WHEN 'RANK_UNAVAILABLE' THEN 400 ELSE {CODE} END AS INTEGER) AS status_code,
   CASE new_status WHEN 'RANK_UNAVAILABLE' THEN 'Only ' || (n - 1) || ' similar players were available.' ELSE {DETAIL} END AS detail
 FROM (SELECT *, {_RANKED_STATUS} AS new_status FROM served)""")
+EXPLAIN_MIXED = EXPLAIN_OUTCOMES.replace(
+    "CAST(1 + s.request_id % 90 AS INTEGER) AS rank", "CASE WHEN s.request_id % 97 = 5 THEN 1000000 ELSE CAST(1 + s.request_id % 90 AS INTEGER) END AS rank"
+)
 _WANTED = "wanted AS (SELECT * FROM served WHERE status = 'OK' AND n - 1 >= rank)"
 
 
@@ -581,7 +584,15 @@ SELECT CAST(o_custkey AS INTEGER) AS api_football_id, c_name AS name, CAST(NULL
   CAST(o_orderdate AS DATE) AS birth_date, CAST(NULL AS VARCHAR) AS birth_place, CAST(NULL AS VARCHAR) AS birth_country, CAST(NULL AS VARCHAR) AS nationality,
   CAST(o_custkey % 50 + 150 AS INTEGER) AS height_cm, CAST(NULL AS INTEGER) AS weight_kg, CAST(NULL AS VARCHAR) AS photo_url, CAST(o_orderdate AS TIMESTAMP) AS updated_at
 FROM {_NEWEST.format(keys="o_custkey", more="")}""")
-API_FILES = query([API], """SELECT unnest(['files', 'payloads', 'lost']) AS what, unnest([count(*), count(*), 0]) AS value FROM asked WHERE o_orderkey % 50 = 7""")
+API_FILES = query([API], "SELECT unnest(['documents', 'payloads', 'lost']) AS what, unnest([count(*), count(*), 0]) AS value FROM asked")
+STAR_PARTS = query([API], "SELECT unnest(['teams', 'renamed', 'parts_changed']) AS what, unnest([count(DISTINCT n_nationkey), 1, 1]) AS value FROM good")
+LOAD_INTERRUPTED = query([STG], """
+SELECT step, CASE WHEN whole THEN count(*) ELSE count(*) FILTER (competition_name = 'EUROPE') END AS rows,
+  CASE WHEN whole THEN count(*) ELSE count(*) FILTER (competition_name = 'EUROPE') END AS registered
+FROM stg, (VALUES ('first', FALSE), ('interrupted', FALSE), ('second', TRUE), ('again', TRUE)) AS s(step, whole) GROUP BY step, whole""")
+CSV_MALFORMED = query([STG], """
+SELECT unnest(['landed', 'numbers', 'registered', 'malformed', 'longer', 'misplaced']) AS what, unnest([good, good, good, bad, longer, 0]) AS value
+FROM (SELECT count(*) FILTER (id % 50 NOT IN (3, 4)) AS good, count(*) FILTER (id % 50 IN (3, 4)) AS bad, count(*) FILTER (id % 50 = 3) AS longer FROM stg)""")
 
 COHORT_OUTCOMES = query(CANONICAL, """
 SELECT season, position_group, n AS cohort_size, CASE WHEN n < 3 THEN 'COHORT_TOO_SMALL' WHEN missing > 0 THEN 'MISSING_FEATURES' ELSE 'OK' END AS status,

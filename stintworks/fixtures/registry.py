@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,10 +18,11 @@ from stintworks.operators.merge import last_per_key, merge_by_key
 from stintworks.operators.records import PROFILE, profiles, rounded, similar_records
 from stintworks.operators.resolve import LOOKUP, ambiguous_candidates, flag_not_eligible, resolve, suggestions, with_candidates
 from stintworks.operators.views import intelligence_base, season_analysis
-from stintworks.plans.api_landing import land_api_documents, latest_documents
-from stintworks.plans.season_landing import land_season_csv
-from stintworks.schemas import FEATURES
-from stintworks.sources.api_documents import read_api_documents
+from stintworks.plans.api_landing import TEAM, land_api_documents, land_into_store as land_star, latest_documents, star_table
+from stintworks.plans.season_landing import BATCHES, land_into_store, land_season_csv, prepare_season_csv, stage_into_store
+from stintworks.plans.store import TableStore
+from stintworks.schemas import FEATURES, STAGING
+from stintworks.sources.api_documents import read_api_containers, write_api_containers
 from stintworks.workspace import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,15 +184,15 @@ for _metric in ("euclidean", "cosine", "manhattan"):
     _knn(_metric, 10)
 
 
-# Rows of a chunk that make the cohorts of a small input span several cells and chunks, as large cohorts do.
-SMALL_CHUNK = 48
+# Rows of a chunk that make the cohorts of a small input span several leaves and chunks, as large cohorts do.
+SMALL_CHUNK = 16
 
 
 def _knn_cells(metric: str, k: int):
     @register(f"knn_cells_{metric}", oracle.knn(metric, k))
     def knn_cells(spark, sf_dir):
         space = adapter.similarity_space(spark, sf_dir)
-        return rounded(similarity.neighbours(space, metric=metric, k=k, chunk_rows=SMALL_CHUNK), "score")
+        return rounded(similarity.neighbours(space, metric=metric, k=k, chunk_rows=SMALL_CHUNK, force_tree=True), "score")
 
 
 for _metric in ("euclidean", "cosine", "manhattan"):
@@ -202,7 +204,7 @@ def rank_cells(spark, sf_dir):
     space = adapter.similarity_space(spark, sf_dir)
     targets = similarity.all_targets(space, min_cohort=1)
     named = similarity.find_candidates(adapter.named_candidates(targets, space), space)
-    return rounded(similarity.candidate_ranks(named, space, chunk_rows=SMALL_CHUNK), "euclidean", "manhattan", "cosine")
+    return rounded(similarity.candidate_ranks(named, space, chunk_rows=SMALL_CHUNK, force_tree=True), "euclidean", "manhattan", "cosine")
 
 
 @register("knn_pooled_cohort", oracle.POOLED)
@@ -301,6 +303,14 @@ def explain_request_outcomes(spark, sf_dir):
     return requested.explain(*_by_request(spark, sf_dir))[0].select("request_id", "status", "status_code", "detail")
 
 
+@register("explain_mixed_ranks", oracle.EXPLAIN_MIXED)
+def explain_mixed_ranks(spark, sf_dir):
+    """A few requests ask for the millionth neighbour, the others for one near by."""
+    asked, people, space = _by_request(spark, sf_dir)
+    mixed = asked.withColumn("rank", F.when(F.col("request_id") % 97 == 5, 1_000_000).otherwise(F.col("rank")))
+    return requested.explain(mixed, people, space)[0].select("request_id", "status", "status_code", "detail")
+
+
 @register("explain_requests", oracle.EXPLAIN_REQUESTS)
 def explain_requests(spark, sf_dir):
     rows = rounded(requested.explain(*_by_request(spark, sf_dir))[1], "absolute_gap", "squared_contribution", "distance")
@@ -432,27 +442,81 @@ def api_team(spark, sf_dir):
 
 @register("api_files", oracle.API_FILES)
 def api_files(spark, sf_dir):
-    """Every document goes through files: one file per document, read back under a name of its own.
-
-    ``lost`` compares all documents with all files, payload by payload; the other two counts are those of the
-    documents that the SQL lists.
-    """
+    """Every document is written to a container, read back and compared: same name, same payload, same time."""
     documents, _ = adapter.api_documents(spark, sf_dir)
-    folder = new_path(spark, "document-files")
-    documents.select(F.col("payload").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
-    listed = F.bool_or(F.col("document_id").cast("long") % 50 == 7).alias("listed")
-    known = documents.groupBy(F.xxhash64("payload").alias("h")).agg(F.count(F.lit(1)).alias("documents"), listed)
-    # The text sink names the files itself and ends them with a line break.
-    payload = F.regexp_replace("payload", r"\n$", "")
-    found = read_api_documents(spark, folder).groupBy(F.xxhash64(payload).alias("h")).agg(F.count_distinct("document_id").alias("found"))
-    both = known.join(found, "h", "full")
-    off = F.abs(F.coalesce("documents", F.lit(0)) - F.coalesce("found", F.lit(0)))
+    folder = new_path(spark, "document-containers")
+    write_api_containers(documents, folder)
+    found = read_api_containers(spark, folder).select(F.col("document_id"), F.col("payload").alias("read"), F.col("fetched_at").alias("read_at"))
+    both = documents.withColumn("known", F.lit(1)).join(found.withColumn("found", F.lit(1)), "document_id", "full")
+    same = F.col("read").eqNullSafe(F.col("payload")) & F.col("read_at").eqNullSafe(F.col("fetched_at")) & F.col("known").isNotNull() & F.col("found").isNotNull()
     counts = both.agg(
-        F.coalesce(F.sum(F.when(F.col("listed"), F.col("found"))), F.lit(0)).alias("files"),
-        F.count(F.when(F.col("listed"), F.col("found"))).alias("payloads"),
-        F.coalesce(F.sum(off), F.lit(0)).alias("lost"),
+        F.count("found").alias("documents"), F.count(F.when(same, 1)).alias("payloads"), F.count(F.when(~same, 1)).alias("lost")
     )
-    return counts.unpivot([], ["files", "payloads", "lost"], "what", "value")
+    return counts.unpivot([], ["documents", "payloads", "lost"], "what", "value")
+
+
+@register("star_merge_twice", oracle.API_STATS)
+def star_merge_twice(spark, sf_dir):
+    """Documents of two periods merged one after the other into stored tables give the facts of one landing."""
+    documents, requests = adapter.api_documents(spark, sf_dir)
+    store = TableStore(spark, new_path(spark, "star-store"))
+    late = F.year("fetched_at") >= 1995
+    for period in (documents.filter(~late), documents.filter(late)):
+        land_star(store, period, requests.join(period.select("document_id"), "document_id", "left_semi"))
+    return _stamped(star_table(store, "stats"))
+
+
+@register("star_parts_kept", oracle.STAR_PARTS)
+def star_parts_kept(spark, sf_dir):
+    """A merge of one team rewrites one part of the stored teams; the other parts keep their folders, and all rows are there."""
+    documents, requests = adapter.api_documents(spark, sf_dir)
+    store = TableStore(spark, new_path(spark, "star-store"))
+    land_star(store, documents, requests)
+    before = store.manifest()["team"]
+    one = star_table(store, "team").orderBy("api_football_id").limit(1).withColumn("name", F.lit("renamed"))
+    store.publish(store.stage_merge("team", TEAM, materialize(one, "one-team"), ["api_football_id"], ["name"]), store.version())
+    after = store.manifest()["team"]
+    changed = sum(after[p] != before.get(p) for p in after)
+    teams = star_table(store, "team")
+    counts = teams.agg(F.count(F.lit(1)).alias("teams"), F.count(F.when(F.col("name") == "renamed", 1)).alias("renamed"), F.lit(changed).cast("long").alias("parts_changed"))
+    return counts.unpivot([], ["teams", "renamed", "parts_changed"], "what", "value")
+
+
+@register("load_interrupted", oracle.LOAD_INTERRUPTED)
+def load_interrupted(spark, sf_dir):
+    """A load that ends before it publishes leaves rows and registry as they were; a repeated one changes no count."""
+    store = TableStore(spark, new_path(spark, "season-store"))
+    states = []
+
+    def state(step: str) -> None:
+        rows = store.read("staging", STAGING).agg(F.count(F.lit(1)).alias("rows"))
+        told = store.read("batches", BATCHES).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("registered"))
+        states.append(rows.crossJoin(told).select(F.lit(step).alias("step"), "rows", "registered"))  # one row each
+
+    europe, others = (adapter.season_csv_part(spark, sf_dir, part) for part in ("europe", "others"))
+    land_into_store(store, europe, 2025, "2025/26", source_id=2)
+    state("first")
+    stage_into_store(store, prepare_season_csv(spark, others, 2025, "2025/26", source_id=2))  # and never published
+    state("interrupted")
+    land_into_store(store, others, 2025, "2025/26", source_id=2)
+    state("second")
+    land_into_store(store, europe, 2025, "2025/26", source_id=2)
+    state("again")
+    return reduce(DataFrame.unionByName, states)
+
+
+@register("csv_malformed", oracle.CSV_MALFORMED)
+def csv_malformed(spark, sf_dir):
+    """Records with too many or too few cells come back with their text; the others land and are counted."""
+    store = TableStore(spark, new_path(spark, "ragged-store"))
+    landing = land_into_store(store, adapter.ragged_season_csv(spark, sf_dir), 2025, "2025/26", source_id=2, keep_malformed=True)
+    bad = landing.malformed.agg(
+        F.count(F.lit(1)).alias("malformed"), F.count(F.when(F.endswith("record", F.lit(",extra")), 1)).alias("longer"),
+        F.count(F.when(F.col("record_number") < 1, 1)).alias("misplaced"))
+    rows = landing.staging.agg(F.count(F.lit(1)).alias("landed"), F.count_distinct("batch_id", "source_row_number").alias("numbers"))
+    told = landing.batches.agg(F.sum("row_count").alias("registered"))
+    names = ["landed", "numbers", "registered", "malformed", "longer", "misplaced"]
+    return rows.crossJoin(told).crossJoin(bad).unpivot([], names, "what", "value")  # one row each
 
 
 @register("api_rejects", oracle.API_REJECTS)

@@ -106,11 +106,12 @@ def _edge(score: pd.Series, metric: str) -> np.ndarray:
     return np.where(np.isnan(values), np.inf, -values if metric == "cosine" else values)
 
 
-def nearest_in_block(k: int, metric: str):
-    """Function for a co-grouped (queries, candidates) pair: the k nearest of each query.
+def nearest_in_block(metric: str):
+    """Function for a co-grouped (queries, candidates) pair: the ``k`` nearest of each query, each with a k of its own.
 
     A candidate with the query's own key is skipped; equal distances go by key, then season. Where a
-    query brings a ``score``, no candidate beyond it is returned.
+    query brings a ``score``, no candidate beyond it is returned. Queries of similar k go together, so that
+    one that wants many rows does not widen the others' selection.
     """
 
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -119,22 +120,26 @@ def nearest_in_block(k: int, metric: str):
             return pd.DataFrame({c: [] for c in columns})
         candidates, asked, points, own = _blocks(queries, candidates)
         keys, slack = queries["key"].to_numpy(), _slack(asked, points)
-        edge = _edge(queries["score"], metric)
+        edge, wanted = _edge(queries["score"], metric), queries["k"].to_numpy()
+        size = np.ceil(np.log2(np.minimum(wanted, len(points)))).astype(int)
         found = []
-        for start, estimate in _estimates(asked, points, metric):
-            for row in range(len(estimate)):
-                mine = own.get(keys[start + row])
-                if mine is not None:
-                    estimate[row, mine] = np.inf
-            known = edge[start : start + len(estimate)]
-            reach = np.minimum(_within_reach(estimate, k), known) + slack
-            rows, places = np.nonzero((estimate <= reach[:, None]) & (estimate < np.inf))
-            score = scores(asked[start + rows], points[places], metric)
-            best = np.lexsort((places, whole_order(score, metric), rows))
-            rows, places, score = rows[best], places[best], score[best]
-            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-            kept = rank <= k
-            found.append((start + rows[kept], places[kept], rank[kept], score[kept]))
+        for group in np.unique(size):
+            members = np.flatnonzero(size == group)
+            most = int(wanted[members].max())
+            for start, estimate in _estimates(asked[members], points, metric):
+                part = members[start : start + len(estimate)]
+                for row, query in enumerate(part):
+                    mine = own.get(keys[query])
+                    if mine is not None:
+                        estimate[row, mine] = np.inf
+                reach = np.minimum(_within_reach(estimate, most), edge[part]) + slack
+                rows, places = np.nonzero((estimate <= reach[:, None]) & (estimate < np.inf))
+                score = scores(asked[part[rows]], points[places], metric)
+                best = np.lexsort((places, whole_order(score, metric), rows))
+                rows, places, score = rows[best], places[best], score[best]
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+                kept = rank <= wanted[part[rows]]
+                found.append((part[rows[kept]], places[kept], rank[kept], score[kept]))
         rows, places, rank, score = (np.concatenate(parts) for parts in zip(*found))
         return pd.DataFrame(
             {

@@ -96,11 +96,19 @@ _SHORT_FOLDS = {c.lower(): f for c, f in _FOLDS.items() if len(f) == 1 and len(c
 def folded(c: Column) -> Column:
     """Case-folded text for matching; accents stay significant.
 
-    Lower case does nearly all of it. Only text with one of the few characters beyond is folded further.
+    Lower case is all that ASCII text needs, and nearly all that other text does. Only text with one of the few
+    characters beyond goes through the fold pairs, in one loop over an array of them.
     """
     low = F.lower(c)
-    full = F.translate(low, "".join(_SHORT_FOLDS), "".join(_SHORT_FOLDS.values()))
-    for letter, fold in _LONG_FOLDS.items():
-        full = F.replace(full, F.lit(letter), F.lit(fold))
+    ascii_only = F.octet_length(c) == F.char_length(c)
     special = "[" + "".join([*_SHORT_FOLDS, *_LONG_FOLDS]) + "]"
-    return F.when(low.rlike(special), full).otherwise(low)
+    pairs = F.array(*[F.struct(F.lit(letter).alias("letter"), F.lit(fold).alias("fold")) for letter, fold in _LONG_FOLDS.items()])
+    short = F.translate(low, "".join(_SHORT_FOLDS), "".join(_SHORT_FOLDS.values()))
+
+    def unfold(text: Column) -> Column:
+        present = F.filter(pairs, lambda pair: F.contains(text, pair["letter"]))
+        return F.reduce(present, text, lambda done, pair: F.replace(done, pair["letter"], pair["fold"]))
+
+    # The array of one binds the text, which is so worked out once and not for every pair.
+    full = F.get(F.transform(F.array(short), unfold), F.lit(0))
+    return F.when(ascii_only, low).when(low.rlike(special), full).otherwise(low)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stintworks.workspace import materialize
-
 # Explorer record, output name -> canonical column.
 LISTED = {
     "canonical_player_key": "canonical_player_key",
@@ -27,6 +26,9 @@ LISTED = {
 }
 MAX_LIMIT = 100
 DEEP_OFFSET = 100_000
+# Places that cut the rows in a round of the search for a deep page, and rows they are chosen from.
+PIVOTS = 63
+SAMPLE_ROWS = 2048
 
 
 def predicates(
@@ -67,7 +69,7 @@ def explore(
 ) -> tuple[DataFrame, DataFrame]:
     """``(total, page)``: a one-row count and the page by minutes, name and key.
 
-    Offsets beyond ``range_rows`` read only the ranges of that many rows around the page.
+    Offsets beyond ``range_rows`` first narrow the rows to a range of about that many around the page.
     """
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
@@ -77,33 +79,53 @@ def explore(
     total = matching.agg(F.count(F.lit(1)).alias("total"))
     order = [F.desc("minutes"), F.asc("player_name"), F.asc("canonical_player_key"), F.asc("season")]
     if offset > range_rows:
-        matching, offset = _skip_ranges(matching, order, offset, limit, range_rows)
+        matching, offset = _range_of_page(matching, offset, limit, range_rows)
     return total, records(matching.orderBy(*order).offset(offset).limit(limit))
 
 
-def _skip_ranges(
-    rows: DataFrame, order: list[Column], offset: int, limit: int, range_rows: int
-) -> tuple[DataFrame, int]:
+def _range_of_page(rows: DataFrame, offset: int, limit: int, range_rows: int) -> tuple[DataFrame, int]:
     """Only the rows around a deep page, and the offset left within them.
 
-    An ordinary offset gathers every skipped row in one task. Here the rows are range-partitioned in
-    page order and stored; ranges that lie wholly before or after the page are not read again.
+    An ordinary offset gathers every skipped row in one task. Here ``PIVOTS`` places in page order, from a sample
+    by hash, cut the rows into ranges, which are counted; the ranges that hold the page are cut again until they
+    are small enough. At most some thousand sample rows and ``PIVOTS`` + 1 counts a round come to the driver, at any number of
+    rows, and nothing is written or sorted but the last range.
     """
-    wanted = rows.select("season", *dict.fromkeys(LISTED.values()))
-    ranges = max(1, -(-wanted.count() // range_rows))
-    ranged = wanted.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
-    ranged = materialize(ranged, "ranged")
-    first, last, before, skipped = None, -1, 0, 0
-    # One row per range: a count, not data.
-    for part, size in sorted(map(tuple, ranged.groupBy("_range").count().collect())):
-        if before + size > offset and before < offset + limit:
-            if first is None:
-                first, skipped = part, before
-            last = part
-        before += size
-    if first is None:
-        return ranged.filter(F.lit(False)), 0
-    return ranged.filter(F.col("_range").between(first, last)), offset - skipped
+    # Page order as one value that compares like it: larger minutes first, rows without minutes last.
+    place = F.struct(
+        F.col("minutes").isNull().alias("o0"), (-F.col("minutes")).alias("o1"), F.col("player_name").alias("o2"),
+        F.col("canonical_player_key").alias("o3"), F.col("season").alias("o4"),
+    )
+    kinds = [f.dataType for f in rows.select(place.alias("place")).schema["place"].dataType.fields]
+
+    def literal(pivot) -> Column:
+        return F.struct(*[F.lit(v).cast(kind).alias(f"o{i}") for i, (v, kind) in enumerate(zip(pivot, kinds))])
+
+    here, size, seed = rows, rows.count(), 0
+    while size > range_rows:
+        hashed = F.pmod(F.xxhash64(F.lit(seed), "canonical_player_key", "season"), F.lit(1 << 30))
+        sample = here.filter(hashed < int(min(1.0, SAMPLE_ROWS / size) * (1 << 30))).select(place.alias("place"))
+        found = [tuple(r["place"]) for r in sample.orderBy("place").limit(4 * SAMPLE_ROWS).collect()]
+        pivots = list(dict.fromkeys(found[i * len(found) // (PIVOTS + 1)] for i in range(1, PIVOTS + 1))) if found else []
+        if not pivots:
+            break
+        cuts = F.array(*[literal(p) for p in pivots])
+        bucket = F.size(F.filter(cuts, lambda cut: cut < place))
+        counts = dict(here.groupBy(bucket.alias("bucket")).count().collect())
+        ends = list(accumulate(counts.get(part, 0) for part in range(len(pivots) + 1)))
+        holding = [p for p, end in enumerate(ends) if end > offset and end - counts.get(p, 0) < offset + limit]
+        if not holding:
+            return rows.filter(F.lit(False)), 0
+        first, last = holding[0], holding[-1]
+        skipped, kept = ends[first] - counts.get(first, 0), sum(counts.get(p, 0) for p in holding)
+        if kept >= size:  # rows that agree in every place cannot be told apart
+            break
+        if first > 0:
+            here = here.filter(place > literal(pivots[first - 1]))
+        if last < len(pivots):
+            here = here.filter(place <= literal(pivots[last]))
+        offset, size, seed = offset - skipped, kept, seed + 1
+    return here, offset
 
 
 def records(rows: DataFrame) -> DataFrame:

@@ -1,29 +1,34 @@
 """Exact nearest neighbours within cohorts, for one target or for every entity.
 
-Candidates are laid out in cells of similar vectors and cells in chunks of bounded size. A target
-first searches its own chunk; that gives a distance no true neighbour can exceed. Only chunks whose
-cell box comes nearer than that are searched as well. Tasks see one bounded (queries, chunk) block
-and return at most k rows per query, so no pair list is ever formed and no cohort lands on one task.
+Candidates are laid out along a search tree per cohort: boxes on principal axes, fitted on a bounded sample of
+the cohort, with every row placed. A target first searches the leaf it falls in, which gives a distance no true
+neighbour can exceed, then in rounds the next nearest leaves that may still hold one, each round with the
+bound of the last. Ranks are counted in the tree: a subtree that is wholly nearer counts its size. Tasks see one bounded
+(queries, chunk) block and return at most k rows per query, so no pair list is ever formed and no cohort lands on one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stintworks.functions.blocks import DECIMALS, METRICS, nearer_in_block, nearest_in_block
+from stintworks.functions.boxes import AXES, Nodes, Splits, box_coordinates, fit_splits, principal_axes
 from stintworks.workspace import materialize
 
 # Rows of one candidate chunk and queries of one slice: the size of the block a task holds.
 CHUNK_ROWS = 16384
 QUERY_ROWS = 4096
-_SPLIT_DIMS = 10
-_LEVELS = 3  # at most 2**3 bins per dimension
-# Bytes of cell boxes that are broadcast at most; two doubles per coordinate and some for the rest of a row.
-_BROADCAST_BYTES = 64 << 20
-_BOX_CHECKS_PER_TASK = 20_000_000
-_SALTS = 64
+# A tree has at most 2**14 leaves and is fitted on about so many rows a leaf, 2**19 in all; beyond, leaves hold several chunks.
+MAX_DEPTH = 14
+SAMPLE_ROWS_PER_LEAF = 32
+# Rows that are placed, and targets that descend the tree, in one task at a time.
+_PLACED_ROWS = 100_000
+# Leaves a target searches in a round: its own, then a few, then all that its bound leaves.
+_ROUNDS = (8, None)
 _CHUNK = ["cohort", "cell", "chunk"]
 # Wider than one unit of the compared precision, so that rounding never hides a neighbour.
 _SLACK = 2e-6
@@ -47,14 +52,18 @@ def pair_scores(a: Column, b: Column, dims: int) -> dict[str, Column]:
 
 @dataclass
 class Index:
-    """Candidate rows with their chunk, and one row per cell with its box."""
+    """Candidate rows with their leaf (``cell``) and chunk, one row per leaf with its box, and the axes of each cohort."""
 
     rows: DataFrame
     cells: DataFrame
+    axes: DataFrame | None
     metric: str
     dims: int
-    split_dims: int
-    single: bool
+
+    @property
+    def single(self) -> bool:
+        """Is every cohort one chunk, so that there is no tree?"""
+        return self.axes is None
 
     def under(self, metric: str) -> Index:
         """The same layout searched by another distance over the same coordinates."""
@@ -63,134 +72,149 @@ class Index:
         return replace(self, metric=metric)
 
 
-def _norm(vec: Column, dims: int) -> Column:
-    return F.sqrt(sum((vec[i] * vec[i] for i in range(1, dims)), vec[0] * vec[0]))
-
-
-def coordinates(vec: Column, dims: int, metric: str) -> list[Column]:
-    """Coordinates whose distance orders candidates the way the metric does.
+def points_of(vectors: pd.Series, metric: str) -> np.ndarray:
+    """Points whose Euclidean distance bounds what the metric orders by.
 
     For cosine these are unit vectors; a zero vector gets an axis of its own, at the distance that
     belongs to similarity 0.
     """
+    m = np.stack(vectors.to_numpy()).astype(float)
     if metric != "cosine":
-        return [vec[i] for i in range(dims)]
-    norm = _norm(vec, dims)
-    unit = [F.when(norm > 0, vec[i] / norm).otherwise(F.lit(0.0)) for i in range(dims)]
-    return [*unit, F.when(norm > 0, F.lit(0.0)).otherwise(F.lit(1.0))]
+        return m
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return np.concatenate([unit, (norm == 0).astype(float)], axis=1)
+
+
+def _one_per_slice(rows: DataFrame, per: DataFrame, size: int, by: list[str], copied: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a ``slice`` of about ``size`` rows within their cohort, and ``copied`` once for every slice.
+
+    ``per`` has ``cohort, rows``: how many rows of each cohort there are.
+    """
+    slices = per.select("cohort", F.ceil(F.col("rows") / size).cast("int").alias("slices"))
+    dealt = rows.join(slices, "cohort").withColumn("slice", F.pmod(F.xxhash64(*by), F.col("slices")).cast("int")).drop("slices")
+    copies = copied.join(slices, "cohort").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return dealt, copies
+
 
+def _fitted(rows: DataFrame, plan: DataFrame, metric: str) -> DataFrame:
+    """``cohort, axes, nodes, dims, cuts``: a tree per cohort, from a sample by hash whose size the depth bounds."""
+    want = F.pow(F.lit(2.0), "depth") * SAMPLE_ROWS_PER_LEAF
+    share = F.least(F.lit(1.0), F.greatest(want, F.lit(1024)) / F.col("rows"))
+    place = F.pmod(F.xxhash64(F.lit(3), "key", "season"), F.lit(1 << 30))
+    sample = rows.join(plan.withColumn("share", share).drop("rows"), "cohort").filter(place <= F.col("share") * (1 << 30))
 
-def _bin(cuts: Column, x: Column) -> Column:
-    return F.size(F.filter(cuts, lambda cut: cut < x)).cast("long")
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        points = points_of(group["vec"], metric)
+        axes = principal_axes(points)
+        nodes, dims, cuts = fit_splits(box_coordinates(points, axes)[:, :AXES], int(group["depth"].iloc[0]))
+        return pd.DataFrame({"cohort": [group["cohort"].iloc[0]], "axes": [axes.ravel()], "nodes": [nodes], "dims": [dims], "cuts": [cuts]})
 
+    # Order within a sample must not depend on how rows arrived: the fit sums over it.
+    def steady(group: pd.DataFrame) -> pd.DataFrame:
+        return fit(group.sort_values(["key", "season"]))
 
-def _cell(point: list[Column], split_dims: int) -> Column:
-    """Cell number from the cohort's cut points; each dimension uses as many as its share of bits."""
-    code = F.lit(0).cast("long")
-    for i in range(split_dims):
-        bits = F.least(F.lit(_LEVELS), F.expr(f"bits div {split_dims}") + F.when(F.expr(f"bits % {split_dims}") > i, 1).otherwise(0))
-        kept = F.call_function("shiftright", _bin(F.col("cuts")[i], point[i]), (F.lit(_LEVELS) - bits).cast("int"))
-        code = code * (1 << _LEVELS) + kept
-    return code
+    schema = "cohort string, axes array<double>, nodes array<bigint>, dims array<bigint>, cuts array<double>"
+    return sample.select("cohort", "key", "season", "vec", "depth").groupBy("cohort").applyInPandas(steady, schema)
 
 
 def build_index(
     candidates: DataFrame, dims: int, metric: str = "euclidean", keep_per_vector: int | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS, force_tree: bool = False,
 ) -> Index:
     """Lay out ``candidates`` (cohort, key, season, vec), which is read several times: store it first.
 
     With ``keep_per_vector`` only the first keys of rows with the same vector stay: ties go by key,
-    so no other row of such a group can be among the nearest.
+    so no other row of such a group can be among the nearest. ``force_tree`` builds the tree also where every cohort
+    fits one chunk.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    rows = candidates.select("cohort", "key", "season", "vec")
+    rows = candidates.select(F.col("cohort").cast("string").alias("cohort"), "key", "season", "vec")
     if keep_per_vector is not None:
         same = Window.partitionBy("cohort", "vec").orderBy("key")
         rows = rows.withColumn("place", F.dense_rank().over(same)).filter(F.col("place") <= keep_per_vector).drop("place")
         rows = materialize(rows, "candidates")
-    point = coordinates(F.col("vec"), dims, metric)
-    split_dims = min(len(point), _SPLIT_DIMS)
-    levels = [i / 2**_LEVELS for i in range(1, 2**_LEVELS)]
-    cuts = [F.percentile_approx(point[i], levels, 1000) for i in range(split_dims)]
-    plan = rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("rows"), F.array(*cuts).alias("cuts"))
-    bits = F.ceil(F.log2(F.ceil(F.col("rows") / chunk_rows).cast("double")))
-    plan = materialize(plan.select("cohort", "rows", "cuts", bits.cast("int").alias("bits")), "cuts")
-    single = plan.filter(F.col("rows") > chunk_rows).isEmpty()
-    if single:
+    plan = rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("rows"))
+    depth = F.least(F.lit(MAX_DEPTH), F.ceil(F.log2(F.ceil(F.col("rows") / chunk_rows).cast("double"))).cast("int"))
+    plan = materialize(plan.withColumn("depth", depth), "cohorts")
+    if not force_tree and plan.filter(F.col("rows") > chunk_rows).isEmpty():
         placed = rows.withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0)})
-        return Index(placed, plan, metric, dims, split_dims, True)
-    placed = rows.join(plan.drop("rows"), "cohort").withColumn("cell", _cell(point, split_dims)).drop("cuts", "bits")
+        return Index(placed, plan, None, metric, dims)
+    fitted = materialize(_fitted(rows, plan, metric), "trees")
+    left, right = _one_per_slice(rows, plan, _PLACED_ROWS, ["key", "season"], fitted)
+    width = min(dims + (metric == "cosine"), AXES + 1)
+
+    def place(group: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        axes = np.asarray(tree["axes"].iloc[0])
+        size = int(round(len(axes) ** 0.5))
+        spots = box_coordinates(points_of(group["vec"], metric), axes.reshape(size, size))
+        splits = Splits(tree["nodes"].iloc[0], tree["dims"].iloc[0], tree["cuts"].iloc[0])
+        out = group[["cohort", "key", "season", "vec"]].copy()
+        out["cell"], out["spot"] = splits.leaf(spots), list(spots)
+        return out
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.LongType()), T.StructField("spot", T.ArrayType(T.DoubleType()))])
+    placed = left.groupBy("cohort", "slice").cogroup(right.groupBy("cohort", "slice")).applyInPandas(place, schema)
+    placed = materialize(placed, "placed")
+    corners = [f(F.col("spot")[i]) for f in (F.min, F.max) for i in range(width)]
     cells = placed.groupBy("cohort", "cell").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.array(*[F.min(p) for p in point]).alias("low"),
-        F.array(*[F.max(p) for p in point]).alias("high"),
+        F.count(F.lit(1)).alias("rows"), F.array(*corners[:width]).alias("low"), F.array(*corners[width:]).alias("high")
     )
     cells = materialize(cells.withColumn("chunks", F.ceil(F.col("rows") / chunk_rows).cast("int")), "cells")
-    cells = cells.join(plan.drop("rows"), "cohort")
-    spread = F.pmod(F.xxhash64("key", "season"), F.col("chunks")).cast("int")
-    placed = placed.join(cells.select("cohort", "cell", "chunks"), ["cohort", "cell"]).withColumn("chunk", spread).drop("chunks")
-    placed = materialize(placed, "placed")
-    return Index(placed, cells, metric, dims, split_dims, False)
-
-
-def _box_distance(index: Index) -> Column:
-    """Least possible distance (squared unless Manhattan) from the query to a cell's box."""
-    return _over_sides(index, lambda x, low, high: F.greatest(low - x, F.lit(0.0), x - high))
-
-
-def _over_sides(index: Index, gap) -> Column:
-    """Sum of the gaps between ``point`` and the box (squared unless Manhattan), as one short loop:
-    written out, the sides of a box outgrow a generated method."""
-
-    def side(total: Column, i: Column) -> Column:
-        g = gap(F.col("point")[i], F.col("low")[i], F.col("high")[i])
-        return total + (g if index.metric == "manhattan" else g * g)
-
-    return F.aggregate(F.sequence(F.lit(0), F.size("point") - 1), F.lit(0.0), side)
+    chunk = F.pmod(F.xxhash64("key", "season"), F.col("chunks")).cast("int")
+    rows = placed.drop("spot").join(cells.select("cohort", "cell", "chunks"), ["cohort", "cell"]).withColumn("chunk", chunk).drop("chunks")
+    return Index(rows, cells, fitted.select("cohort", "axes"), metric, dims)
 
 
-def _box_reach(index: Index) -> Column:
-    """Greatest possible distance from the query to a row in a cell's box, in the same terms."""
-    return _over_sides(index, lambda x, low, high: F.greatest(F.abs(x - low), F.abs(x - high)))
+def _squared_limit(score: np.ndarray, metric: str, slack: float) -> np.ndarray:
+    """The squared distance that belongs to a score, moved outward by ``slack``; no score has no limit.
 
-
-def _limit(metric: str, slack: float) -> Column:
-    """The box distance that belongs to ``score``, moved outward by ``slack``."""
+    A Manhattan distance is never below the Euclidean one, so its bound holds for that.
+    """
     if metric == "cosine":
-        return 2 - 2 * (F.col("score") - slack)
-    edge = F.greatest(F.col("score") + slack, F.lit(0.0))
-    return edge if metric == "manhattan" else edge * edge
+        limit = 2 - 2 * (score - slack)
+    else:
+        limit = np.maximum(score + slack, 0.0) ** 2
+    # Rotated coordinates carry rounding of their own.
+    return np.where(np.isnan(score), np.inf, limit * (1 + 1e-9) + 1e-9) if slack > 0 else limit * (1 - 1e-9) - 1e-9
+
+
+def _descend(targets: DataFrame, index: Index, work, schema: str) -> DataFrame:
+    """Run ``work(targets, spots, nodes)`` where targets of a cohort meet its tree, in slices of bounded size."""
+    per = targets.groupBy("cohort").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per cohort: leaves are bounded by the depth.
+    leaves = index.cells.groupBy("cohort").agg(F.array_sort(F.collect_list(F.struct("cell", "rows", "low", "high"))).alias("leaves"))
+    tree = index.axes.join(leaves, "cohort")
+    left, right = _one_per_slice(targets, per, QUERY_ROWS, ["target_id"], tree)
+    metric = index.metric
+
+    def run(group: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if group.empty or tree.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        axes = np.asarray(tree["axes"].iloc[0])
+        size = int(round(len(axes) ** 0.5))
+        spots = box_coordinates(points_of(group["vec"], metric), axes.reshape(size, size))
+        cells = tree["leaves"].iloc[0]
+        nodes = Nodes(
+            np.array([x["cell"] for x in cells], np.int64), np.array([x["low"] for x in cells]),
+            np.array([x["high"] for x in cells]), np.array([x["rows"] for x in cells], np.int64),
+        )
+        return work(group, spots, nodes)
 
+    return left.groupBy("cohort", "slice").cogroup(right.groupBy("cohort", "slice")).applyInPandas(run, schema)
 
-def _with_cells(targets: DataFrame, index: Index) -> DataFrame:
-    """Targets next to the cells of their cohort, to be filtered by the cells' boxes.
 
-    The comparisons, not the bytes, decide how many tasks this needs. The cells are broadcast up to
-    a checked size; beyond it both sides are salted, so that a crowded cohort still spreads out.
-    """
-    cells = index.cells.drop("cuts", "bits")
-    count = cells.count()
-    point = F.array(*coordinates(F.col("vec"), index.dims, index.metric))
-    targets = materialize(targets.withColumn("point", point), "bounded")
-    tasks = targets.count() * count // _BOX_CHECKS_PER_TASK
-    tasks = int(min(max(tasks, targets.sparkSession.sparkContext.defaultParallelism), 100_000))
-    if count * (16 * (index.dims + 1) + 100) <= _BROADCAST_BYTES:
-        return targets.repartition(tasks, "target_id").join(F.broadcast(cells), "cohort")
-    salted = targets.withColumn("salt", F.pmod(F.xxhash64("target_id"), F.lit(_SALTS)).cast("int"))
-    copies = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return salted.repartition(tasks, "cohort", "salt").join(copies, ["cohort", "salt"]).drop("salt")
-
-
-def _in_blocks(queries: DataFrame, index: Index, work, schema: T.StructType, chunk_rows: int) -> DataFrame:
+def _in_blocks(listed: DataFrame, queries: DataFrame, index: Index, work, schema: T.StructType, chunk_rows: int) -> DataFrame:
     """Run ``work`` on every (queries of a chunk, chunk) block, both sides bounded in size.
 
-    A chunk wanted by many queries is copied, one copy per slice of its queries.
+    ``listed`` says which query wants which chunk, by ids alone; ``queries`` has the rest, one row per ``target_id``. A chunk
+    wanted by many queries is copied, one copy per slice of its queries.
     """
     spark = queries.sparkSession
-    queries = materialize(queries, "queries")
-    slices = queries.groupBy(*_CHUNK).agg(F.ceil(F.count(F.lit(1)) / min(chunk_rows, QUERY_ROWS)).cast("int").alias("slices"))
+    listed = materialize(listed.select("target_id", *_CHUNK), "listed")
+    queries = listed.join(queries.drop(*_CHUNK), "target_id")
+    slices = listed.groupBy(*_CHUNK).agg(F.ceil(F.count(F.lit(1)) / min(chunk_rows, QUERY_ROWS)).cast("int").alias("slices"))
     slices = materialize(slices, "slices")
     blocks = slices.agg(F.sum("slices")).first()[0] or 1
     parallel = spark.sparkContext.defaultParallelism
@@ -220,22 +244,10 @@ def _found_schema(targets: DataFrame, index: Index) -> T.StructType:
     )
 
 
-def _placed_targets(targets: DataFrame, index: Index) -> DataFrame:
-    """Targets with the chunk they search first: the one of their own cell that their key falls in."""
-    queries = targets.select("target_id", "cohort", "key", "vec")
-    if index.single:
-        cohorts = index.cells.select("cohort")
-        return queries.join(cohorts, "cohort").withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0)})
-    plan = index.cells.groupBy("cohort").agg(F.first("cuts").alias("cuts"), F.first("bits").alias("bits"))
-    point = coordinates(F.col("vec"), index.dims, index.metric)
-    coded = queries.join(plan, "cohort").withColumn("cell", _cell(point, index.split_dims)).drop("cuts", "bits")
+def _with_chunks(found: DataFrame, index: Index) -> DataFrame:
+    """``target_id, cohort, cell, chunk``: every chunk of the found leaves."""
     chunks = index.cells.select("cohort", "cell", "chunks")
-    # A target that is no candidate itself may fall in an empty cell: it has no first chunk.
-    return (
-        coded.join(chunks, ["cohort", "cell"], "left")
-        .withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-        .drop("chunks")
-    )
+    return found.join(chunks, ["cohort", "cell"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
 
 def nearest(
@@ -243,30 +255,57 @@ def nearest(
 ) -> DataFrame:
     """The k nearest rows of each target's cohort, without rows that carry the target's own key.
 
-    ``targets`` has target_id (unique), cohort, key and vec. Returns target_id, key, season, rank
+    ``targets`` has target_id (unique), cohort, key and vec; a column ``k`` gives a target a number of its own, up to the
+    one that the index keeps. Returns target_id, key, season, rank
     and score (a distance, or the similarity for cosine). Ties at six decimals go by key, season.
     """
     schema = _found_schema(targets, index)
-    work = nearest_in_block(k, index.metric)
-    queries = _placed_targets(targets, index)
+    work = nearest_in_block(index.metric)
+    own_k = F.coalesce("k", F.lit(k)).cast("int") if "k" in targets.columns else F.lit(k)
+    queries = targets.select("target_id", F.col("cohort").cast("string").alias("cohort"), "key", "vec", own_k.alias("k"))
     unbounded = F.lit(None).cast("double").alias("score")
     if index.single:
-        return _in_blocks(queries.select("*", unbounded), index, work, schema, chunk_rows)
+        known = queries.join(index.cells.select("cohort"), "cohort").withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0)})
+        return _in_blocks(known, queries.drop("cohort").select("*", unbounded), index, work, schema, chunk_rows)
     queries = materialize(queries, "targets")
-    first = _in_blocks(queries.filter("chunk IS NOT NULL").select("*", unbounded), index, work, schema, chunk_rows)
-    first = materialize(first, "first")
-    limit = first.filter(F.col("rank") == k).select("target_id", "score")
-    bounded = queries.join(limit, "target_id", "left").withColumnsRenamed({"cell": "own_cell", "chunk": "own_chunk"})
-    near_enough = F.col("score").isNull() | (_box_distance(index) <= _limit(index.metric, _SLACK))
-    others = (
-        _with_cells(bounded, index)
-        .filter(near_enough)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .filter((F.col("cell") != F.col("own_cell")) | (F.col("chunk") != F.coalesce("own_chunk", F.lit(-1))))
-        .select("target_id", "key", "vec", "score", *_CHUNK)
-    )
-    found = first.unionByName(_in_blocks(others, index, work, schema, chunk_rows))
-    return found.withColumn("rank", F.row_number().over(_by_score("target_id", index.metric))).filter(F.col("rank") <= k)
+    metric = index.metric
+
+    def first(group: pd.DataFrame, spots: np.ndarray, nodes: Nodes) -> pd.DataFrame:
+        return pd.DataFrame({"target_id": group["target_id"], "cohort": group["cohort"], "cell": nodes.own_leaf(spots)})
+
+    def further(most: int | None):
+        def list_leaves(group: pd.DataFrame, spots: np.ndarray, nodes: Nodes) -> pd.DataFrame:
+            limit = _squared_limit(group["score"].to_numpy(dtype=float), metric, _SLACK)
+            query, leaf = nodes.within(spots, limit, [set(x) for x in group["seen"]], most)
+            return pd.DataFrame({"target_id": group["target_id"].to_numpy()[query], "cohort": group["cohort"].to_numpy()[query], "cell": leaf})
+
+        return list_leaves
+
+    kind = targets.schema["target_id"].dataType.simpleString()
+    listing = f"target_id {kind}, cohort string, cell long"
+    own = queries.select("target_id", F.col("k").alias("own_k"))
+
+    def searched(leaves: DataFrame, best: DataFrame | None) -> DataFrame:
+        """The best rows of each target after a search of ``leaves`` too."""
+        asked = queries.drop("cohort")
+        asked = asked.select("*", unbounded) if best is None else asked.join(bounds(best), "target_id", "left")
+        found = _in_blocks(_with_chunks(leaves, index), asked, index, work, schema, chunk_rows)
+        found = found if best is None else best.drop("own_k").unionByName(found)
+        rank = F.row_number().over(_by_score("target_id", metric))
+        return found.join(own, "target_id").withColumn("rank", rank).filter(F.col("rank") <= F.col("own_k"))
+
+    def bounds(best: DataFrame) -> DataFrame:
+        return best.filter("rank = own_k").select("target_id", "score")
+
+    leaves = materialize(_descend(queries, index, first, listing), "leaves")
+    seen, best = leaves, None
+    for most in _ROUNDS:
+        best = materialize(searched(leaves, best), "best")
+        been = seen.groupBy("target_id").agg(F.collect_list("cell").alias("seen"))  # as many as the rounds before allow
+        asked = queries.join(been, "target_id").join(bounds(best), "target_id", "left")
+        leaves = materialize(_descend(asked, index, further(most), listing), "leaves")
+        seen = seen.unionByName(leaves)
+    return searched(leaves, best).drop("own_k")
 
 
 def _by_score(target: str, metric: str):
@@ -308,33 +347,34 @@ def _own_rows_before(pairs: DataFrame, index: Index) -> DataFrame:
 def _rows_before(asked: DataFrame, index: Index, chunk_rows: int) -> DataFrame:
     """Rows before the named candidate, own rows included.
 
-    A cell whose box lies beyond the named candidate counts nothing, a cell wholly nearer counts its
-    size; only the cells between are searched, and each chunk returns one count per question.
+    A subtree whose box lies beyond the named candidate counts nothing, one that is wholly nearer counts its
+    size; only the leaves between are searched, and each chunk returns one count per question.
     """
-    schema = T.StructType(
-        [
-            T.StructField("target_id", asked.schema["target_id"].dataType),
-            T.StructField("nearer", T.LongType()),
-        ]
-    )
+    kind = asked.schema["target_id"].dataType
+    schema = T.StructType([T.StructField("target_id", kind), T.StructField("nearer", T.LongType())])
     work = nearer_in_block(index.metric)
     if index.single:
         here = index.cells.select("cohort")
-        queries = asked.join(here, "cohort").withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0)})
-        counts = _in_blocks(queries, index, work, schema, chunk_rows)
-    else:
-        inside = _box_reach(index) < _limit(index.metric, -_SLACK)
-        reached = (
-            _with_cells(asked, index)
-            .filter(_box_distance(index) <= _limit(index.metric, _SLACK))
-            .withColumn("inside", inside)
-            .drop("low", "high", "point")
-        )
-        reached = materialize(reached, "reached")
-        counted = reached.filter("inside").groupBy("target_id").agg(F.sum("rows").alias("nearer"))
-        open_cells = reached.filter("NOT inside").withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        )
-        queries = open_cells.select(*asked.columns, "cell", "chunk")
-        counts = counted.unionByName(_in_blocks(queries, index, work, schema, chunk_rows))
+        listed = asked.join(here, "cohort").withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0)})
+        counts = _in_blocks(listed, asked.drop("cohort"), index, work, schema, chunk_rows)
+        return counts.groupBy("target_id").agg(F.sum("nearer").alias("nearer"))
+    metric, dims = index.metric, index.dims
+    rest = dims + (metric == "cosine") > AXES
+
+    def count(group: pd.DataFrame, spots: np.ndarray, nodes: Nodes) -> pd.DataFrame:
+        score = group["score"].to_numpy(dtype=float)
+        sure, limit = _squared_limit(score, metric, -_SLACK), _squared_limit(score, metric, _SLACK)
+        if metric == "cosine":  # all rows are equally unlike a zero vector, the zero ones too
+            sure = np.where(points_of(group["vec"], metric)[:, -1] > 0, -1.0, sure)
+        # A Manhattan distance is at most the root of the dimensions times the Euclidean one.
+        counted, query, leaf = nodes.count_within(spots, sure, limit, rest, dims if metric == "manhattan" else 1)
+        ids, cohort = group["target_id"].to_numpy(), group["cohort"].to_numpy()
+        listed = pd.DataFrame({"target_id": ids[query], "cohort": cohort[query], "cell": leaf, "nearer": 0})
+        return pd.concat([listed, pd.DataFrame({"target_id": ids, "cohort": cohort, "cell": -1, "nearer": counted})])
+
+    shape = f"target_id {kind.simpleString()}, cohort string, cell long, nearer long"
+    reached = materialize(_descend(asked, index, count, shape), "reached")
+    listed = _with_chunks(reached.filter("cell >= 0").drop("nearer"), index)
+    counts = _in_blocks(listed, asked.drop("cohort"), index, work, schema, chunk_rows)
+    counts = counts.unionByName(reached.filter("cell < 0").select("target_id", "nearer"))
     return counts.groupBy("target_id").agg(F.sum("nearer").alias("nearer"))

@@ -21,6 +21,8 @@ from stintworks.schemas import FEATURE_LABELS, FEATURES
 from stintworks.workspace import materialize
 
 MIN_COHORT = 3
+# Targets that want more rows are searched apart.
+WIDE = 256
 TOP_FEATURES = 5
 SHOWN = ["player_name", "primary_squad_name", "primary_competition_name", "position_raw",
          "position_group", "minutes", "stint_count"]
@@ -71,22 +73,38 @@ def all_targets(space: Space, min_cohort: int = MIN_COHORT) -> DataFrame:
 
 
 def index_of(
-    space: Space, metric: str, k: int | None, vec: Column | None = None, chunk_rows: int = CHUNK_ROWS
+    space: Space, metric: str, k: int | None, vec: Column | None = None, chunk_rows: int = CHUNK_ROWS, force_tree: bool = False
 ) -> Index:
     """Search index over the space; ``k`` None keeps every row, as counting ranks needs."""
     rows = space.rows.select("cohort", "key", "season", (F.col("z") if vec is None else vec).alias("vec"))
-    return build_index(rows, len(space.features), metric, None if k is None else k + 1, chunk_rows)
+    return build_index(rows, len(space.features), metric, None if k is None else k + 1, chunk_rows, force_tree)
 
 
 def neighbours(
     space: Space, targets: DataFrame | None = None, metric: str = "euclidean", k: int = 10,
-    min_cohort: int = MIN_COHORT, chunk_rows: int = CHUNK_ROWS,
+    min_cohort: int = MIN_COHORT, chunk_rows: int = CHUNK_ROWS, force_tree: bool = False,
 ) -> DataFrame:
-    """k nearest per target; ``targets`` None means every entity of the space."""
+    """k nearest per target; ``targets`` None means every entity of the space.
+
+    A column ``k`` of ``targets`` gives a target a number of its own. The few that want more than ``WIDE`` rows are
+    searched apart, over an index that keeps all rows, so the others are none the slower for them.
+    """
     if k < 1:
         raise ValueError("k must be 1 or greater")
     targets = all_targets(space, min_cohort) if targets is None else targets
-    return nearest(targets, index_of(space, metric, k, chunk_rows=chunk_rows), k, chunk_rows)
+    if "k" not in targets.columns:
+        return nearest(targets, index_of(space, metric, k, chunk_rows=chunk_rows, force_tree=force_tree), k, chunk_rows)
+    targets = materialize(targets, "targets")
+    least, widest = targets.agg(F.min("k"), F.max(F.when(F.col("k") <= WIDE, F.col("k")))).first()
+    if least is not None and least < 1:
+        raise ValueError("k must be 1 or greater")
+    near = index_of(space, metric, widest or 1, chunk_rows=chunk_rows, force_tree=force_tree)
+    found = nearest(targets.filter(F.col("k") <= WIDE), near, widest or 1, chunk_rows)
+    far = targets.filter(F.col("k") > WIDE)
+    if far.isEmpty():
+        return found
+    everything = index_of(space, metric, None, chunk_rows=chunk_rows, force_tree=force_tree)
+    return found.unionByName(nearest(far, everything, 1, chunk_rows))
 
 
 def _cohort_trouble(space: Space) -> tuple[Column, Column]:
@@ -139,7 +157,7 @@ def similar(
     """``(outcomes, neighbours)`` for a batch of requests.
 
     Every request has an outcome. Requests for the same entity share one search, up to the widest
-    limit asked for; ``k`` serves requests that give none. ``eligible_only`` resolves
+    limit asked for that entity; ``k`` serves requests that give none. ``eligible_only`` resolves
     names within the similarity population, where ineligible entities are simply not found.
     """
     space = space or build_space(canonical, cohort_cols, features)
@@ -154,9 +172,8 @@ def similar(
         "request_id", target_id("matched_canonical_player_key", "matched_season").alias("target_id"),
         limit.alias("wanted"),
     )
-    targets = all_targets(space).join(served.select("target_id").distinct(), "target_id", "left_semi")
-    widest = served.agg(F.max("wanted")).first()[0] or k
-    found = neighbours(space, targets, metric, widest)
+    targets = all_targets(space).join(served.groupBy("target_id").agg(F.max("wanted").alias("k")), "target_id")
+    found = neighbours(space, targets, metric, k)
     return outcomes, served.join(found, "target_id").filter(F.col("rank") <= F.col("wanted")).drop("wanted")
 
 
@@ -168,13 +185,13 @@ def with_vectors(pairs: DataFrame, space: Space) -> DataFrame:
     return pairs.join(known, "target_id").join(others, ["key", "season"])
 
 
-def _indexes(space: Space, k: int | None, chunk_rows: int) -> dict[str, Index]:
+def _indexes(space: Space, k: int | None, chunk_rows: int, force_tree: bool = False) -> dict[str, Index]:
     """One index per metric; the two distances share a layout."""
-    plain = index_of(space, "euclidean", k, chunk_rows=chunk_rows)
+    plain = index_of(space, "euclidean", k, chunk_rows=chunk_rows, force_tree=force_tree)
     return {
         "euclidean": plain,
         "manhattan": plain.under("manhattan"),
-        "cosine": index_of(space, "cosine", k, chunk_rows=chunk_rows),
+        "cosine": index_of(space, "cosine", k, chunk_rows=chunk_rows, force_tree=force_tree),
     }
 
 
@@ -200,11 +217,13 @@ def find_candidates(targets: DataFrame, space: Space) -> DataFrame:
     ``targets`` has the columns of ``all_targets`` plus ``candidate_name``. Names without a row get
     NULL keys.
     """
-    first = space.rows.select("cohort", "key", "season", folded(F.col("player_name")).alias("folded"))
-    # Two rows per name are enough: a target may have to skip its own.
-    by_key = Window.partitionBy("cohort", "folded").orderBy("key")
-    first = first.withColumn("place", F.dense_rank().over(by_key)).filter("place <= 2")
-    other = first.select(F.col("cohort"), "folded", F.col("key").alias("other_key"), F.col("season").alias("other_season"))
+    names = space.rows.select("cohort", "key", "season", folded(F.col("player_name")).alias("folded"))
+    # Two keys per name are enough: a target may have to skip its own. Aggregated, so a popular name is no hot spot.
+    keys = names.groupBy("cohort", "folded").agg(F.min("key").alias("first_key"))
+    second = names.join(keys, ["cohort", "folded"]).filter(F.col("key") > F.col("first_key")).groupBy("cohort", "folded").agg(F.min("key").alias("key"))
+    both = keys.withColumnRenamed("first_key", "key").unionByName(second)
+    first = names.join(both, ["cohort", "folded", "key"], "left_semi")
+    other = first.select("cohort", "folded", F.col("key").alias("other_key"), F.col("season").alias("other_season"))
     asked = targets.withColumn("folded", folded(trimmed(F.col("candidate_name"))))
     named = asked.join(other, ["cohort", "folded"], "left").filter(
         F.col("other_key").isNull() | (F.col("other_key") != F.col("key"))
@@ -215,7 +234,7 @@ def find_candidates(targets: DataFrame, space: Space) -> DataFrame:
 
 
 def candidate_ranks(
-    named: DataFrame, space: Space, chunk_rows: int = CHUNK_ROWS, question: str = "target_id"
+    named: DataFrame, space: Space, chunk_rows: int = CHUNK_ROWS, question: str = "target_id", force_tree: bool = False
 ) -> DataFrame:
     """Scores and ranks of one named candidate per target under all three metrics.
 
@@ -235,7 +254,7 @@ def candidate_ranks(
     )
     scored = materialize(scored, "named")
     result = named.join(scored.select(F.col("target_id").alias(question), *METRICS), question, "left")
-    for metric, index in _indexes(space, None, chunk_rows).items():
+    for metric, index in _indexes(space, None, chunk_rows, force_tree).items():
         ranks = rank_of(scored.withColumn("score", F.col(metric)), index, chunk_rows)
         result = result.join(ranks.withColumnsRenamed({"rank": f"{metric}_rank", "target_id": question}), question, "left")
     status = F.when(F.col("other_key").isNull(), "CANDIDATE_NOT_FOUND").otherwise(OK)

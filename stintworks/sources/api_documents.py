@@ -92,6 +92,34 @@ def read_api_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_api_containers(documents: DataFrame, path: str, documents_per_file: int = 10_000) -> None:
+    """Write ``document_id, payload, fetched_at`` as containers: many documents to a file, one JSON object to a line."""
+    line = F.to_json(F.struct("document_id", "fetched_at", "payload"))
+    documents.select(line.alias("value")).write.option("maxRecordsPerFile", documents_per_file).text(path)
+
+
+def read_api_containers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line: document_id, payload, fetched_at, and the ``container`` (file name) it came from.
+
+    A line is parsed once, as a variant, and its members are taken from that. A payload may be text or JSON itself. A
+    line without a name takes the container's; one that is no JSON is a document of its own text, to be rejected later.
+    """
+    lines = spark.read.text(path).select(
+        F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("container"),
+        F.col("_metadata.file_modification_time").alias("changed"), "value", F.try_parse_json("value").alias("line"),
+    )
+
+    def member(name: str, kind: str) -> Column:
+        return F.try_variant_get("line", f"$.{name}", kind)
+
+    return lines.select(
+        F.coalesce(member("document_id", "string"), F.col("container")).alias("document_id"),
+        F.coalesce(member("payload", "string"), F.col("value")).alias("payload"),
+        F.coalesce(member("fetched_at", "timestamp"), F.col("changed")).alias("fetched_at"),
+        "container",
+    )
+
+
 def wildcard(search: Column) -> Column:
     """Regular expression for a text that contains ``search``; ``*``, ``?`` and ``[..]`` are wildcards."""
     quoted = F.regexp_replace(search, r"([\\.+^$(){}|])", r"\\$1")

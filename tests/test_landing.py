@@ -11,9 +11,10 @@ from stintworks.fixtures import registry
 from stintworks.operators import constraints
 from stintworks.operators.merge import last_per_key, merge_by_key
 from stintworks.plans.api_landing import append_raw, land_api_documents, latest_documents, source_registry
-from stintworks.plans.season_landing import check_counts, land_season_csv
-from stintworks.schemas import CSV_COLUMNS
-from stintworks.sources.api_documents import read_api_documents
+from stintworks.plans.season_landing import BATCHES, check_counts, land_into_store, land_season_csv
+from stintworks.plans.store import StaleVersion, TableStore
+from stintworks.schemas import CSV_COLUMNS, STAGING
+from stintworks.sources.api_documents import read_api_containers, read_api_documents
 from stintworks.sources.season_csv import read_season_csv, reject_counts, with_row_numbers
 
 
@@ -298,17 +299,88 @@ def test_every_document_and_request_is_loaded_or_rejected(spark):
 
 
 @pytest.mark.parametrize("missing,lost", [(None, 0), ("five", 1), ("same", 2)])
-def test_every_document_goes_through_files(spark, monkeypatch, missing, lost):
-    """Documents that the SQL does not list are written, read and compared as well."""
-    payloads = {1: "same", 2: "same", 5: "five", 7: "seven\nlines", 8: "", 57: "é 57"}
-    documents = spark.createDataFrame([(str(k), v) for k, v in payloads.items()], "document_id string, payload string")
+def test_every_document_goes_through_containers(spark, monkeypatch, missing, lost):
+    payloads = {1: "same", 2: "same", 5: "five", 7: "seven\nlines", 8: "", 57: "é 57", 60: '{"a": [1,  2]}'}
+    at = dt.datetime(2026, 1, 2, 3, 4, 5)
+    documents = spark.createDataFrame([(str(k), v, at) for k, v in payloads.items()], "document_id string, payload string, fetched_at timestamp")
     monkeypatch.setattr(registry.adapter, "api_documents", lambda spark, sf_dir: (documents, None))
     read = []
 
     def reader(spark, path):
-        read.append(read_api_documents(spark, path))
+        read.append(read_api_containers(spark, path))
         return read[0].filter(~F.startswith("payload", F.lit(missing))) if missing else read[0]
 
-    monkeypatch.setattr(registry, "read_api_documents", reader)
-    assert dict(registry.QUERIES["api_files"](spark, "").collect()) == {"files": 2, "payloads": 2, "lost": lost}
+    monkeypatch.setattr(registry, "read_api_containers", reader)
+    found = len(payloads) - lost
+    assert dict(registry.QUERIES["api_files"](spark, "").collect()) == {"documents": found, "payloads": found, "lost": lost}
     assert read[0].count() == len(payloads)
+
+
+def test_containers_take_lines_of_any_kind(spark, tmp_path):
+    lines = ['{"document_id": "a", "payload": "{\\"x\\": 1}", "fetched_at": "2026-01-02T00:00:00Z"}', '{"payload": {"y": [1]}}', "no json", ""]
+    (tmp_path / "many.ndjson").write_text("\n".join(lines) + "\n")
+    rows = read_api_containers(spark, str(tmp_path)).collect()
+    assert sorted((r.document_id, r.payload) for r in rows) == sorted(
+        [("a", '{"x": 1}'), ("many.ndjson", '{"y":[1]}'), ("many.ndjson", "no json"), ("many.ndjson", "")])
+    assert {r.fetched_at for r in rows if r.document_id == "a"} == {dt.datetime(2026, 1, 2)} and {r.container for r in rows} == {"many.ndjson"}
+
+
+def test_malformed_records_come_back_with_their_place(spark, tmp_path):
+    path = write_csv(tmp_path / "in" / "a.csv", [{**PLAYER, "Player": f"P{i}"} for i in range(6)])
+    lines = open(path, encoding="utf-8").read().splitlines()
+    lines[2] += ",one more"
+    lines[5] = ",".join(lines[5].split(",")[:-2])
+    open(path, "w", encoding="utf-8").write("\n".join(lines) + "\n")
+    store = TableStore(spark, str(tmp_path / "store"))
+    landing = land_into_store(store, path, 2025, "x", keep_malformed=True)
+    assert sorted((r.player_name, r.source_row_number) for r in landing.staging.collect()) == [("P0", 1), ("P2", 3), ("P3", 4), ("P5", 6)]
+    bad = sorted((r.record_number, r.record[-8:], r.source_filename) for r in landing.malformed.collect())
+    assert [(n, f) for n, _, f in bad] == [(2, "a.csv"), (5, "a.csv")] and bad[0][1] == "one more"
+    assert landing.batches.first().row_count == 4
+
+
+def test_a_load_that_is_not_published_leaves_the_store(spark, tmp_path, monkeypatch):
+    one = write_csv(tmp_path / "one.csv", [PLAYER])
+    two = write_csv(tmp_path / "two.csv", [PLAYER, {**PLAYER, "Player": "Other"}])
+    store = TableStore(spark, str(tmp_path / "store"))
+    assert land_into_store(store, one, 2025, "x").staging.count() == 1
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            land_into_store(store, two, 2025, "x")
+    assert store.version() == 1 and store.read("staging", STAGING).count() == store.read("batches", BATCHES).count() == 1
+    land_into_store(store, two, 2025, "x")
+    land_into_store(store, one, 2025, "again")
+    assert store.read("staging", STAGING).count() == 3 and store.version() == 3
+    assert {(r.row_count, r.season_label) for r in store.read("batches", BATCHES).collect()} == {(1, "again"), (2, "x")}
+    with pytest.raises(StaleVersion):
+        store.publish({}, 1)
+
+
+def test_stored_merges_equal_merges_of_frames(spark, tmp_path):
+    import random
+
+    dice = random.Random(5)
+    schema = "a int, b string, v string, w int"
+    store, frame = TableStore(spark, str(tmp_path / "store")), spark.createDataFrame([], schema)
+    for round_ in range(4):
+        rows = [(dice.choice([None, *range(9)]), dice.choice("xyz"), f"{round_}-{i}", i) for i in range(12)]
+        updates = last_per_key(spark.createDataFrame(rows, schema), ["a", "b"], ["w"]).cache()
+        columns, mode = (["v"], "update") if round_ % 2 == 0 else (["v", "w"], "ignore")
+        frame = merge_by_key(frame, updates, ["a", "b"], columns, mode=mode)
+        store.publish(store.stage_merge("t", schema, updates, ["a", "b"], columns, mode=mode, buckets=5), store.version())
+        assert sorted(map(repr, store.read("t", schema).collect())) == sorted(map(repr, frame.collect()))
+    before = store.manifest()["t"]
+    one = spark.createDataFrame([(1, "x", "new", 0)], schema)
+    store.publish(store.stage_merge("t", schema, one, ["a", "b"], ["v"], buckets=5), store.version())
+    after = store.manifest()["t"]
+    assert sum(after[p] != before.get(p) for p in after) == 1
+
+
+def test_entity_ids_of_raw_documents_read_like_those_of_players(spark):
+    payload = json.dumps({"response": [{"player": {"id": "12.0", "name": "Kyle"}, "statistics": [
+        {"league": {"id": 1, "season": 2025, "name": "L"}, "team": {"id": 2, "name": "T"}, "games": {"minutes": 5}}]}]})
+    documents = spark.createDataFrame([("d", payload, dt.datetime(2026, 1, 1))], "document_id string, payload string, fetched_at timestamp")
+    asked = spark.createDataFrame([("d", "kyle", 1, 2025)], "document_id string, search string, league int, season int")
+    landing = land_api_documents(documents, asked)
+    assert landing.raw.first().entity_api_id == landing.player.first().api_football_id == 12

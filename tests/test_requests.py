@@ -123,14 +123,15 @@ def test_crowded_name_does_not_multiply(spark, make_stints):
     assert ambiguous_candidates(resolved, rows).count() == 300
 
 
-def test_deep_pages_equal_plain_ones(make_stints, monkeypatch):
-    from stintworks.operators import explore as module
-
+def test_deep_pages_equal_plain_ones(make_stints):
     rows = canonical(make_stints(*[{"source_player_key": f"k{i}", "player_name": f"N{i % 9}", "minutes": i % 4 * 100} for i in range(230)], identity=True)).cache()
     plain = {o: explore(rows, limit=20, offset=o)[1].collect() for o in (0, 95, 99, 150, 225, 230, 500)}
-    monkeypatch.setattr(module, "DEEP_OFFSET", -1)
-    monkeypatch.setattr(module._skip_ranges, "__defaults__", (40,))
-    assert {o: explore(rows, limit=20, offset=o)[1].collect() for o in plain} == plain
+    for range_rows in (1, 40):
+        assert {o: explore(rows, limit=20, offset=o, range_rows=range_rows)[1].collect() for o in plain} == plain
+    # Rows that agree in every place, and rows without minutes.
+    same = make_stints(*[{"source_player_key": f"k{i}", "player_name": "N", "minutes": None} for i in range(60)], identity=True)
+    same = canonical(same).withColumns({"canonical_player_key": F.lit("k"), "minutes": F.lit(None).cast("long")}).cache()
+    assert explore(same, limit=20, offset=45, range_rows=5)[1].count() == 15
 
 
 def test_substring_matches_equal_brute_force(spark):
