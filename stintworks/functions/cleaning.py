@@ -102,12 +102,13 @@ def folded(c: Column) -> Column:
     low = F.lower(c)
     ascii_only = F.octet_length(c) == F.char_length(c)
     special = "[" + "".join([*_SHORT_FOLDS, *_LONG_FOLDS]) + "]"
-    pairs = F.array(*[F.struct(F.lit(letter).alias("letter"), F.lit(fold).alias("fold")) for letter, fold in _LONG_FOLDS.items()])
+    # One literal, a letter and what it folds to in each part.
+    pairs = F.split(F.lit("|".join(letter + fold for letter, fold in _LONG_FOLDS.items())), r"\|")
     short = F.translate(low, "".join(_SHORT_FOLDS), "".join(_SHORT_FOLDS.values()))
 
     def unfold(text: Column) -> Column:
-        present = F.filter(pairs, lambda pair: F.contains(text, pair["letter"]))
-        return F.reduce(present, text, lambda done, pair: F.replace(done, pair["letter"], pair["fold"]))
+        present = F.filter(pairs, lambda pair: F.contains(text, F.left(pair, F.lit(1))))
+        return F.reduce(present, text, lambda done, pair: F.replace(done, F.left(pair, F.lit(1)), F.substring(pair, 2, 9)))
 
     # The array of one binds the text, which is so worked out once and not for every pair.
     full = F.get(F.transform(F.array(short), unfold), F.lit(0))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import accumulate
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Explorer record, output name -> canonical column.
 LISTED = {
@@ -96,10 +97,12 @@ def _range_of_page(rows: DataFrame, offset: int, limit: int, range_rows: int) ->
         F.col("minutes").isNull().alias("o0"), (-F.col("minutes")).alias("o1"), F.col("player_name").alias("o2"),
         F.col("canonical_player_key").alias("o3"), F.col("season").alias("o4"),
     )
-    kinds = [f.dataType for f in rows.select(place.alias("place")).schema["place"].dataType.fields]
+    kind = rows.select(place.alias("place")).schema["place"].dataType
 
-    def literal(pivot) -> Column:
-        return F.struct(*[F.lit(v).cast(kind).alias(f"o{i}") for i, (v, kind) in enumerate(zip(pivot, kinds))])
+    def literals(pivots: list) -> Column:
+        """The pivots as one array literal, and so one expression however many they are."""
+        listed = [{f"o{i}": v for i, v in enumerate(p) if v is not None} for p in pivots]
+        return F.from_json(F.lit(json.dumps(listed)), T.ArrayType(kind))
 
     here, size, seed = rows, rows.count(), 0
     while size > range_rows:
@@ -109,7 +112,7 @@ def _range_of_page(rows: DataFrame, offset: int, limit: int, range_rows: int) ->
         pivots = list(dict.fromkeys(found[i * len(found) // (PIVOTS + 1)] for i in range(1, PIVOTS + 1))) if found else []
         if not pivots:
             break
-        cuts = F.array(*[literal(p) for p in pivots])
+        cuts = literals(pivots)
         bucket = F.size(F.filter(cuts, lambda cut: cut < place))
         counts = dict(here.groupBy(bucket.alias("bucket")).count().collect())
         ends = list(accumulate(counts.get(part, 0) for part in range(len(pivots) + 1)))
@@ -121,9 +124,9 @@ def _range_of_page(rows: DataFrame, offset: int, limit: int, range_rows: int) ->
         if kept >= size:  # rows that agree in every place cannot be told apart
             break
         if first > 0:
-            here = here.filter(place > literal(pivots[first - 1]))
+            here = here.filter(place > F.get(cuts, F.lit(first - 1)))
         if last < len(pivots):
-            here = here.filter(place <= literal(pivots[last]))
+            here = here.filter(place <= F.get(cuts, F.lit(last)))
         offset, size, seed = offset - skipped, kept, seed + 1
     return here, offset
 

@@ -81,7 +81,8 @@ def resolve(requests: DataFrame, canonical: DataFrame, suggest: bool = False) ->
     ten possible matches to the text of names that were not found. ``lookup_name``, ``lookup_club`` and
     ``lookup_season`` lead to the rows of ``ambiguous_candidates``.
     """
-    asked = with_lookup(requests)
+    # Names are folded once; the kinds of requests, the wanted names and the joins read the stored lookups.
+    asked = materialize(with_lookup(requests), "asked")
     people = _candidates(canonical)
     wanted = asked.select("lookup_name").distinct()
     counts = _match_counts(people.join(wanted, "lookup_name", "left_semi"), _scopes(asked))
@@ -120,7 +121,8 @@ def resolve(requests: DataFrame, canonical: DataFrame, suggest: bool = False) ->
         F.nullif("lookup_season", F.lit(_ANY_SEASON)).alias("lookup_season"),
     )
     resolved = with_detail(resolved)
-    return with_suggestions(resolved, canonical) if suggest else resolved
+    # Suggestions read the outcomes twice.
+    return with_suggestions(materialize(resolved, "resolved"), canonical) if suggest else resolved
 
 
 def with_detail(resolved: DataFrame) -> DataFrame:
