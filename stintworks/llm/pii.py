@@ -48,6 +48,8 @@ PATTERNS = {
 # A text without this has no match; NULL: look at every text.
 NEEDED = {"email": "@", "phone": "+", "ssn": "-", "mail_text": "at"}
 KINDS = tuple(PATTERNS)
+# Matches of a text that are listed together before lists are joined.
+_LISTED = 256
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _DIGITS = "regexp_replace(c.match, '[^0-9]', '')"
@@ -83,14 +85,18 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for kind in KINDS:
         found, gaps = f"found_{kind}", f"gaps_{kind}"
         start = f"acc.at + char_length({gaps}[i])"
+        # Places are running sums. Appending copies a list, so matches are listed by hundreds and the lists joined at the end.
+        some = f"""
+          aggregate(sequence(c, least(c + {_LISTED - 1}, size({found}) - 1)), named_struct('at', whole.at, 'out', CAST(array() AS ARRAY<{span}>)),
+            (acc, i) -> named_struct(
+              'at', {start} + char_length({found}[i]),
+              'out', concat(acc.out, array(named_struct('kind', '{kind}', 'start', {start}, 'end', {start} + char_length({found}[i]),
+                'match', {found}[i], 'before', right({gaps}[i], 40), 'after', left({gaps}[i + 1], 8))))))"""
         parts.append(f"""
           IF(size({found}) = 0, CAST(array() AS ARRAY<{span}>),
-            aggregate(sequence(0, size({found}) - 1), named_struct('at', 0L, 'out', CAST(array() AS ARRAY<{span}>)),
-              (acc, i) -> named_struct(
-                'at', {start} + char_length({found}[i]),
-                'out', concat(acc.out, array(named_struct('kind', '{kind}', 'start', {start}, 'end', {start} + char_length({found}[i]),
-                  'match', {found}[i], 'before', right({gaps}[i], 40), 'after', left({gaps}[i + 1], 8))))),
-              acc -> acc.out))""")
+            aggregate(sequence(0, size({found}) - 1, {_LISTED}), named_struct('at', 0L, 'out', CAST(array() AS ARRAY<ARRAY<{span}>>)),
+              (whole, c) -> transform(array({some}), x -> named_struct('at', x.at, 'out', concat(whole.out, array(x.out))))[0],
+              whole -> flatten(whole.out)))""")
     return rows.select("doc_id", F.expr(f"concat({', '.join(parts)})").alias("spans"))
 
 

@@ -111,3 +111,20 @@ def test_base_patterns_find_what_the_plain_ones_find(spark, kind):
 
     for r in rows.select("i", F.regexp_extract_all("t", F.lit(pii.PATTERNS[kind]), F.lit(0)).alias("m")).collect():
         assert r["m"] == [m[0] for m in plain.finditer(texts[r["i"]])], texts[r["i"]]
+
+
+def test_texts_with_very_many_matches(make_docs):
+    """Places stay right across the lists that matches are gathered in, and the work does not grow with their square."""
+    rng = random.Random(8)
+    rows = []
+    for doc_id, count in enumerate([255, 256, 257, 513, 50_000]):
+        parts, spans, at = [], [], 0
+        for k in range(count):
+            gap, mail = "é" * rng.randrange(3) + " ", f"a{k}@host.example"
+            spans.append(("email", at + len(gap), at + len(gap) + len(mail)))
+            parts += [gap, mail]
+            at += len(gap) + len(mail)
+        rows.append((doc_id, "".join(parts), spans))
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(make_docs([(i, t) for i, t, _ in rows])).collect()}
+    for doc_id, _, spans in rows:
+        assert [(s["kind"], s["start"], s["end"]) for s in found[doc_id] if s["kind"] == "email"] == spans
