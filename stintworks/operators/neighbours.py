@@ -223,7 +223,9 @@ def _in_blocks(listed: DataFrame, queries: DataFrame, index: Index, work, schema
     own_slice = F.pmod(F.xxhash64("target_id"), F.col("slices")).cast("int")
     left = queries.join(slices, _CHUNK).withColumn("slice", own_slice).drop("slices")
     copies = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    right = index.rows.join(slices, _CHUNK).withColumn("slice", copies).drop("slices")
+    # Renamed to themselves: targets and candidates may be columns of one frame.
+    candidates = index.rows.select(*[F.col(c).alias(c) for c in index.rows.columns])
+    right = candidates.join(slices, _CHUNK).withColumn("slice", copies).drop("slices")
     return (
         left.repartition(partitions, *keys)
         .groupBy(*keys)
@@ -251,13 +253,14 @@ def _with_chunks(found: DataFrame, index: Index) -> DataFrame:
 
 
 def nearest(
-    targets: DataFrame, index: Index, k: int, chunk_rows: int = CHUNK_ROWS
+    targets: DataFrame, index: Index, k: int, chunk_rows: int = CHUNK_ROWS, visited: list[DataFrame] | None = None
 ) -> DataFrame:
     """The k nearest rows of each target's cohort, without rows that carry the target's own key.
 
     ``targets`` has target_id (unique), cohort, key and vec; a column ``k`` gives a target a number of its own, up to the
     one that the index keeps. Returns target_id, key, season, rank
-    and score (a distance, or the similarity for cosine). Ties at six decimals go by key, season.
+    and score (a distance, or the similarity for cosine). Ties at six decimals go by key, season. ``visited`` collects
+    which leaves each target searched, round by round.
     """
     schema = _found_schema(targets, index)
     work = nearest_in_block(index.metric)
@@ -305,6 +308,8 @@ def nearest(
         asked = queries.join(been, "target_id").join(bounds(best), "target_id", "left")
         leaves = materialize(_descend(asked, index, further(most), listing), "leaves")
         seen = seen.unionByName(leaves)
+    if visited is not None:
+        visited.append(seen)
     return searched(leaves, best).drop("own_k")
 
 

@@ -107,6 +107,17 @@ def neighbours(
     return found.unionByName(nearest(far, everything, 1, chunk_rows))
 
 
+def searched_share(space: Space, k: int = 10, chunk_rows: int = CHUNK_ROWS) -> float:
+    """Which part of all (target, row of its cohort) combinations a search of every entity looks at."""
+    index, targets, visited = index_of(space, "euclidean", k, chunk_rows=chunk_rows), all_targets(space), []
+    nearest(targets, index, k, chunk_rows, visited)
+    if index.single:
+        return 1.0
+    looked = visited[0].join(index.cells.select("cohort", "cell", "rows"), ["cohort", "cell"]).agg(F.sum("rows")).first()[0]
+    sizes = index.cells.groupBy("cohort").agg(F.sum("rows").alias("rows"))
+    return round((looked or 0) / (targets.join(sizes, "cohort").agg(F.sum("rows")).first()[0] or 1), 4)
+
+
 def _cohort_trouble(space: Space) -> tuple[Column, Column]:
     """Status and text of a row of cohort moments; the text names the features that lack values."""
     gaps = [F.when(F.col(f"missing_{f}") > 0, F.concat(F.lit(f"{f}: "), F.col(f"missing_{f}"))) for f in space.features]

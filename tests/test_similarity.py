@@ -89,6 +89,52 @@ def test_targets_outside_the_candidates(spark, cloud):
     assert got == expected
 
 
+def test_targets_have_a_k_of_their_own(cloud):
+    rows, frame, targets = cloud
+    mixed = targets.withColumn("k", F.when(F.col("target_id") % 50 == 0, 100_000).otherwise(F.col("target_id") % 6 + 1).cast("int"))
+    want, sizes = brute(rows, "euclidean", 6), {c: sum(r[0] == c for r in rows) for c in {r[0] for r in rows}}
+    for index, chunk in ((build_index(frame, 5, "euclidean", None, 40), 40), (build_index(frame, 5, "euclidean", None), 4096)):
+        got = {}
+        for r in nearest(mixed, index, 1, chunk).orderBy("target_id", "rank").collect():
+            got.setdefault(r.target_id, []).append((r.key, r.season))
+        for t, found in got.items():
+            if t % 50:
+                assert found == want[t][: t % 6 + 1]
+            else:
+                own = [r for r in rows if r[2] == t][0]
+                assert found[:6] == want[t] and len(found) == sum(r[0] == own[0] and r[1] != own[1] for r in rows) <= sizes[own[0]]
+
+
+def test_a_forced_tree_gives_the_same(cloud):
+    rows, frame, targets = cloud
+    index = build_index(frame, 5, "euclidean", 4, force_tree=True)
+    assert not index.single
+    got = {}
+    for r in nearest(targets, index, 3).orderBy("target_id", "rank").collect():
+        got.setdefault(r.target_id, []).append((r.key, r.season))
+    assert got == brute(rows, "euclidean", 3)
+
+
+def test_wide_vectors_are_bounded_by_axes_and_the_length_of_the_rest(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 40)) + rng.normal(size=(300, 40)) * 0.2
+    base[7] = base[8] = 0
+    rows = [("c", f"k{i:03d}", i, [float(x) for x in v]) for i, v in enumerate(base)]
+    frame = spark.createDataFrame(rows, "cohort string, key string, season int, vec array<double>").cache()
+    targets = frame.select(F.col("season").alias("target_id"), "cohort", "key", "vec")
+    for metric in METRICS:
+        index = build_index(frame, 40, metric, None, 20)
+        got = {}
+        for r in nearest(targets, index, 4, 20).orderBy("target_id", "rank").collect():
+            got.setdefault(r.target_id, []).append((r.key, r.season))
+        assert got == brute(rows, metric, 4)
+        asked = [(t[2], "c", t[1], t[3], o[1], o[2], score(t[3], o[3], metric)) for t in rows[::9] for o in [rows[(t[2] * 7 + 5) % 300]] if o[1] != t[1]]
+        pairs = spark.createDataFrame(asked, "target_id int, cohort string, key string, vec array<double>, other_key string, other_season int, score double")
+        ranks = {r.target_id: r["rank"] for r in rank_of(pairs, index, 20).collect()}
+        by_id = {r[2]: r for r in rows}
+        assert ranks == {a[0]: 1 + sum(order(r, by_id[a[0]], metric) < order(by_id[a[5]], by_id[a[0]], metric) for r in rows if r[1] != a[2]) for a in asked}
+
+
 def test_fewer_rows_than_k(cloud):
     rows, frame, targets = cloud
     few = frame.filter("cohort = 'small'").limit(4)
