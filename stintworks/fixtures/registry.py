@@ -19,6 +19,7 @@ from stintworks.operators.records import PROFILE, profiles, rounded, similar_rec
 from stintworks.operators.resolve import LOOKUP, ambiguous_candidates, flag_not_eligible, resolve, suggestions, with_candidates
 from stintworks.operators.views import intelligence_base, season_analysis
 from stintworks.plans.api_landing import TEAM, land_api_documents, land_into_store as land_star, latest_documents, star_table
+from stintworks.plans.running_layer import RunningLayer
 from stintworks.plans.season_landing import BATCHES, land_into_store, land_season_csv, prepare_season_csv, stage_into_store
 from stintworks.plans.store import TableStore
 from stintworks.schemas import FEATURES, STAGING
@@ -62,6 +63,31 @@ def canonical_resolved(spark, sf_dir):
     return canonical(adapter.resolved(spark, sf_dir))
 
 
+def _running_layer(spark, sf_dir) -> RunningLayer:
+    """The stints in three batches, folded one after the other; the second one comes twice."""
+    def at(path: str) -> RunningLayer:
+        return RunningLayer(TableStore(spark, path), tie_break=("id",), buckets=8)
+
+    def write() -> str:
+        rows = adapter.resolved(spark, sf_dir).withColumn("batch_id", F.col("id") % 3)
+        path = new_path(spark, "running-layer")
+        for batch in (0, 1, 1, 2):
+            at(path).add(rows.filter(F.col("batch_id") == batch))
+        return path
+
+    return at(adapter.layer_path(spark, sf_dir, "running-layer", write))
+
+
+@register("canonical_by_batches", oracle.query(oracle.CANONICAL, "SELECT * FROM canon"))
+def canonical_by_batches(spark, sf_dir):
+    return _running_layer(spark, sf_dir).canonical()
+
+
+@register("moments_by_batches", query(SPACE, oracle.MOMENTS))
+def moments_by_batches(spark, sf_dir):
+    return rounded(cohorts.moments_long(_running_layer(spark, sf_dir).moments()), "mean", "std")
+
+
 @register("identity_resolved", oracle.query(oracle.RESOLVED, "SELECT id, source_player_key, season, squad_name, competition_name, player_name, CAST(minutes AS BIGINT) AS minutes, canonical_player_key, canonical_player_name, identity_overridden FROM res"))
 def identity_resolved(spark, sf_dir):
     return adapter.resolved(spark, sf_dir).select("id", "source_player_key", "season", "squad_name", "competition_name", "player_name", F.col("minutes").cast("long").alias("minutes"), "canonical_player_key", "canonical_player_name", "identity_overridden")

@@ -31,7 +31,11 @@ def moments(
     Sums are taken over whole numbers, so the result does not depend on row order or partitioning
     and a constant feature is recognised exactly; its deviation becomes one unit.
     """
-    wide = "decimal(38,0)"
+    return moments_of_sums(moment_sums(population, cohort_cols, features), cohort_cols, features)
+
+
+def moment_sums(population: DataFrame, cohort_cols: Sequence[str] = COHORT, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Size and, per feature, count, sum and sum of squares of each cohort, in whole numbers that add and subtract exactly."""
     sums = []
     for f in features:
         x = _whole(f)
@@ -40,7 +44,27 @@ def moments(
             F.sum(x).alias(f"s1_{f}"),
             F.sum(x.cast("decimal(18,0)") * x.cast("decimal(18,0)")).alias(f"s2_{f}"),
         ]
-    totals = population.groupBy(*cohort_cols).agg(F.count(F.lit(1)).alias("cohort_size"), *sums)
+    return population.groupBy(*cohort_cols).agg(F.count(F.lit(1)).alias("cohort_size"), *sums)
+
+
+def negated_sums(sums: DataFrame, cohort_cols: Sequence[str] = COHORT) -> DataFrame:
+    """Sums that take their rows away when they are merged."""
+    return sums.select(*cohort_cols, *[(-F.col(c)).alias(c) for c in sums.columns if c not in cohort_cols])
+
+
+def merge_sums(sums: DataFrame, cohort_cols: Sequence[str] = COHORT, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Sums of the same cohort as one. A cohort that lost all its rows stays with size 0."""
+    merged = [F.sum("cohort_size").alias("cohort_size")]
+    for f in features:
+        n = F.sum(f"n_{f}")
+        # Without values there is no sum, as in a first pass.
+        merged += [n.alias(f"n_{f}"), *[F.when(n != 0, F.sum(f"{s}_{f}")).alias(f"{s}_{f}") for s in ("s1", "s2")]]
+    return sums.groupBy(*cohort_cols).agg(*merged)
+
+
+def moments_of_sums(totals: DataFrame, cohort_cols: Sequence[str] = COHORT, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Moments as ``moments`` gives them, from sums."""
+    wide = "decimal(38,0)"
     columns = []
     for f in features:
         n, s1, s2 = F.col(f"n_{f}"), F.col(f"s1_{f}"), F.col(f"s2_{f}")
