@@ -5,7 +5,7 @@ certain. The fractions are rounded in pairs: mass moves at random between two do
 them is integral, so that the words both take stay the same and every fraction keeps its expectation.
 What is left of a block, one fractional document, goes up a reduction tree with the rest of other
 blocks until one document per source is left, which goes to the nearer whole number; the words that this
-adds or drops, at most half a document, are made good by documents of the same last block. All draws are hashes of document ids: reruns agree.
+adds or drops, at most half a document, are made good by documents of the same last block, singly or in pairs. All draws are hashes of document ids: reruns agree.
 
 A block holds about ``block`` documents and is rounded by SQL array functions; only (id, size, source)
 leaves the text scan.
@@ -21,8 +21,6 @@ from stintworks.workspace import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
 BLOCK = 64
-# Documents of the last block of a source that may be turned over to make good its last error.
-FLIPS = 4
 _EPS = 1e-9
 
 
@@ -78,19 +76,21 @@ def _round_block(seed: int) -> str:
                 named_struct('id', s.a.id, 'tie', s.a.tie, 'size', s.a.size, 'one', s.a.p > 0.5), named_struct('id', s.b.id, 'tie', s.b.tie, 'size', s.b.size, 'one', s.b.p > 0.5))))))[0]))"""
 
 
-def _round_root(flips: int) -> str:
+def _round_root() -> str:
     """SQL for the block of a source that is its last: round the document that is left to the nearer whole
-    number, then turn over up to ``flips`` rounded documents of the block, each the one that leaves the
-    smallest error in words, as long as the error shrinks."""
+    number, then turn over one or two rounded documents of the block at a time, those that leave the
+    smallest error in words, as long as the error shrinks. A block has as many chances as documents."""
     left = "IF(r.rest.p >= 0.5, 1 - r.rest.p, -r.rest.p) * r.rest.size"
     last = "filter(array(named_struct('id', r.rest.id, 'tie', r.rest.tie, 'size', r.rest.size, 'one', r.rest.p >= 0.5)), d -> d.size > 0)"
-    turn = "IF(d.one, -d.size, d.size)"
-    best = f"array_min(transform(acc.done, (d, i) -> named_struct('error', abs(acc.error + {turn}), 'i', i, 'turn', {turn})))"
+    turn, other = ("IF({0}.one, -{0}.size, {0}.size)".format(name) for name in "de")
+    both = f"{turn} + IF(i = j, 0, {other})"
+    best = f"""array_min(transform(acc.done, (d, i) -> array_min(transform(acc.done, (e, j) ->
+          named_struct('error', abs(acc.error + {both}), 'i', i, 'j', j, 'turn', {both})))))"""
     return f"""
-      aggregate(sequence(1, {flips}), named_struct('error', {left}, 'done', concat(r.done, {last})),
+      aggregate(sequence(0, size(r.done)), named_struct('error', {left}, 'done', concat(r.done, {last})),
         (acc, k) -> transform(array({best}), b -> IF(b.error < abs(acc.error) - 1e-6, named_struct(
           'error', acc.error + b.turn,
-          'done', transform(acc.done, (d, i) -> named_struct('id', d.id, 'tie', d.tie, 'size', d.size, 'one', IF(i = b.i, NOT d.one, d.one)))),
+          'done', transform(acc.done, (d, i) -> named_struct('id', d.id, 'tie', d.tie, 'size', d.size, 'one', IF(i = b.i OR i = b.j, NOT d.one, d.one)))),
           acc))[0]).done"""
 
 
@@ -109,7 +109,7 @@ def pivotal(units: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
             break
         last = largest <= block
         # So many blocks that the last one of a source, made of what the others leave, has documents to choose from.
-        blocks = F.ceil(F.when(F.col("n") <= block * block, F.sqrt("n")).otherwise(F.col("n") / block)).cast("long")
+        blocks = F.ceil(F.when(F.col("n") <= block * block, F.least(F.lit(block), F.col("n") / 4)).otherwise(F.col("n") / block)).cast("long")
         dealt = units.join(per_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         waiting = dealt.filter(F.lit(not last) & (F.col("n") <= block)).select("source", "id", "tie", "size", "p")
         dealt = dealt.filter(F.lit(last) | (F.col("n") > block)).withColumn("block", F.when(F.lit(last), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(seed + level), "tie"), blocks)))
@@ -121,7 +121,7 @@ def pivotal(units: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
             .select("source", F.expr(_round_block(seed + level)).alias("r"))
         )
         if last:
-            rounded = rounded.select("source", F.expr(_round_root(FLIPS)).alias("done"))
+            rounded = rounded.select("source", F.expr(_round_root()).alias("done"))
             step = rounded.select("source", F.explode("done").alias("d")).select("source", "d.id", "d.tie", "d.one")
             done = step if done is None else done.unionByName(step)
             break
