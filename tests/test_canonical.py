@@ -133,3 +133,20 @@ def test_season_analysis(spark):
     assert row.goal_conversion_pct == Decimal("33.33") and row.shots_on_pct == Decimal("66.67") and row.duels_won_pct is None
     assert row.minutes_per_goal == Decimal("333.33") and row.non_penalty_goals == 2 and row.key_passes_per_90 is None
     assert len(row) == 27 + 14
+
+
+def test_overrides_meet_stints_without_four_keys(spark, make_stints):
+    """Stints shuffle by source key and season alone; equal overrides count as often as they come, NULL keys never match."""
+    stints = make_stints({"squad_name": "A"}, {"squad_name": "B"}, {"squad_name": None}, {"source_player_key": None, "squad_name": "A"})
+    schema = "source_player_key string, season int, squad_name string, competition_name string, canonical_player_key string, canonical_player_name string"
+    rules = spark.createDataFrame([("p", 2025, "A", "L", "p:A", "X"), ("p", 2025, "A", "L", "p:A", "X"), ("p", 2025, None, "L", "no", "N")], schema)
+    found = resolve_identity(stints, rules)
+    got = sorted((str(r.squad_name), str(r.canonical_player_key), r.identity_overridden) for r in found.collect())
+    assert got == [("A", "None", False), ("A", "p:A", True), ("A", "p:A", True), ("B", "p", False), ("None", "p", False)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = resolve_identity(stints, rules)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(source_player_key" in plan and "squad_name" not in "".join(
+        part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
