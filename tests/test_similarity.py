@@ -328,3 +328,24 @@ def test_cosine_total_is_the_sum_of_contributions(space):
     rows = explain_cosine(pairs, space).groupBy("target_id").agg(F.sum("cosine_contribution").alias("parts"), F.max("similarity").alias("total"))
     scores = {r.target_id: r.score for r in pairs.collect()}
     assert all(r.parts == pytest.approx(r.total) == pytest.approx(scores[r.target_id]) for r in rows.collect())
+
+
+def test_parts_give_the_same_and_ranks_narrow_the_lists(spark, cloud):
+    """Cohorts of several parts, and of one; targets that ask for ranks get these and the last one, which counts the rest."""
+    rows, frame, targets = cloud
+    want = brute(rows, "euclidean", 7)
+    split = build_index(frame, 5, "euclidean", 8, 40, part_rows=150)
+    assert not split.whole and split.parts.filter("cohort = 'big'").count() > 2
+    some = targets.filter("target_id % 5 = 0").withColumn("ranks", F.when(F.col("target_id") % 2 == 0, F.array(F.lit(2))))
+    for index in (split, build_index(frame, 5, "euclidean", 8, 40)):
+        got = {}
+        for r in nearest(some, index, 7, 40).orderBy("target_id", "rank").collect():
+            got.setdefault(r.target_id, []).append((r.key, r.season))
+        assert got == {t: ([w[1], w[6]] if t % 2 == 0 else w) for t, w in want.items() if t % 5 == 0}
+    asked = [(t[2], t[0], t[1], t[3], o[1], o[2], score(t[3], o[3], "euclidean"))
+             for t in rows[::40] for o in [next(r for r in rows[t[2] % 97 :] if r[0] == t[0] and r[1] != t[1])]]
+    pairs = spark.createDataFrame(asked, "target_id int, cohort string, key string, vec array<double>, other_key string, other_season int, score double")
+    by_id = {r[2]: r for r in rows}
+    expected = {a[0]: 1 + sum(order(r, by_id[a[0]], "euclidean") < order(by_id[a[5]], by_id[a[0]], "euclidean")
+                              for r in rows if r[0] == a[1] and r[1] != a[2]) for a in asked}
+    assert {r.target_id: r["rank"] for r in rank_of(pairs, build_index(frame, 5, "euclidean", None, 40, part_rows=150), 40).collect()} == expected
