@@ -1,14 +1,16 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stintworks.functions.blocks import _Block, _nearest_of
 from stintworks.operators.cohorts import moments
-from stintworks.operators.neighbours import build_index, nearest, rank_of
+from stintworks.operators.neighbours import CHUNK_ROWS, _sharing, build_index, nearest, rank_of
 from stintworks.operators.similarity import (
     all_targets, build_space, candidate_ranks, cohort_outcomes, compare_metrics, explain_cosine, explain_euclidean,
-    find_candidates, nth_neighbour, role_experiment, role_neighbours, top_features,
+    _indexes, find_candidates, nth_neighbour, role_experiment, role_neighbours, top_features,
 )
 from stintworks.schemas import FEATURES, ROLE_FEATURES
 
@@ -289,6 +291,50 @@ def test_metric_comparison_and_candidates(space):
     assert missing == {f"{k}|2025" for k, g in groups.items() if g == "DF_FW" or (g == "FW" and k == "k003") or (g == "MF" and k == "k043")}
 
 
+def test_metrics_without_a_tree_are_one_pass(space):
+    indexes = _indexes(space, 5, CHUNK_ROWS)
+    assert _sharing(indexes) == [METRICS] and all(i.single for i in indexes.values())
+    assert _sharing(_indexes(space, 5, 16, force_tree=True)) == [METRICS[:2], METRICS[2:]]
+
+
+def test_a_cohort_of_one_part_needs_no_stored_tree(spark):
+    rows = spark.range(CHUNK_ROWS + 500).select(
+        F.lit("c").alias("cohort"), F.format_string("k%06d", "id").alias("key"), F.lit(1).alias("season"), F.array(F.col("id") * 1.0, F.lit(0.0)).alias("vec")
+    )
+    index = build_index(rows, 2)
+    assert index.single and index.whole
+    targets = rows.filter("key IN ('k000000', 'k009000')").withColumn("target_id", F.col("key"))
+    assert {(r.target_id, r.key, r["rank"]) for r in nearest(targets, index, 2).collect()} == {
+        ("k000000", "k000001", 1), ("k000000", "k000002", 2), ("k009000", "k008999", 1), ("k009000", "k009001", 2)}
+
+
+def test_candidates_are_looked_up_by_asked_names_alone(space):
+    """Two keys per asked name meet the targets once; rows of other names do not move."""
+    found = find_candidates(all_targets(space).withColumn("candidate_name", F.lit("Name 3")), space)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join") == 1 and found.count() == 60
+
+
+@pytest.mark.parametrize("metric", METRICS[:2])
+def test_a_query_leaves_out_leaves_beyond_its_own_bound(metric):
+    """Queries of one group that lie far apart do not search each other's leaves."""
+    rng = np.random.default_rng(3)
+    places = np.repeat(np.arange(8) * 1000.0, 1024)
+    vectors = np.column_stack([places, np.zeros((len(places), 2))]) + rng.normal(size=(len(places), 3))
+    frame = pd.DataFrame({"key": [f"k{i:05d}" for i in range(len(places))], "season": 1, "vec": list(vectors), "cell": 0})
+    asked = frame.iloc[::512].reset_index(drop=True)
+    block, looked = _Block(asked, frame, metric, np.zeros(len(asked))), []
+    estimate = block.estimate
+    block.estimate = lambda rows, start, stop: looked.append(len(rows) * (stop - start)) or estimate(rows, start, stop)
+    one, none = np.ones(len(asked), np.int64), np.full(len(asked), np.nan)
+    who, found, _, score = _nearest_of(block, np.arange(len(asked)), one, none, np.full(len(asked), None), metric)
+    assert sum(looked) < len(asked) * len(frame) / 2
+    for query, value in zip(who, score):
+        gaps = np.abs(vectors - asked["vec"][query])
+        away = np.sort(np.sqrt((gaps**2).sum(axis=1)) if metric == "euclidean" else gaps.sum(axis=1))
+        assert value == pytest.approx(away[1])
+
+
 def test_role_ranking_uses_only_the_role_features(space):
     rows = {(r.key): r for r in space.rows.collect()}
     for r in role_neighbours(space, k=3).collect():
