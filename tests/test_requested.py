@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from stintworks.operators import requested
 from stintworks.operators.resolve import SUGGESTIONS, ambiguous_candidates, resolve, suggestions, with_candidates
-from stintworks.operators.similarity import build_space, similar
+from stintworks.operators.similarity import build_space, neighbours, similar
 from stintworks.schemas import FEATURES
 
 
@@ -66,6 +66,22 @@ def test_explain_by_rank(spark, people, space, metric):
         requested.explain(ask(spark, ("Name 01", None, 0)), people, space, metric)
 
 
+def test_a_rank_beyond_the_cohort_is_not_searched_for(spark, people, space, monkeypatch):
+    """How many rows there are needs no list of them: only ranks that exist reach the search."""
+    searched = []
+
+    def search(space, targets, metric):
+        searched.extend((r.target_id, r.k, sorted(r.ranks)) for r in targets.collect())
+        return neighbours(space, targets, metric)
+
+    monkeypatch.setattr(requested, "neighbours", search)
+    outcomes, rows = requested.explain(ask(spark, ("Name 01", None, 3), ("Name 01", None, 1_000_000), ("Name 02", None, 1_000_000)), people, space)
+    assert searched == [("k01|2025", 3, [3])]
+    assert status(outcomes) == {0: ("OK", 200), 1: ("RANK_UNAVAILABLE", 400), 2: ("RANK_UNAVAILABLE", 400)}
+    assert {r.detail for r in outcomes.filter("request_id > 0").collect()} == {"Only 20 similar players were available."}
+    assert rows.count() == len(FEATURES)
+
+
 def test_a_zero_vector_has_no_cosine_explanation(spark, people):
     flat = people.filter("canonical_player_key IN ('k01', 'k02', 'k03')")
     for f in FEATURES:
