@@ -384,3 +384,17 @@ def test_entity_ids_of_raw_documents_read_like_those_of_players(spark):
     asked = spark.createDataFrame([("d", "kyle", 1, 2025)], "document_id string, search string, league int, season int")
     landing = land_api_documents(documents, asked)
     assert landing.raw.first().entity_api_id == landing.player.first().api_football_id == 12
+
+
+def test_rows_are_written_without_sorting_them_by_batch(spark, tmp_path, dirs):
+    for name, n in {"a": 3, "b": 5}.items():
+        write_csv(tmp_path / "in" / f"{name}.csv", [{**PLAYER, "Rk": str(i), "Player": name} for i in range(1, n + 1)])
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting, None)
+    staging = land(spark, str(tmp_path / "in"), dirs).staging
+    assert sorted((r.player_name, r.source_row_number) for r in staging.collect()) == [("a", i) for i in range(1, 4)] + [("b", i) for i in range(1, 6)]
+    assert spark.conf.get(setting, None) == before
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    writes = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and dirs[0] in p]
+    assert writes and not any("Sort (" in p for p in writes)
