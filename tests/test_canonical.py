@@ -3,8 +3,9 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from stintworks.operators.canonical import canonical, canonical_by_source_key, latest_batch_per_season
-from stintworks.operators.identity import build_overrides, collision_report, resolve_identity
+from stintworks.operators.identity import IDENTITY, build_overrides, collision_report, narrowed, resolve_identity
 from stintworks.operators.views import intelligence_base, season_analysis
+from stintworks import workspace
 from stintworks.schemas import OVERRIDES, SUMMED
 
 
@@ -150,3 +151,22 @@ def test_overrides_meet_stints_without_four_keys(spark, make_stints):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(source_player_key" in plan and "squad_name" not in "".join(
         part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
+
+
+def test_rows_that_no_rule_names_are_left_out_before_the_join(spark, make_stints):
+    who = [{"player_name": f"P{i}", "born_year": 1990 + i % 3, "nation_fifa_code": "FRA" if i % 2 else None} for i in range(200)]
+    rules = spark.createDataFrame([(f"P{i}", 1990 + i % 3, "FRA" if i % 2 else None) for i in range(20)], "player_name string, born_year long, nation_fifa_code string")
+    kept = narrowed(make_stints(*who), rules, IDENTITY)
+    names = {r.player_name for r in kept.collect()}
+    assert names >= {f"P{i}" for i in range(20)} and len(names) < 40
+    assert "_number" not in kept.columns
+
+
+def test_many_stints_are_dealt_over_tasks_of_bounded_size(spark, make_stints, monkeypatch):
+    stints = make_stints(*[{"source_player_key": f"p{i % 40}", "minutes": i, "goals": 1} for i in range(400)])
+    override = spark.createDataFrame([("p3", 2025, "A", "L", "other", "Other", "why")], OVERRIDES)
+    expected = sorted(canonical(resolve_identity(stints, override)).collect())
+    monkeypatch.setattr(workspace, "TASK_ROWS", 50)
+    resolved = resolve_identity(stints, override)
+    assert resolved.rdd.getNumPartitions() == 8
+    assert sorted(canonical(resolved).collect()) == expected
