@@ -28,6 +28,8 @@ SAMPLE_DOCUMENTS = 400
 SAMPLE_WINDOWS = 4
 EPOCHS = 12
 _CHUNK = 1024
+# Texts that are predicted and written at a time.
+_ROWS = 500
 
 
 @dataclass
@@ -211,25 +213,32 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     names = docs.columns
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(added, kinds)]])
-    ready = docs.withColumn("__text", F.when(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.col(f"`{text_col}`")))
+    # The text crosses to Python once: which rows to read is a flag beside it.
+    ready = docs.withColumn("__known", F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
+    place = names.index(text_col)
+
+    def labelled(batch: pa.RecordBatch, predictor: Predictor | None) -> pa.RecordBatch:
+        texts = batch.column(place)
+        known = [i for i, k in enumerate(batch.column(len(names)).to_pylist()) if k] if predictor else []
+        langs, scores, peaks = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows
+        if known:
+            chance, surest = predictor.texts([texts[i].as_py().encode("utf-8", "replace") for i in known])
+            for i, row, peak in zip(known, chance, surest):
+                best = int(row.argmax())
+                langs[i], scores[i], peaks[i] = model.languages[best], float(min(1.0, row[best])), float(min(1.0, peak))
+        # Copied, so that a part that is still to be written does not hold the whole batch beside the next one.
+        kept = batch.take(pa.array(range(batch.num_rows)))
+        return pa.RecordBatch.from_arrays(
+            [*kept.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(peaks, pa.float64())],
+            names=[*names, *added],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model) if model else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                texts = batch.column(len(names))
-                known = [i for i, t in enumerate(texts) if t.is_valid] if predictor else []
-                langs, scores, peaks = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows
-                if known:
-                    chance, surest = predictor.texts([texts[i].as_py().encode("utf-8", "replace") for i in known])
-                    for i, row, peak in zip(known, chance, surest):
-                        best = int(row.argmax())
-                        langs[i], scores[i], peaks[i] = model.languages[best], float(min(1.0, row[best])), float(min(1.0, peak))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(peaks, pa.float64())],
-                    names=[*names, *added],
-                )
+            for at in range(0, whole.num_rows, _ROWS):
+                yield labelled(whole.slice(at, _ROWS), predictor)
+            del whole
 
     return ready.mapInArrow(run, schema)
 

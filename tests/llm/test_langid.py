@@ -100,3 +100,16 @@ def test_the_stage_keeps_texts_without_labels_and_mixed_texts(spark, make_docs):
     kept = corpus_pipeline.language(spark, make_docs([*rows, mixed, (5001, "12 34", None, "a")]), "")
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} | {5000}
     assert kept.columns == docs.columns
+
+
+def test_a_text_crosses_once_and_parts_do_not_hold_their_batch(make_docs, monkeypatch):
+    rows = labelled(60)
+    docs, model, seen = make_docs([(i, t + t, lang, s) for i, t, lang, s in rows * 50]), langid.train([(i, t, lang) for i, t, lang, _ in rows], epochs=1), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda frame, run, schema: seen.append((frame, run)))
+    langid.predict(docs, model)
+    frame, run = seen[0]
+    assert [f.name for f in frame.schema if f.dataType.simpleString() == "string"] == [f.name for f in docs.schema if f.dataType.simpleString() == "string"]
+    whole = frame.toArrow().combine_chunks().to_batches()[0]
+    parts = list(run(iter([whole])))
+    assert sum(p.num_rows for p in parts) == whole.num_rows == 3000
+    assert max(p.get_total_buffer_size() for p in parts) < whole.get_total_buffer_size() / 3
