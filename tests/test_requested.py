@@ -5,6 +5,7 @@ from stintworks.operators import requested
 from stintworks.operators.resolve import SUGGESTIONS, ambiguous_candidates, resolve, suggestions, with_candidates
 from stintworks.operators.similarity import build_space, neighbours, similar
 from stintworks.schemas import FEATURES
+from stintworks.workspace import materialize
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +129,23 @@ def test_a_crowded_text_shrinks_to_ten_names_before_it_meets_people(spark, peopl
     shown = {i: [r.player_name for r in found.filter(F.col("request_id") == i).orderBy("position").collect()] for i in (0, 1)}
     assert shown == {0: [f"An {i:05d}" for i in range(SUGGESTIONS)], 1: [f"An {i:05d}" for i in range(10, 20)]}
     assert "first-names" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_explanations_are_stored_and_joined_by_pair(spark, people, space, metric, monkeypatch):
+    stored = {}
+    monkeypatch.setattr(requested, "materialize", lambda df, name: stored.setdefault(name, []).append(made := materialize(df, name)) or made)
+    asks = [("Name 01", None, 1), ("Name 01", None, 3), ("Name 01", "S", 3), ("Name 02", None, 1), ("nobody", None, 1)]
+    outcomes, rows = requested.explain(ask(spark, *asks), people, space, metric)
+    assert [t.count() for t in stored["explained"]] == [3]
+    assert "feature" not in stored["explained"][0].columns
+    assert [r.status for r in outcomes.orderBy("request_id").collect()] == ["OK"] * 4 + ["NOT_FOUND"]
+    assert {r.request_id: r["count"] for r in rows.groupBy("request_id").count().collect()} == {i: len(FEATURES) for i in range(4)}
+
+
+def test_requests_without_a_club_do_not_meet_the_counts_by_club(spark, people):
+    asks = ask(spark, ("Name 01", None, 1), ("Name 01", "S", 1), ("Name 01", "Z", 1), ("Same Name", None, 1), ("Same Name", "U", 1), ("nobody", "S", 1), (None, "S", 1))
+    found = resolve(asks, people)
+    assert [r.status for r in found.orderBy("request_id").collect()] == ["OK", "OK", "CLUB_MISMATCH", "AMBIGUOUS", "OK", "NOT_FOUND", "INVALID"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(lookup_club" in plan
