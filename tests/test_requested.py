@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stintworks import workspace
 from stintworks.operators import requested
 from stintworks.operators.resolve import SUGGESTIONS, ambiguous_candidates, resolve, suggestions, with_candidates
 from stintworks.operators.similarity import build_space, neighbours, similar
@@ -134,7 +135,7 @@ def test_a_crowded_text_shrinks_to_ten_names_before_it_meets_people(spark, peopl
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 def test_explanations_are_stored_and_joined_by_pair(spark, people, space, metric, monkeypatch):
     stored = {}
-    monkeypatch.setattr(requested, "materialize", lambda df, name: stored.setdefault(name, []).append(made := materialize(df, name)) or made)
+    monkeypatch.setattr(requested, "materialize", lambda df, name, *path: stored.setdefault(name, []).append(made := materialize(df, name, *path)) or made)
     asks = [("Name 01", None, 1), ("Name 01", None, 3), ("Name 01", "S", 3), ("Name 02", None, 1), ("nobody", None, 1)]
     outcomes, rows = requested.explain(ask(spark, *asks), people, space, metric)
     assert [t.count() for t in stored["explained"]] == [3]
@@ -143,6 +144,16 @@ def test_explanations_are_stored_and_joined_by_pair(spark, people, space, metric
     assert {r.request_id: r["count"] for r in rows.groupBy("request_id").count().collect()} == {i: len(FEATURES) for i in range(4)}
 
 
+def test_an_explanation_leaves_only_what_it_returns(spark, people, space):
+    left = []
+    with pytest.MonkeyPatch.context() as patch, workspace.scope(spark):
+        patch.setattr(requested, "new_path", lambda spark, name: left.append(workspace.new_path(spark, name)) or left[-1])
+        outcomes, rows = requested.explain(ask(spark, ("Name 01", None, 3), ("Name 02", None, 1_000_000)), people, space)
+        assert sorted(workspace._SCOPES[-1]) == sorted(left) and len(left) == 2
+        assert [r.status for r in outcomes.orderBy("request_id").collect()] == ["OK", "RANK_UNAVAILABLE"]
+        assert rows.count() == len(FEATURES)
+
+
 def test_requests_without_a_club_do_not_meet_the_counts_by_club(spark, people):
     asks = ask(spark, ("Name 01", None, 1), ("Name 01", "S", 1), ("Name 01", "Z", 1), ("Same Name", None, 1), ("Same Name", "U", 1), ("nobody", "S", 1), (None, "S", 1))
     found = resolve(asks, people)
