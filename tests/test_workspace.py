@@ -1,4 +1,5 @@
 import os
+import time
 
 from stintworks import workspace
 from stintworks.operators.merge import merge_by_key
@@ -41,3 +42,22 @@ def test_an_error_closes_the_scope(spark):
     except ValueError:
         pass
     assert folders(spark) == before
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_") and f.endswith(".data")}
+
+    rows = spark.range(20_000).repartition(3, "id")
+    before = shuffled()
+    moved = workspace.materialize(rows, "moved")
+    left = shuffled() - before
+    for _ in range(50):  # files go beside the driver's work
+        if not left:
+            break
+        time.sleep(0.1)
+        left &= shuffled()
+    assert not left
+    assert moved.count() == rows.count() == 20_000  # the frame itself can still be run
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
