@@ -2,6 +2,7 @@ import csv
 import datetime as dt
 import hashlib
 import json
+import os
 from decimal import Decimal
 
 import pytest
@@ -398,3 +399,23 @@ def test_rows_are_written_without_sorting_them_by_batch(spark, tmp_path, dirs):
     plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
     writes = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and dirs[0] in p]
     assert writes and not any("Sort (" in p for p in writes)
+
+
+def test_a_landing_keeps_no_copy_of_the_text_and_moves_no_row(spark, tmp_path):
+    from stintworks import workspace
+
+    path = write_csv(tmp_path / "a.csv", [PLAYER, {**PLAYER, "Player": "Other"}])
+    store = TableStore(spark, str(tmp_path / "store"))
+    staged = {}
+
+    class Watched(TableStore):
+        def stage(self, table, rows, part, **options):
+            staged[table] = options
+            return super().stage(table, rows, part, **options)
+
+    with workspace.scope(spark):
+        landing = land_into_store(Watched(spark, store.root), path, 2025, "x")
+        names = [p.rsplit("/", 1)[1] for p in workspace._SCOPES[-1] if os.path.exists(p.removeprefix("file:"))]
+        assert landing.staging.count() == 2 and landing.malformed.count() == 0
+    assert names and not [n for n in names if n.startswith("season-csv-")]
+    assert staged["staging"] == {"together": True}
