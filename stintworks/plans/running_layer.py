@@ -19,7 +19,7 @@ from stintworks.operators.cohorts import (
 )
 from stintworks.plans.store import BUCKETS, TableStore, join_changes
 from stintworks.schemas import STAGING
-from stintworks.workspace import materialize
+from stintworks.workspace import materialize, scope, shuffles_end
 
 FOLDS, SUMS, FOLDED = "folds", "cohort_sums", "folded_batches"
 
@@ -41,26 +41,28 @@ class RunningLayer:
 
     def add(self, stints: DataFrame) -> int:
         """Fold in those batches of ``stints`` that are not in yet; the version that holds them."""
-        since = self.store.version()
-        known = self.store.manifest(since).get(FOLDED, {})
-        batches = [r[0] for r in stints.select("batch_id").distinct().collect()]  # one per file landed
-        if None in batches:
-            raise ValueError("stints without a batch cannot be told apart from stints that are in")
-        fresh = [b for b in batches if str(b) not in known]
-        if not fresh:
-            return since
-        new = partial_fold(stints.filter(F.col("batch_id").isin(fresh)), self.key, self.name, self.tie_break)
-        new = materialize(new, "partial-folds")
-        touched = [r[0] for r in new.select(self._part()).distinct().collect()]  # at most seasons times buckets
-        before = self.store.read(FOLDS, self._fold_schema(), touched, since)
-        folds = self.store.stage(FOLDS, merge_folds(before.unionByName(new), self.key), self._part())
-        after = self.store.staged(folds, FOLDS, self._fold_schema())
-        change = self._sums(after).unionByName(negated_sums(self._sums(before), self.cohort_cols))
-        totals = merge_sums(self.store.read(SUMS, change.schema, version=since).unionByName(change), self.cohort_cols)
-        sums = self.store.stage(SUMS, totals, F.lit("all"))  # one row per cohort
-        marks = self.store.spark.createDataFrame([(b,) for b in fresh], "batch_id long")
-        held = self.store.stage(FOLDED, marks, F.col("batch_id"))
-        return self.store.publish(join_changes(folds, sums, held), since)
+        # What leads to the published parts goes when they are there.
+        with scope(self.store.spark), shuffles_end(self.store.spark):
+            since = self.store.version()
+            known = self.store.manifest(since).get(FOLDED, {})
+            batches = [r[0] for r in stints.select("batch_id").distinct().collect()]  # one per file landed
+            if None in batches:
+                raise ValueError("stints without a batch cannot be told apart from stints that are in")
+            fresh = [b for b in batches if str(b) not in known]
+            if not fresh:
+                return since
+            new = partial_fold(stints.filter(F.col("batch_id").isin(fresh)), self.key, self.name, self.tie_break)
+            new = materialize(new, "partial-folds")
+            touched = [r[0] for r in new.select(self._part()).distinct().collect()]  # at most seasons times buckets
+            before = self.store.read(FOLDS, self._fold_schema(), touched, since)
+            folds = self.store.stage(FOLDS, merge_folds(before.unionByName(new), self.key), self._part())
+            after = self.store.staged(folds, FOLDS, self._fold_schema())
+            change = self._sums(after).unionByName(negated_sums(self._sums(before), self.cohort_cols))
+            totals = merge_sums(self.store.read(SUMS, change.schema, version=since).unionByName(change), self.cohort_cols)
+            sums = self.store.stage(SUMS, totals, F.lit("all"))  # one row per cohort
+            marks = self.store.spark.createDataFrame([(b,) for b in fresh], "batch_id long")
+            held = self.store.stage(FOLDED, marks, F.col("batch_id"))
+            return self.store.publish(join_changes(folds, sums, held), since)
 
     def canonical(self) -> DataFrame:
         """The canonical layer of all batches, as ``canonical`` gives it."""

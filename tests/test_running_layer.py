@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stintworks import workspace
 from stintworks.operators.canonical import canonical, canonical_by_source_key
 from stintworks.operators.cohorts import moments, similarity_population
 from stintworks.plans.running_layer import FOLDS, RunningLayer
@@ -78,3 +79,11 @@ def test_an_unpublished_batch_changes_nothing(spark, make_stints, tmp_path, monk
     assert running.canonical().first().minutes == 2000
     with pytest.raises(ValueError):
         running.add(make_stints({"batch_id": None}, identity=True))
+
+
+def test_a_batch_leaves_only_the_stored_parts(spark, make_stints, tmp_path):
+    running = RunningLayer(TableStore(spark, str(tmp_path / "store")))
+    with workspace.scope(spark):
+        running.add(make_stints({"batch_id": 1, "minutes": 1000}, identity=True))
+        assert not workspace._SCOPES[-1]
+    assert running.canonical().first().minutes == 1000
