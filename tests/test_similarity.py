@@ -395,3 +395,24 @@ def test_parts_give_the_same_and_ranks_narrow_the_lists(spark, cloud):
     expected = {a[0]: 1 + sum(order(r, by_id[a[0]], "euclidean") < order(by_id[a[5]], by_id[a[0]], "euclidean")
                               for r in rows if r[0] == a[1] and r[1] != a[2]) for a in asked}
     assert {r.target_id: r["rank"] for r in rank_of(pairs, build_index(frame, 5, "euclidean", None, 40, part_rows=150), 40).collect()} == expected
+
+
+def test_rounds_of_a_search_leave_one_list_of_the_best(spark):
+    import os
+
+    from stintworks import workspace
+
+    pick = np.random.default_rng(5)
+    rows = spark.createDataFrame([("c", f"k{i:03d}", 2025, [float(x) for x in pick.normal(size=2)]) for i in range(120)], "cohort string, key string, season int, vec array<double>").cache()
+    targets = rows.select(F.concat("key", F.lit("|t")).alias("target_id"), "cohort", "key", "vec")
+    with workspace.scope(spark):
+        index = build_index(rows, 2, keep_per_vector=4, chunk_rows=8, part_rows=16)
+        assert not index.whole
+        found = nearest(targets, index, 3)
+        names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in workspace._SCOPES[-1] if os.path.exists(p.removeprefix("file:"))]
+        got = {(r.target_id, r.rank): r.key for r in found.collect()}
+    assert names.count("best") == 1 and "candidates" not in names
+    points = {r.key: np.array(r.vec) for r in rows.collect()}
+    for key, at in points.items():
+        near = sorted((round(float(np.linalg.norm(at - other)), 6), k) for k, other in points.items() if k != key)[:3]
+        assert [got[f"{key}|t", n] for n in (1, 2, 3)] == [k for _, k in near]
